@@ -13,5 +13,26 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from lectern.llm.leaks import leaks
+
+    return leaks(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every item with the number of documents that give it away."""
+    from pyspark.sql import functions as F
+
+    items = table(spark, d, "benchmark").select("item_id").distinct()
+    n = p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    return items.join(n, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from lectern.llm.residue import residue
+
+    return residue(table(spark, d, "documents")).select("doc_id")
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found}
 SQL: dict[str, str] = {}
