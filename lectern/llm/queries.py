@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.plans.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from lectern.llm.sentences import sentences
+
+    return sentences(table(spark, d, "scidoc").where("fmt <> 'paperxml' or fmt is null"), "scidoc_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     from lectern.llm.tokens import encode_corpus
 
@@ -34,5 +40,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found}
 SQL: dict[str, str] = {}
