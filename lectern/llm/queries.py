@@ -13,6 +13,26 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "scidoc").where("fmt <> 'paperxml' or fmt is null"), "scidoc_id")
 
 
+def _pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "scidoc")
+    english = rows.where("fmt = 'paperxml' or lower(trim(lang)) = 'en'")
+    return rows.where("fmt = 'paperxml'"), english
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from lectern.llm.pages import page_noise
+
+    rows, english = _pages(spark, d)
+    return page_noise(rows, "scidoc_id", words_from=english)
+
+
+def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    from lectern.llm.pages import paragraphs
+
+    rows, english = _pages(spark, d)
+    return paragraphs(rows, "scidoc_id", words_from=english)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     from lectern.llm.tokens import encode_corpus
 
@@ -40,5 +60,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found}
 SQL: dict[str, str] = {}
