@@ -102,6 +102,9 @@ def label(text: str) -> list[int]:
                 furniture += 0.5
         if s[:1].isupper() and _CLIPPED.search(s):
             furniture += 4.0
+        # The shape of a title: capitals at both ends, no punctuation.
+        if len(words) >= 3 and s[:1].isupper() and words[-1][:1].isupper() and not re.search(r"[,;:.()\[\]“”?!]", s) and sum(w[:1].isupper() for w in words) <= 3 and size < 0.85 * column:
+            furniture += 1.5
         # The text before and after it flows on as if the line weren't there.
         before = next((bare[p] for p in range(k - 1, -1, -1) if bodily[p]), "")
         after = next((bare[p] for p in range(k + 1, len(lines)) if bodily[p]), "")
@@ -110,8 +113,6 @@ def label(text: str) -> list[int]:
                 furniture += 2.0
             if (cut := _CUT.search(before)) and before[: cut.start()].split()[-1][:1].islower():
                 furniture += 4.0
-            if len(words) >= 3 and words[-1][:1].isupper() and not re.search(r"[,;:.()\[\]“”?!]", s) and sum(w[:1].isupper() for w in words) <= 3:
-                furniture += 1.5
         if k == filled[-1] and not ended and s[:1].isupper():
             furniture += 1.0
         scores.append([body, head, figures, furniture, -99])
