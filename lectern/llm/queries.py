@@ -33,6 +33,19 @@ def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return paragraphs(rows, "scidoc_id", words_from=english)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from lectern.llm.people import same_pairs
+
+    return same_pairs(p4_entities(spark, d))
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every author record with the entity it stands for."""
+    from lectern.llm.people import resolve
+
+    return resolve(table(spark, d, "authors"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     from lectern.llm.tokens import encode_corpus
 
@@ -60,5 +73,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_entities": p4_entities, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found}
 SQL: dict[str, str] = {}
