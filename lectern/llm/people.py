@@ -33,7 +33,7 @@ for _line in NICKNAMES.replace("\n", " ").split(";"):
 _TITLES = set("dr prof professor mr mrs ms miss sir dame rev phd ph.d md m.d msc bsc ma ba dphil jr sr ii iii iv esq dipl ing hon".split())
 _PARTICLES = set("de del della der den di da dos du van von zu la le al el ibn bin ter ten".split())
 _GROUP_TYPES = {"consortium": "consortium", "collaboration": "collaboration", "network": "network", "group": "group", "working": "", "team": "team", "project": "project", "taskforce": "taskforce", "initiative": "initiative", "committee": "committee", "alliance": "alliance", "society": "society", "association": "association", "investigators": "investigators", "panel": "panel", "board": "board", "partnership": "partnership", "council": "council"}
-_GROUP = re.compile(r"\b(?:consortium|collaboration|network|(?:working|study|research|interest) group|task force|project|team|initiative|committee|alliance|society|association|investigators|panel|partnership|council|on behalf of|cons\.|collab\.|netw\.|w\.?g\.|working grp\.?|wkg\.? grp\.?|grp\.|t\.?f\.|assoc\.|comm\.)(?=\W|$)", re.I)
+_GROUP = re.compile(r"\b(?:consortium|collaboration|network|(?:working|study|research|interest) group|task force|project|team|initiative|committee|alliance|society|association|investigators|panel|partnership|council|on behalf of|cons\.|collab\.|netw\.|working grp\.?|wkg\.? grp\.?|grp\.|task f\.|assoc\.|comm\.)(?=\W|$)", re.I)
 _INSTITUTION = {"univ": "university", "u": "university", "uni": "university", "inst": "institute", "tech": "technology", "natl": "national", "nat": "national", "lab": "laboratory", "labs": "laboratory", "laboratories": "laboratory", "acad": "academy", "sci": "sciences", "science": "sciences", "res": "research", "ctr": "centre", "center": "centre", "cent": "centre", "coll": "college", "polytech": "polytechnic", "poly": "polytechnic", "hosp": "hospital", "fac": "faculty", "dept": "department", "sch": "school"}
 _UNIT = re.compile(r"^\s*(?:dept|department|school|sch|faculty|fac|division|div|section|chair|lab(?:oratory)? (?:of|for)|institute (?:of|for) \w+)\b[^,]*,\s*", re.I)
 _LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "a", "œ": "o", "ı": "i", "ð": "d", "þ": "th"})
@@ -97,7 +97,7 @@ def parse_person(full: str | None, surname: str | None, meta: dict) -> list[tupl
     """(family, given, middle initials) as typed and, where the order is open, the other way round. Given may be an initial or empty."""
     text = fold(full or " ".join(str(meta.get(k) or "") for k in ("given", "middle", "family")))
     text = re.sub(r"\b(?:ph\.?\s?d|m\.d|d\.?phil|m\.?sc|b\.?sc)\b\.?|[*†‡§¹²³\d]+", " ", text)
-    caps = bool(full) and bool(re.search(r"\b[A-ZÀ-ÞŁØ][A-ZÀ-ÞŁØ’'-]{2,}\b", full))
+    caps = bool(full) and any(len(w) > 2 and w.isupper() for w in re.findall(r"[^\W\d_]+", full))
     comma = [p.strip(" .") for p in text.split(",")]
     comma = [p for p in comma if p and p.replace(".", "") not in _TITLES]
     known = fold(surname or str(meta.get("family") or "")).strip(" .,")
@@ -259,7 +259,7 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         keys |= {f"a|{a}|{end}|{i}" for a in affiliations for i in initials}
                         keys |= {f"b|{x}|{end}" for x in papers}
                     if kind == "p" and len(g) > 1:
-                        keys.add(f"c|{p}|{min(_CANON.get(g, {g}))}")
+                        keys |= {f"c|{p}|{g[0]}", f"c|<{p[:4]}|{min(_CANON.get(g, {g}))}", f"c|{p[-4:]}>|{min(_CANON.get(g, {g}))}"}
                     elif kind == "g":
                         keys.add(f"c|{p}|{_m}")
             form = "|".join(sorted(map(str, spellings))) + "|" + ",".join(sorted(affiliations)) if affiliations else None
@@ -279,7 +279,7 @@ def _scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     memo.clear()
                 s = memo[key] = compare([tuple(json.loads(v)) for v in one], [tuple(json.loads(v)) for v in two])
             group = key[0] and key[0][0].startswith('["g"')
-            ok = s >= 0.45 if shared_b else s >= (0.6 if group else 0.5) if shared_a else s >= 0.99 and not placed
+            ok = s >= 0.45 if shared_b else s >= (0.6 if group else 0.5) if shared_a else s >= 0.84 and not placed
             if ok:
                 out.append((x, y, s + 0.5 * bool(shared_b) + 0.4 * bool(shared_a), not (shared_a or shared_b)))
         yield pd.DataFrame(out, columns=["a", "b", "score", "weak"])
