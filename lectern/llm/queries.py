@@ -46,6 +46,17 @@ def p4_entities(spark: SparkSession, d: str) -> DataFrame:
     return resolve(table(spark, d, "authors"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_matches(spark, d).select("rec_id", "guid")
+
+
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every record of the other collection that has a paper, with its confidence."""
+    from lectern.llm.matching import match_records
+
+    return match_records(table(spark, d, "aan_records"), table(spark, d, "papers"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     from lectern.llm.tokens import encode_corpus
 
@@ -73,5 +84,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_entities": p4_entities, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_matches": p5_matches, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found}
 SQL: dict[str, str] = {}
