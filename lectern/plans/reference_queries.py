@@ -452,12 +452,12 @@ def q_word_windows(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.explode(D.word_windows(F.col("w"), F.col("p"), [(5, 5), (20, 20)])).alias("x")).select("doc_id", "x.method", F.array_join("x.words", " ").alias("words"))
 
 
-_SENT = "(SELECT DISTINCT guid AS doc, parent AS para, ord, text FROM scidoc WHERE parent IS NOT NULL)"
+_SENT = "(SELECT guid AS doc, min(parent) AS para, ord, min(text) AS text FROM scidoc WHERE parent IS NOT NULL GROUP BY guid, ord)"
 
 
 @query(f"""SELECT c.doc, c.ord AS cit_ord, s.ord, md5(s.text) AS digest FROM {_SENT} c JOIN {_SENT} s ON c.doc = s.doc AND s.ord BETWEEN c.ord - 2 AND c.ord + 1 AND c.para = s.para WHERE contains(c.text, '(')""")
 def q_sentence_window(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "scidoc").where("parent is not null").select(F.col("guid").alias("doc"), F.col("parent").alias("para"), "ord", "text").distinct()
+    s = table(spark, d, "scidoc").where("parent is not null").groupBy(F.col("guid").alias("doc"), "ord").agg(F.min("parent").alias("para"), F.min("text").alias("text"))
     c = s.where(F.contains("text", F.lit("("))).select("doc", F.col("ord").alias("cit_ord"), F.col("text").alias("ct"))
     w = D.sentence_window(s, c, "2up_1down_withinpara")
     return w.select("doc", "cit_ord", "ord", F.md5(F.col("text").cast("binary")).alias("digest"))
@@ -654,3 +654,41 @@ def x_greedy_weights(spark: SparkSession, d: str) -> DataFrame:
     """Trained field weights with the mean NDCG they reach."""
     w, v = L.greedy_weights(_hits(spark, d), _matches(spark, d), ["head", "text"])
     return spark.createDataFrame([(f, x, v) for f, x in w.items()], "field string, weight double, ndcg double")
+
+
+# ---- experiments and streams ----
+@query(None)
+def e_experiment(spark: SparkSession, d: str) -> DataFrame:
+    """Two representations by two query windows, measured."""
+    from lectern.plans.experiment import run
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("guid"), "text")
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    m = _matches(spark, d).select("query_id", F.col("guid").cast("string").alias("guid"))
+    out = run({"doc_methods": {"full_text": {}, "passage": {"parameters": [100]}}, "query_methods": {"whole": {}, "window": {"parameters": [20]}}}, docs, q, m)
+    return out.select("doc_method", "query_method", "n_queries", *[F.round(f"avg_{c}", 6).alias(f"avg_{c}") for c in ("mrr", "ndcg")])
+
+
+@query("SELECT collection_id, count(*) AS n FROM papers WHERE year IS NOT NULL AND (lower(collection_id) = 'aac' OR lower(norm_title) LIKE 'does %') AND year <> '2005' AND num_inlinks >= 1 GROUP BY 1")
+def e_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """A condition string over the store."""
+    from lectern.plans.conditions import parse
+
+    p = table(spark, d, "papers").where(F.col("year").isNotNull() & parse('(collection_id:AAC OR norm_title:"does *") AND NOT year:2005 AND num_inlinks:>=1'))
+    return p.groupBy("collection_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The windowed aggregation of the stream, over the table."""
+    from lectern.streaming.ingest import windowed
+
+    return windowed(table(spark, d, "events"), "ts", ["event_type"], "value").withColumn("total", F.round("total", 4))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    from lectern.streaming.ingest import sessions
+
+    return sessions(table(spark, d, "events"), "ts", "user_id")
