@@ -107,11 +107,12 @@ def bins(weight: Column, edges: tuple[float, ...] = (0.0, 0.02, 0.04, 0.06, 0.08
     return reduce(lambda c, i: F.when(weight > edges[i], i).otherwise(c), range(len(edges)), F.lit(-1))
 
 
-_Q = Window.partitionBy("query_id")
+def _q():  # noqa: ANN202
+    return Window.partitionBy("query_id")
 
 
 def _scaled(c: Column) -> Column:
-    return c / F.max("__w").over(_Q)
+    return c / F.max("__w").over(_q())
 
 
 def _extremes(low: int, high: int, by_low: float, by_high: float) -> Column:
@@ -131,12 +132,12 @@ TRANSFORMS: dict[str, Callable[..., Column]] = {
     "bottom": lambda k=3, by=10.0: _extremes(k, 0, by, 1.0),
     "extremes": lambda high=3, by_high=2.0, low=3, by_low=0.5: _extremes(low, high, by_low, by_high),
     "invert": lambda by=1.0: F.try_divide(F.lit(by), F.col("weight")),
-    "raise_low": lambda part=1.0: F.when(F.col("weight") < F.max("weight").over(_Q) / F.count("*").over(_Q) * part, F.col("weight") * 10).otherwise(F.col("weight")),
-    "by_max": lambda: F.col("weight") / F.max("weight").over(_Q),
-    "sigmoid": lambda: sigmoid(F.col("weight") / F.max("weight").over(_Q)),
+    "raise_low": lambda part=1.0: F.when(F.col("weight") < F.max("weight").over(_q()) / F.count("*").over(_q()) * part, F.col("weight") * 10).otherwise(F.col("weight")),
+    "by_max": lambda: F.col("weight") / F.max("weight").over(_q()),
+    "sigmoid": lambda: sigmoid(F.col("weight") / F.max("weight").over(_q())),
     "power": lambda p=2.0: F.pow("weight", F.lit(p)),
     "over_sigmoid": lambda p=1.0: F.col("weight") / F.pow(sigmoid("weight"), F.lit(p)),
-    "quadratic": lambda p=1.0: F.col("weight") * (1 + F.pow(F.pow(F.col("weight") / F.max("weight").over(_Q) - F.max("weight").over(_Q) / 2, F.lit(2.0)), F.lit(p))),
+    "quadratic": lambda p=1.0: F.col("weight") * (1 + F.pow(F.pow(F.col("weight") / F.max("weight").over(_q()) - F.max("weight").over(_q()) / 2, F.lit(2.0)), F.lit(p))),
     "tanh": lambda: F.col("weight") * F.tanh("weight"),
 }
 #: Transforms whose result is divided by the query's largest.

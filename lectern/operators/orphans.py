@@ -56,6 +56,8 @@ def orphan_keys(children: DataFrame, child_key: str, parents: DataFrame, parent_
 def _cuts(children: DataFrame, slices: int) -> list[int]:
     """Quantiles of the children's times in microseconds; at most ``slices`` - 1 numbers."""
     q = [i / slices for i in range(1, slices)]
+    if not q:
+        return []
     found = children.where(F.col("t").isNotNull()).select(F.unix_micros(F.col("t").cast("timestamp")).cast("double").alias("u")).approxQuantile("u", q, 0.002)
     return sorted({int(x) for x in found})
 
