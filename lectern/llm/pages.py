@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.shared import full_frames
+
 BODY, HEADING, FIGURES, FURNITURE, BREAK = range(5)
 #: Words in the lexicon, a bound on what is spread to the workers: the most frequent of those seen at least twice.
 LEXICON_WORDS = 200_000
@@ -380,6 +382,7 @@ def _paragraphs(lines: list[str], labels: list[int], kept: list[int], clean: dic
 def count_words(texts: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) in lower case over all texts, hyphened words also as a whole; pieces at cut line ends are left out. Counted in each batch first."""
 
+    @full_frames
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         word = re.compile(r"[^\W_]+(?:[-‐][^\W\d_]+)*")
         for b in batches:
@@ -410,6 +413,7 @@ def page_noise(texts: DataFrame, row_id: str, text: str = "text", lexicon: Lexic
     lexicon = lexicon or train(words_from if words_from is not None else texts, text)
     spread = texts.sparkSession.sparkContext.broadcast(lexicon.counts)
 
+    @full_frames
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = Lexicon(spread.value)
         for b in batches:
@@ -425,6 +429,7 @@ def paragraphs(texts: DataFrame, row_id: str, text: str = "text", lexicon: Lexic
     lexicon = lexicon or train(words_from if words_from is not None else texts, text)
     spread = texts.sparkSession.sparkContext.broadcast(lexicon.counts)
 
+    @full_frames
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = Lexicon(spread.value)
         for b in batches:

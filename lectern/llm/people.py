@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.shared import full_frames
+
 #: Forms of given names, the full name first.
 NICKNAMES = """
 alexander alex sandy al xander; alexandra alex sandra sasha; andrew andy drew; anthony tony; anastasia stacy ana; barbara barb babs; benjamin ben benny; charles charlie chuck; christopher chris kit; christina chris tina; daniel dan danny; david dave davy; deborah deb debbie debra; dorothy dot dottie dolly;
@@ -233,6 +235,7 @@ def compare(one: list[tuple[str, str, str, str]], two: list[tuple[str, str, str,
     return best
 
 
+@full_frames
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
@@ -255,7 +258,8 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 parts = [p for p in re.split(r"[\s-]+", f) if len(p) >= 2] if kind == "p" else [f]
                 initials = {g[:1], *(c[0] for c in _CANON.get(g, ()))} if kind == "p" else {""}
                 for p in parts:
-                    for end in (f"<{p[:4]}", f"{p[-4:]}>"):
+                    n = min(4, max(2, len(p) // 2))  # a slip leaves one end whole
+                    for end in (f"<{p[:n]}", f"{p[-n:]}>"):
                         keys |= {f"a|{a}|{end}|{i}" for a in affiliations for i in initials}
                         keys |= {f"b|{x}|{end}" for x in papers}
                     if kind == "p" and len(g) > 1:
@@ -267,6 +271,7 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["guid", "spellings", "keys", "placed", "form"])
 
 
+@full_frames
 def _scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     memo: dict[tuple, float] = {}
     for b in batches:

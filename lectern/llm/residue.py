@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lectern.llm.shared import full_frames
+
 _CODE = re.compile(r"```.*?```|~~~.*?~~~|<(code|pre|kbd|samp)\b[^>]*>.*?</\1>|`[^`\n]{1,200}`|(?:^|\n)(?: {4}|\t)[^\n]*[{};=][^\n]*(?=\n|$)|\\begin\{(verbatim|lstlisting)\}.*?\\end\{\2\}", re.S | re.I)
 #: Element names of mark-up, which in angle brackets are no slots.
 _HTML = "a|abbr|b|bib|body|br|cit|cite|code|dd|div|dl|dt|em|fig|font|footer|formula|h[1-6]|head|header|hr|html|i|img|italic|kbd|label|li|math|ol|p|pre|q|ref|s|samp|script|sec|section|small|span|strong|sub|sup|table|tbody|td|th|title|tr|tt|u|ul|var|xref"
@@ -160,11 +162,13 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     Every row of ``docs`` is judged by its own whole text; rows that repeat come out repeatedly, null and blank texts never. Other columns are not read.
     """
 
+    @full_frames
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [find_residue(t) for t in b[text]]
             keep = [bool(f) for f in found]
-            yield pd.DataFrame({doc_id: b[doc_id][keep], "kinds": [sorted({k for k, _ in f}) for f in found if f], "n": [len(f) for f in found if f]})
+            kinds = pd.Series([sorted({k for k, _ in f}) for f in found if f], dtype=object)
+            yield pd.DataFrame({doc_id: b[doc_id][keep].reset_index(drop=True), "kinds": kinds, "n": pd.Series([len(f) for f in found if f], dtype="int32")})
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, text).mapInPandas(judge, f"`{doc_id}` {kind}, kinds array<string>, n int")

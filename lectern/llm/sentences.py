@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.shared import full_frames
+
 #: Words whose dot never ends a sentence (before a name, a number or a further word), in lower case without the last dot.
 NEVER = set(
     "dr prof mr mrs ms mx st rev hon gen col capt sgt lt sen rep gov messrs fig figs eq eqs ref refs sec sect sects ch chap chaps vol vols no nos pp p tab tabs app apps ex viz approx esp vs cf e.g i.e e.g. ca incl resp ed eds dept univ op cit art para def thm prop lem cor alg ibid "
@@ -85,6 +87,7 @@ def _dotted(text: str) -> Iterator[tuple[str, bool]]:
 def train(texts: DataFrame, text: str) -> Model:
     """Count openings and dotted words over all texts, in each batch first. Openings of a thousandth of their script's texts are kept."""
 
+    @full_frames
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             seen: Counter = Counter()
@@ -301,6 +304,7 @@ def sentences(texts: DataFrame, row_id: str, text: str = "text", model: Model |
     """
     spread = texts.sparkSession.sparkContext.broadcast(model or train(texts, text))
 
+    @full_frames
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(r, n, a, z) for r, t in zip(b[row_id], b[text], strict=True) for n, (a, z) in enumerate(split(t, spread.value), 1)]

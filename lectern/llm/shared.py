@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import SparkSession
 
 from lectern.plans.session import shared_dir
@@ -20,3 +22,14 @@ def put(spark: SparkSession, data: bytes, name: str) -> str:
     out.close()
     spark.sparkContext.addFile(path.toString())
     return own
+
+
+def full_frames(f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A batch function that hands on no empty frames, whose column types can't be told."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for out in f(batches):
+            if len(out):
+                yield out
+
+    return run

@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.shared import full_frames
+
 #: Fixed value: the splitting pattern published with the vocabulary. White space is Unicode's.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words in the transducer, a bound on its size; others are merged where they occur, so the result doesn't depend on it.
@@ -217,6 +219,7 @@ class Encoder:
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
     """(word, n) over all texts, counted in each batch before the shuffle. Words over 64 characters are left to merging."""
 
+    @full_frames
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split = regex.compile(PATTERN).findall
         seen: Counter = Counter()
@@ -251,6 +254,7 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
     path = vocabulary or vocabulary_path()
     name = put(spark, build_lexicon(docs, text, load_ranks(path), words).to_bytes(), "lexicon")
 
+    @full_frames
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         local = SparkFiles.get(name)
         enc = Encoder(load_ranks(path), Transducer.map(local) if os.path.getsize(local) else None)
