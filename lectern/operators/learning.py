@@ -29,7 +29,9 @@ def min_max(value: str, *ctx: str) -> Column:
 
 def folds(rows: DataFrame, order: list[str], k: int) -> DataFrame:
     """Adds fold: contiguous parts in order, the first n mod k of them one longer."""
-    return rows.withColumn("fold", F.ntile(k).over(Window.orderBy(*order)) - 1)
+    from lectern.operators.ranks import tiles
+
+    return tiles(rows, order, k, "fold").withColumn("fold", F.col("fold") - 1)
 
 
 def manual_keywords(col: Column | str, stopwords: list[str]) -> Column:

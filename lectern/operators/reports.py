@@ -37,8 +37,10 @@ def zone_totals(rows: DataFrame, zone: Column) -> DataFrame:
 
 
 def smoothed(rows: DataFrame, order: list[str], value: str, buckets: int) -> DataFrame:
-    """Means over equal parts of the ordered rows: (bucket, n, mean). Ranks come from two-level counting by range partitions."""
-    t = rows.withColumn("bucket", F.ntile(buckets).over(Window.orderBy(*order)))
+    """Means over equal parts of the ordered rows: (bucket, n, mean)."""
+    from lectern.operators.ranks import tiles
+
+    t = tiles(rows.select(*order, value), order, buckets, "bucket")
     return t.groupBy("bucket").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 

@@ -88,3 +88,14 @@ def test_orphans_against_brute_force(spark):
 def test_orphan_keys_without_time(spark):
     c, p = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "k string"), spark.createDataFrame([("b",), (None,)], "k string")
     assert list(map(tuple, orphans.orphan_keys(c, "k", p, "k").collect())) == [("a", 2)]
+
+
+def test_numbers_and_tiles(spark):
+    from lectern.operators.ranks import numbered, tiles
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.lit("x").alias("row"))
+    got = {r["v"]: r["row_no"] for r in numbered(rows, ["v"]).collect()}
+    assert got == {v: v + 1 for v in range(1000)}
+    t = tiles(spark.range(10), ["id"], 4).groupBy("tile").count().collect()
+    assert sorted(map(tuple, t)) == [(1, 3), (2, 3), (3, 2), (4, 2)]
+    assert tiles(spark.range(2), ["id"], 4).count() == 2 and numbered(spark.range(0), ["id"]).count() == 0
