@@ -692,3 +692,72 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     from lectern.streaming.ingest import sessions
 
     return sessions(table(spark, d, "events"), "ts", "user_id")
+
+
+# ---- further operators ----
+@query(f"WITH {_HITS}, dl AS (SELECT guid, sum(l) AS l FROM len GROUP BY 1), h AS (SELECT query_id, guid, sum(c * power(1 + ln(n / (df + 1)), 2) * sqrt(tf) / sqrt(dl.l) * {_W}) AS s FROM {_QT} JOIN tm USING (term) JOIN post USING (field, term) JOIN dl USING (guid), n GROUP BY 1, 2) SELECT query_id, count(*) AS n, round(sum(s), 3) AS total FROM h WHERE s > 0 GROUP BY 1")
+def i_document_norm(spark: SparkSession, d: str) -> DataFrame:
+    s = I.score(I.formula_hits(_index(spark, d), _query_terms(spark, d), "document"), _FIELDS)
+    return s.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total"))
+
+
+@query(f"WITH post AS {_POST}, t AS (SELECT field, term, count(*) AS df, sum(tf) AS ttf FROM post GROUP BY 1, 2) SELECT field, term, df FROM t WHERE df BETWEEN 3 AND 200 AND length(term) >= 4 AND regexp_full_match(term, '[a-z]+')")
+def f_term_filter(spark: SparkSession, d: str) -> DataFrame:
+    from lectern.operators.terms import filter_terms
+
+    return filter_terms(_index(spark, d).terms, 3, 200, 4).where(F.col("term").rlike("^[a-z]+$")).select("field", "term", "df")
+
+
+@query(f"""WITH w AS (SELECT DISTINCT g AS guid, unnest(regexp_extract_all(lower(norm_title), '{_T}')) AS term FROM {_CURRENT}), e AS {_PAIRS} SELECT e.a AS guid, e.b AS "to", count(*) AS n_shared FROM e JOIN w x ON x.guid = e.a JOIN w y ON y.guid = e.b AND y.term = x.term GROUP BY 1, 2""")
+def j_shared_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Words of a citing paper's title that the cited one's has too."""
+    from lectern.operators.terms import shared_terms
+
+    p = J.current(table(spark, d, "papers")).select(F.col("GUID").alias("guid"), F.explode(X.tokens("norm_title")).alias("term"))
+    links = table(spark, d, "links").select(guid_key("GUID_from").alias("guid"), guid_key("GUID_to").alias("to")).where("guid <> '' and `to` <> ''")
+    return shared_terms(p, links)
+
+
+@query(f"""WITH a AS (SELECT rec_id, nullif(regexp_extract(year, '(1[89]\\d\\d|20\\d\\d)', 1), '') AS y, {_SN.format('author')} AS s FROM aan_records), p AS (SELECT g, nullif(regexp_extract(year, '(1[89]\\d\\d|20\\d\\d)', 1), '') AS y, {_SN.format('surnames')} AS s FROM {_CURRENT})
+SELECT DISTINCT rec_id AS ref_id, g AS guid FROM a JOIN p ON a.y = p.y AND len(p.s) > 0 AND len(list_intersect(a.s, p.s)) > 0 WHERE len(list_filter(p.s, lambda x: len(list_filter(a.s, lambda z: contains(z, x))) > 0)) / len(p.s) >= 0.95""")
+def j_author_overlap(spark: SparkSession, d: str) -> DataFrame:
+    from lectern.operators.terms import author_overlap_matches
+
+    refs = table(spark, d, "aan_records").select(F.col("rec_id").alias("ref_id"), J.year_number("year").alias("year"), J.names("author").alias("names"))
+    papers = J.current(table(spark, d, "papers")).select(F.col("GUID").alias("guid"), J.year_number("year").alias("year"), J.names("surnames").alias("surnames"))
+    return author_overlap_matches(refs, papers)
+
+
+@query(r"""WITH s AS (SELECT guid AS doc, ord, min(text) AS text FROM scidoc WHERE text IS NOT NULL GROUP BY 1, 2), f AS (SELECT *, CASE WHEN coalesce(regexp_matches(lag(text) OVER (PARTITION BY doc ORDER BY ord), 'et al\.\s*$'), false) THEN 0 ELSE 1 END AS new FROM s), g AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY ord) AS k FROM f)
+SELECT doc, min(ord) AS ord, md5(string_agg(text, ' ' ORDER BY ord)) AS digest FROM g GROUP BY doc, k""")
+def t_merge_et_al(spark: SparkSession, d: str) -> DataFrame:
+    from lectern.operators.terms import merge_after_et_al
+
+    s = table(spark, d, "scidoc").where("text is not null").groupBy(F.col("guid").alias("doc"), "ord").agg(F.min("text").alias("text"))
+    return merge_after_et_al(s).select("doc", "ord", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(r"SELECT scidoc_id, coalesce(regexp_matches(text, '(?i)\bwe\s+(?:compare|estimate|measure)\b|\bfollowing\s+\w+'), false) AS F_own FROM scidoc")
+def t_formulaic(spark: SparkSession, d: str) -> DataFrame:
+    from lectern.functions.annotate import formulaic
+
+    f = formulaic("text", {"own": ["we @ACT", "following NN"]}, {"ACT": ["compare", "estimate", "measure"]})
+    return table(spark, d, "scidoc").select("scidoc_id", f["F_own"].alias("F_own"))
+
+
+@query(f"""WITH k AS (SELECT scidoc_id, elem_type, lower(coalesce(lang, 'none')) AS zone, text FROM scidoc WHERE text IS NOT NULL) SELECT zone, elem_type, count(*) AS n, sum(len(regexp_extract_all(lower(text), '{_T}'))) AS n_tokens FROM k GROUP BY ROLLUP (zone, elem_type)""")
+def a_zone_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Corpus statistics by zone and element type with all subtotals."""
+    s = table(spark, d, "scidoc").where("text is not null").select(F.coalesce(F.lower("lang"), F.lit("none")).alias("zone"), "elem_type", F.size(X.tokens("text")).alias("k"))
+    return s.rollup("zone", "elem_type").agg(F.count("*").alias("n"), F.sum("k").alias("n_tokens"))
+
+
+@query(None)
+def k_keyphrases(spark: SparkSession, d: str) -> DataFrame:
+    """Words that rank high in a document's graph and stand in its frequent phrases."""
+    from lectern.operators.terms import text_rank
+
+    docs = table(spark, d, "benchmark")
+    r = text_rank(docs, "item_id", "text", 5).select("item_id", F.col("term"), F.round("score", 6).alias("score"))
+    phrase = K.ngrams(docs, "item_id", X.tokens("text"), 2, 1, X.STOPWORDS).select("item_id", F.explode(F.split("ngram", " ")).alias("term")).distinct()
+    return r.join(phrase, ["item_id", "term"], "left_semi")

@@ -209,3 +209,28 @@ def test_experiment_runs(spark):
     got = run({"doc_methods": {"full_text": {}, "passage": {"parameters": [2]}}, "query_methods": {"whole": {}}, "scorers": ["sum", "best_field"]}, docs, q, m).collect()
     assert len(got) == 4 and all(r["avg_mrr"] == 1 for r in got)
     assert [x.name for x in expand({"ilc": {"parameters": [1, 2], "inner_parameters": ["a"]}})] == ["ilc_1_a", "ilc_2_a"]
+
+
+def test_annotated_citations(spark):
+    from lectern.functions.annotate import annotate_citations, author_mentions, guid_of, nfkd
+
+    t = spark.createDataFrame([("We follow Foo et al. (2013) and (Bar and Qaz, 2010).", "APA"), ("See [1] and [2,5-7].", "AFI"), ("plain", None), (None, "APA")], "t string, s string")
+    got = [r["x"] for r in t.select(annotate_citations("t", "s").alias("x")).collect()]
+    assert got[0]["text"] == "We follow <CIT ID=1/> and (<CIT ID=2/>)." and [(c["a1"], c["a2"], c["etal"], c["year"]) for c in got[0]["citations"]] == [("Foo", None, True, "2013"), ("Bar", "Qaz", False, "2010")]
+    assert got[1]["text"] == "See <CIT ID=1/> and <CIT ID=2/>." and [c["nums"] for c in got[1]["citations"]] == [[1], [2, 5, 6, 7]]
+    assert got[2]["text"] == "plain" and got[3]["text"] is None
+    m = spark.createDataFrame([("as Foo and Bar (2001) say", ["Foo", "Bar"]), ("x", None), (None, ["Foo"])], "t string, n array<string>")
+    assert [r[0] for r in m.select(author_mentions("t", "n")).collect()] == ["as __author say", "x", None]
+    g = spark.createDataFrame([("ﬁ", "b"), (None, "b")], "a string, b string")
+    assert [r[0] for r in g.select(nfkd("a")).collect()] == ["fi", None] and len({r[0] for r in g.select(guid_of("a", "b")).collect()}) == 2
+
+
+def test_terms_and_graphs(spark):
+    from lectern.operators import terms as T
+
+    d = spark.createDataFrame([("d", "deep cats", "cats run", "wild cats wild cats")], "k string, t string, a string, b string")
+    assert {r["ngram"]: r["n"] for r in T.document_keyphrases(d, "k", "t", "a", "b").collect()} == {"deep cats": 1, "cats run": 1, "wild cats": 2}
+    r = {x["term"]: x["score"] for x in T.text_rank(spark.createDataFrame([("d", "hub a hub b hub c")], "k string, t string"), "k", "t").collect()}
+    assert max(r, key=r.get) == "hub"
+    nodes, links = T.graph(spark.createDataFrame([("x", "y"), ("x", "y")], "a string, b string"), spark.createDataFrame([("x", "l")], "guid string, label string"))
+    assert nodes.count() == 2 and links.first()["weight"] == 2
