@@ -314,12 +314,17 @@ def resolve(authors: DataFrame, most_rounds: int = 60) -> DataFrame:
     assign = written(assign.join(assign.select(F.col("guid").alias("pid"), F.col("pid").alias("next")), "pid", "left").select("guid", F.coalesce("next", "pid").alias("pid")), "assign")
     active = None
     for _ in range(most_rounds):
-        own_keys = keys.join(assign, "guid").select("pid", "key").distinct()
-        left, right = own_keys.select(F.col("pid").alias("a"), "key"), own_keys.select(F.col("pid").alias("b"), "key")
-        if active is not None:
-            left = left.join(active.select(F.col("pid").alias("a")), "a", "left_semi")
-        kind = F.substring("key", 1, 1)
-        pairs = left.join(right, "key").where("a <> b" if active is not None else "a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), kind.alias("kind"))
+        flags = records.select("guid", "placed").join(assign, "guid").groupBy("pid").agg(F.max("placed").alias("placed"))
+        if active is None:
+            flags = flags.withColumn("live", F.lit(True))
+        else:
+            flags = flags.join(active.withColumn("live", F.lit(True)), "pid", "left").na.fill(False, ["live"])
+        own = keys.join(assign, "guid").select("pid", "key").distinct().join(flags, "pid").withColumn("kind", F.substring("key", 1, 1))
+        right = own.select(F.col("pid").alias("b"), "key", F.col("live").alias("live_b"))
+        # A shared name alone counts only where one side has no affiliation, so only such profiles ask by it.
+        strong = own.where("kind <> 'c' and live").join(right, "key")
+        weak = own.where("kind = 'c' and not placed").join(right, "key").where("live or live_b")
+        pairs = strong.select("pid", "b", "kind").unionByName(weak.select("pid", "b", "kind")).where("pid <> b").select(F.least("pid", "b").alias("a"), F.greatest("pid", "b").alias("b"), "kind")
         pairs = pairs.groupBy("a", "b").agg(F.max(F.when(F.col("kind") == "a", 1).otherwise(0)).alias("by_place"), F.max(F.when(F.col("kind") == "b", 1).otherwise(0)).alias("by_paper"))
         profiles = spellings.join(assign, "guid").groupBy("pid").agg(F.collect_set("spelling").alias("s"), F.max("placed").alias("placed"))
         one = profiles.select(F.col("pid").alias("a"), F.col("s").alias("s1"), F.col("placed").alias("placed1"))
