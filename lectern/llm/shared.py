@@ -8,19 +8,14 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import SparkSession
 
-from lectern.plans.session import shared_dir
+from lectern.plans.session import put_bytes
 
 
 def put(spark: SparkSession, data: bytes, name: str) -> str:
     """Hand ``data`` to the workers as a file: written into the shared folder, fetched once by each executor, replacements of lost
     ones included. Returns its name for SparkFiles.get."""
     own = f"{name}-{uuid.uuid4().hex}.bin"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{own}")
-    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
-    out.write(bytearray(data))
-    out.close()
-    spark.sparkContext.addFile(path.toString())
+    spark.sparkContext.addFile(put_bytes(spark, data, own))
     return own
 
 
