@@ -274,12 +274,15 @@ def test_matching_of_nothing(spark):
     assert match_records(B, P.limit(0)).count() == 0
 
 
-def test_calibration_leans_to_the_labels():
-    from lectern.llm.matching import PRIOR, calibrate, confidence
-
-    x = np.zeros((200, len(PRIOR) - 1))
-    x[:100, :2] = 0.95
-    y = np.r_[np.ones(100), np.zeros(100)]
-    w = calibrate(x, y)
-    c = confidence(x, w, np.zeros(200), np.zeros(200))
-    assert c[:100].min() > 0.5 > c[100:].max() and (calibrate(x[:0], y[:0]) == PRIOR).all()
+def test_calibration_leans_to_the_labels_but_not_to_wrong_ones():
+    from lectern.llm.matching import WEIGHTS, calibrate, confidence
+
+    x = np.zeros((300, len(WEIGHTS) - 1))
+    x[:100, :2], x[:100, 3] = 0.95, 1.0
+    x[100:, 1] = 0.5
+    y = np.r_[np.ones(100), np.zeros(200)]
+    c = confidence(x, calibrate(x, y), np.zeros(300), np.zeros(300))
+    assert c[:100].min() > 0.9 > 0.1 > c[100:].max() and calibrate(x[:0], y[:0]) == (1.0, 0.0)
+    wrong = np.r_[np.zeros(100), np.ones(200)]
+    c = confidence(x, calibrate(x, wrong), np.zeros(300), np.zeros(300))
+    assert c[:100].min() > 0.5 > c[100:].max()
