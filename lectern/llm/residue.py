@@ -38,6 +38,7 @@ PLACEHOLDERS: dict[str, str] = {
     "command": r"\\[A-Za-z]+\{\s*(?:type|enter|insert|your|add|write|put)\b[^{}]{0,60}\}",
     "crosses": r"\bX{3,}(?:\s+et\s+al\.?|,)?\s*\(?\s*X{2,}\b\)?|\bX{4,}\b",
     "query": r"\(\s*[A-Za-z]{2,20}\?\s*(?:[,;]\s*[A-Za-z]{2,20}\?\s*)+\)",
+    "to_do": r"(?<![\w-])(?:TBD|TBA|TBC|TODO|FIXME|TKTK)\b(?:\s*:)?",
     "sample_name": r"\b(?:first\s?name\s+(?:last\s?name|surname)|given\s?name\s+(?:family\s?name|surname)|name\s+surname)\b",
     "unset": r"\b(?:undefined|null|nan|none|nil)\s+\w+\s+(?:of|by|in|for|and|on|to)\s+(?:undefined|null|nan|none|nil)\b|\[object\s+object\]|\b(?:undefined|null|nan)(?:\s*,?\s*(?:undefined|null|nan)\b){1,}",
 }
@@ -47,7 +48,7 @@ _PLACE = [(k, re.compile(p, re.I if k in _FOLD else 0)) for k, p in PLACEHOLDERS
 #: Words of the common Latin filler text (fixed values).
 _LATIN = set(
     "lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
-    "vivamus vestibulum curabitur pellentesque habitant morbi tristique senectus netus malesuada fames ac turpis egestas praesent mauris fusce nec tellus felis porta nibh mollis lacus vitae ornare tempus nullam auctor purus congue vero at accusam justo duo dolores rebum stet clita kasd gubergren sea takimata sanctus donec faucibus orci luctus ultrices posuere cubilia suspendisse lobortis sapien integer aliquam phasellus sagittis augue risus semper nam cras".split()
+    "vivamus vestibulum curabitur pellentesque habitant morbi tristique senectus netus malesuada fames ac turpis egestas praesent mauris fusce nec tellus felis porta nibh mollis lacus vitae ornare tempus nullam auctor purus congue vero at accusam justo duo dolores rebum stet clita kasd gubergren sea takimata consectus elitum sanctus donec faucibus orci luctus ultrices posuere cubilia suspendisse lobortis sapien integer aliquam phasellus sagittis augue risus semper nam cras".split()
 )
 
 _THING = r"(?:page|record|article|document|text|request|export|view|volume|content|contents|session|resource|file|site|website|abstract|paper|item|issue|link|url|address|doi|service|server|application|database|viewer|reader|download|pdf|figure|account|journal)"
