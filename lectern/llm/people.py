@@ -266,9 +266,15 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         keys |= {f"c|{p}|{g[0]}", f"c|<{p[:4]}|{min(_CANON.get(g, {g}))}", f"c|{p[-4:]}>|{min(_CANON.get(g, {g}))}"}
                     elif kind == "g":
                         keys.add(f"c|{p}|{_m}")
-            form = "|".join(sorted(map(str, spellings))) + "|" + ",".join(sorted(affiliations)) if affiliations else None
-            rows.append((guid, [json.dumps(s, ensure_ascii=False) for s in spellings], sorted(keys), bool(affiliations), form))
-        yield pd.DataFrame(rows, columns=["guid", "spellings", "keys", "placed", "form"])
+            name = "|".join(sorted(map(str, spellings)))
+            if not spellings:
+                forms = []
+            elif affiliations:
+                forms = [f"{name}|{','.join(sorted(affiliations))}"]
+            else:
+                forms = [f"{name}|{x}" for x in sorted(papers)] if spellings[0][0] == "g" or any(g for _, _, g, _ in spellings) else []
+            rows.append((guid, [json.dumps(s, ensure_ascii=False) for s in spellings], sorted(keys), bool(affiliations), forms, name))
+        yield pd.DataFrame(rows, columns=["guid", "spellings", "keys", "placed", "forms", "name"])
 
 
 @full_frames
@@ -303,12 +309,13 @@ def resolve(authors: DataFrame, most_rounds: int = 60) -> DataFrame:
     named = authors.where(F.col("GUID").isNotNull()).select(guid_key("GUID").alias("key"), F.col("GUID").alias("guid"), "full_name", "surname", "metadata")
     first = named.groupBy("key").agg(F.min("guid").alias("guid"))
     rows = named.select("key", "full_name", "surname", "metadata").distinct().withColumnRenamed("key", "guid")
-    records = written(rows.mapInPandas(_records, "guid string, spellings array<string>, keys array<string>, placed boolean, form string"), "people")
+    records = written(rows.mapInPandas(_records, "guid string, spellings array<string>, keys array<string>, placed boolean, forms array<string>, name string"), "people")
     spellings = records.select("guid", "placed", F.explode("spellings").alias("spelling"))
     keys = records.select("guid", F.explode("keys").alias("key"))
-    # Round 0: equal readings at the same institution are one profile.
-    forms = records.where("form is not null").groupBy("form").agg(F.min("guid").alias("pid"))
-    equal = records.join(forms, "form", "left").groupBy("guid").agg(F.min(F.coalesce("pid", "guid")).alias("pid"))
+    # Round 0: equal readings at the same institution, or without any on the same paper, are one profile; however many there are, they meet in no pair.
+    by_form = records.select("guid", F.explode("forms").alias("form"))
+    least = by_form.groupBy("form").agg(F.min("guid").alias("pid"))
+    equal = by_form.join(least, "form").select("guid", "pid").unionByName(records.select("guid", F.col("guid").alias("pid"))).groupBy("guid").agg(F.min("pid").alias("pid"))
     assign = written(equal, "assign")
     # A GUID whose rows read differently keeps the least profile; such profiles may point at one another, so follow once more.
     assign = written(assign.join(assign.select(F.col("guid").alias("pid"), F.col("pid").alias("next")), "pid", "left").select("guid", F.coalesce("next", "pid").alias("pid")), "assign")
@@ -323,7 +330,13 @@ def resolve(authors: DataFrame, most_rounds: int = 60) -> DataFrame:
         right = own.select(F.col("pid").alias("b"), "key", F.col("live").alias("live_b"))
         # A shared name alone counts only where one side has no affiliation, so only such profiles ask by it.
         strong = own.where("kind <> 'c' and live").join(right, "key")
-        weak = own.where("kind = 'c' and not placed").join(right, "key").where("live or live_b")
+        # Where three profiles or more bear one name, none of them is a sole namesake: they don't ask, and two of them stand for all when asked.
+        bearers = records.select("guid", "name").join(assign, "guid").groupBy("pid").agg(F.min("name").alias("n1"), F.max("name").alias("n2")).where("n1 = n2")
+        common = bearers.groupBy("n1").agg(F.count("*").alias("n"), F.min("pid").alias("p1"), F.max("pid").alias("p2")).where("n >= 3")
+        crowd = bearers.join(common, "n1").select("pid", ((F.col("pid") == F.col("p1")) | (F.col("pid") == F.col("p2"))).alias("stands"))
+        by_name = own.where("kind = 'c'").join(crowd, "pid", "left")
+        asked = by_name.where("stands is null or stands").select(F.col("pid").alias("b"), "key", F.col("live").alias("live_b"))
+        weak = by_name.where("stands is null and not placed").join(asked, "key").where("live or live_b")
         pairs = strong.select("pid", "b", "kind").unionByName(weak.select("pid", "b", "kind")).where("pid <> b").select(F.least("pid", "b").alias("a"), F.greatest("pid", "b").alias("b"), "kind")
         pairs = pairs.groupBy("a", "b").agg(F.max(F.when(F.col("kind") == "a", 1).otherwise(0)).alias("by_place"), F.max(F.when(F.col("kind") == "b", 1).otherwise(0)).alias("by_paper"))
         profiles = spellings.join(assign, "guid").groupBy("pid").agg(F.collect_set("spelling").alias("s"), F.max("placed").alias("placed"))

@@ -38,7 +38,7 @@ PLACEHOLDERS: dict[str, str] = {
     "command": r"\\[A-Za-z]+\{\s*(?:type|enter|insert|your|add|write|put)\b[^{}]{0,60}\}",
     "crosses": r"\bX{3,}(?:\s+et\s+al\.?|,)?\s*\(?\s*X{2,}\b\)?|\bX{4,}\b",
     "query": r"\(\s*[A-Za-z]{2,20}\?\s*(?:[,;]\s*[A-Za-z]{2,20}\?\s*)+\)",
-    "to_do": r"(?<![\w-])(?:TBD|TBA|TBC|TODO|FIXME|TKTK)\b(?:\s*:)?",
+    "to_do": r"(?<![\w-])(?:(?:TBD|TBA|TBC)\b:?|(?:TODO|FIXME|TKTK)\s*:)",
     "sample_name": r"\b(?:first\s?name\s+(?:last\s?name|surname)|given\s?name\s+(?:family\s?name|surname)|name\s+surname)\b",
     "unset": r"\b(?:undefined|null|nan|none|nil)\s+\w+\s+(?:of|by|in|for|and|on|to)\s+(?:undefined|null|nan|none|nil)\b|\[object\s+object\]|\b(?:undefined|null|nan)(?:\s*,?\s*(?:undefined|null|nan)\b){1,}",
 }
