@@ -173,14 +173,14 @@ def ngrams(docs: DataFrame, key: str, words: Column, n: int, least: int, stopwor
 def corpus_stopwords(terms: DataFrame, part: float = 0.4) -> DataFrame:
     """Terms of 2 to 6 letters in at least a part of the documents of the most frequent one."""
     top_df = terms.agg(F.max("df").alias("most"))
-    return terms.crossJoin(F.broadcast(top_df)).where((F.col("df") >= part * F.col("most")) & F.length("term").between(2, 6)).select("field", "term", "df")
+    return terms.where((F.col("df") >= part * top_df.scalar()) & F.length("term").between(2, 6)).select("field", "term", "df")
 
 
 def divisor_sweep(terms: DataFrame, gold: DataFrame, divisors: list[float]) -> DataFrame:
     """(divisor, f1): how well the terms rarer than max df / divisor agree with the gold terms (one term column), for each divisor."""
     most = terms.agg(F.max("df").alias("most"))
-    d = terms.sparkSession.createDataFrame([(float(x),) for x in divisors], "divisor double")
-    t = terms.select("term", "df").join(gold.select("term").distinct().withColumn("gold", F.lit(1)), "term", "left").crossJoin(F.broadcast(most)).crossJoin(F.broadcast(d))
+    t = terms.select("term", "df").join(gold.select("term").distinct().withColumn("gold", F.lit(1)), "term", "left")
+    t = t.withColumn("most", most.scalar()).withColumn("divisor", F.explode(F.array(*[F.lit(float(x)) for x in divisors])))
     pred = F.col("df") <= F.col("most") / F.col("divisor")
     n = t.groupBy("divisor").agg(F.sum((pred & F.col("gold").isNotNull()).cast("int")).alias("tp"), F.sum(pred.cast("int")).alias("p"), F.count("gold").alias("g"))
     return n.select("divisor", F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("p") + F.col("g")), F.lit(0.0)).alias("f1"))

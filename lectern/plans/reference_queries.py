@@ -633,7 +633,7 @@ def w_bigrams(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH post AS {_POST}, t AS (SELECT term, count(*) AS df FROM post WHERE field = 'text' GROUP BY 1), n AS (SELECT count(*) AS n FROM documents) SELECT guid, round(sum(sqrt(tf) * (1 + ln(n / (df + 1)))), 4) AS weight, count(*) AS n_terms FROM post JOIN t USING (term), n WHERE field = 'text' GROUP BY 1")
 def x_tf_idf(spark: SparkSession, d: str) -> DataFrame:
     i = _index(spark, d)
-    t = i.postings.where("field = 'text'").join(i.terms.where("field = 'text'").select("term", "df"), "term").crossJoin(F.broadcast(i.n_docs))
+    t = i.postings.where("field = 'text'").join(i.terms.where("field = 'text'").select("term", "df"), "term").withColumn("n_docs", i.n_docs.scalar())
     return t.groupBy("guid").agg(F.round(F.sum(L.tf_idf(F.col("tf"), F.col("df"), F.col("n_docs"))), 4).alias("weight"), F.count("*").alias("n_terms"))
 
 

@@ -234,3 +234,9 @@ def test_terms_and_graphs(spark):
     assert max(r, key=r.get) == "hub"
     nodes, links = T.graph(spark.createDataFrame([("x", "y"), ("x", "y")], "a string, b string"), spark.createDataFrame([("x", "l")], "guid string, label string"))
     assert nodes.count() == 2 and links.first()["weight"] == 2
+
+
+def test_divisor_sweep(spark):
+    t = spark.createDataFrame([("a", 1), ("b", 5), ("c", 10)], "term string, df int")
+    got = {r["divisor"]: r["f1"] for r in K.divisor_sweep(t, spark.createDataFrame([("a",), ("b",)], "term string"), [2.0, 1.0]).collect()}
+    assert got[2.0] == 1.0 and got[1.0] == pytest.approx(0.8)
