@@ -326,18 +326,17 @@ def resolve(authors: DataFrame, most_rounds: int = 60) -> DataFrame:
             flags = flags.withColumn("live", F.lit(True))
         else:
             flags = flags.join(active.withColumn("live", F.lit(True)), "pid", "left").na.fill(False, ["live"])
-        own = keys.join(assign, "guid").select("pid", "key").distinct().join(flags, "pid").withColumn("kind", F.substring("key", 1, 1))
-        right = own.select(F.col("pid").alias("b"), "key", F.col("live").alias("live_b"))
+        # Where three profiles or more bear one name, none of them is a sole namesake: they don't ask by name, and two of them stand for all when asked.
+        bearers = records.select("guid", "name").join(assign, "guid").groupBy("pid").agg(F.min("name").alias("n1"), F.max("name").alias("n2"))
+        common = bearers.where("n1 = n2").groupBy("n1").agg(F.count("*").alias("n"), F.min("pid").alias("p1"), F.max("pid").alias("p2")).where("n >= 3")
+        crowd = bearers.where("n1 = n2").join(common, "n1").select("pid", ((F.col("pid") == F.col("p1")) | (F.col("pid") == F.col("p2"))).alias("stands"))
+        state = written(flags.join(crowd, "pid", "left"), "state")
+        own = keys.join(assign, "guid").select("pid", "key").distinct().join(state, "pid").withColumn("kind", F.substring("key", 1, 1))
+        right = own.where("kind <> 'c' or stands is null or stands").select(F.col("pid").alias("b"), "key", F.col("live").alias("live_b"))
         # A shared name alone counts only where one side has no affiliation, so only such profiles ask by it.
-        strong = own.where("kind <> 'c' and live").join(right, "key")
-        # Where three profiles or more bear one name, none of them is a sole namesake: they don't ask, and two of them stand for all when asked.
-        bearers = records.select("guid", "name").join(assign, "guid").groupBy("pid").agg(F.min("name").alias("n1"), F.max("name").alias("n2")).where("n1 = n2")
-        common = bearers.groupBy("n1").agg(F.count("*").alias("n"), F.min("pid").alias("p1"), F.max("pid").alias("p2")).where("n >= 3")
-        crowd = bearers.join(common, "n1").select("pid", ((F.col("pid") == F.col("p1")) | (F.col("pid") == F.col("p2"))).alias("stands"))
-        by_name = own.where("kind = 'c'").join(crowd, "pid", "left")
-        asked = by_name.where("stands is null or stands").select(F.col("pid").alias("b"), "key", F.col("live").alias("live_b"))
-        weak = by_name.where("stands is null and not placed").join(asked, "key").where("live or live_b")
-        pairs = strong.select("pid", "b", "kind").unionByName(weak.select("pid", "b", "kind")).where("pid <> b").select(F.least("pid", "b").alias("a"), F.greatest("pid", "b").alias("b"), "kind")
+        asks = "kind <> 'c' and live or kind = 'c' and not placed and stands is null"
+        found = own.where(asks).join(right, "key").where("pid <> b and (live or live_b)")
+        pairs = found.select(F.least("pid", "b").alias("a"), F.greatest("pid", "b").alias("b"), "kind")
         pairs = pairs.groupBy("a", "b").agg(F.max(F.when(F.col("kind") == "a", 1).otherwise(0)).alias("by_place"), F.max(F.when(F.col("kind") == "b", 1).otherwise(0)).alias("by_paper"))
         profiles = spellings.join(assign, "guid").groupBy("pid").agg(F.collect_set("spelling").alias("s"), F.max("placed").alias("placed"))
         one = profiles.select(F.col("pid").alias("a"), F.col("s").alias("s1"), F.col("placed").alias("placed1"))
@@ -349,7 +348,19 @@ def resolve(authors: DataFrame, most_rounds: int = 60) -> DataFrame:
         best = ends.groupBy("p").agg(F.max(rank).alias("best"), F.sum(F.col("weak").cast("int")).alias("weaks"))
         # An edge that is the best of both its ends merges; one on the name alone only if it is the sole such choice of both.
         mutual = best.where("not best.weak or weaks = 1").groupBy("best.a", "best.b").agg(F.count("*").alias("n")).where("n = 2")
-        merges = written(mutual.select(F.col("a").alias("into"), F.col("b").alias("pid")), "merges")
+        pairs_merged = mutual.select(F.col("a").alias("into"), F.col("b").alias("pid"))
+        # Those whose best match is in such a pair join at once where they match both of it and one another: the whole is then a clique.
+        seat = pairs_merged.select(F.col("into").alias("member"), "into").union(pairs_merged.select(F.col("pid").alias("member"), "into"))
+        other = F.when(F.col("p") == F.col("best.a"), F.col("best.b")).otherwise(F.col("best.a"))
+        wish = best.where("not best.weak").select(F.col("p").alias("pid"), other.alias("member")).join(seat.select(F.col("member").alias("pid")), "pid", "left_anti").join(seat, "member").select("pid", "into")
+        firm = ends.where("not weak").select(F.col("p").alias("pid"), F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("with"))
+        near = firm.join(wish, "pid")
+        to_pair = near.join(seat.withColumnRenamed("member", "with"), ["with", "into"]).groupBy("pid", "into").agg(F.count("*").alias("n")).where("n = 2").select("pid", "into")
+        among = near.join(to_pair, ["pid", "into"], "left_semi").join(to_pair.withColumnRenamed("pid", "with"), ["with", "into"]).groupBy("pid", "into").agg(F.count("*").alias("deg"))
+        size = to_pair.groupBy("into").agg(F.count("*").alias("size"))
+        clique = to_pair.join(among, ["pid", "into"], "left").groupBy("into").agg(F.min(F.coalesce("deg", F.lit(0))).alias("deg")).join(size, "into").where("deg = size - 1")
+        joining = to_pair.join(clique.select("into"), "into", "left_semi").select("into", "pid")
+        merges = written(pairs_merged.unionByName(joining), "merges")
         if merges.isEmpty():
             break
         assign = written(assign.join(merges, "pid", "left").select("guid", F.coalesce("into", "pid").alias("pid")), "assign")
