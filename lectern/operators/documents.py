@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 
+#: Characters of contexts from which a new block begins.
+BLOCK_CHARS = 8192
+
 
 def ordered_text(elements: DataFrame, by: list[str], text: str = "text", order: str = "ord", sep: str = " ") -> DataFrame:
     """The texts of each group joined in order; ties in order go by the text, nulls are skipped."""
@@ -51,6 +57,47 @@ def inlink_contexts(contexts: DataFrame, links: DataFrame, exclude: DataFrame |
     return ordered_text(j.select(F.col("to").alias("guid"), F.col("ctx_id").alias("ord"), "text"), ["guid"]).join(j.groupBy(F.col("to").alias("guid")).agg(F.count("*").alias("n_contexts")), "guid").select("guid", F.col("text").alias("inlink_context"), "n_contexts")
 
 
+def inlink_blocks(contexts: DataFrame, links: DataFrame, exclude: DataFrame | None = None, size: int = BLOCK_CHARS) -> DataFrame:
+    """(guid, block, text, n_contexts): the citing contexts of each paper as ``inlink_contexts`` orders them, in numbered blocks of about ``size`` characters,
+    so that no row grows with the number of citing papers. A block exceeds ``size`` by less than one context."""
+    c = contexts if exclude is None else contexts.join(exclude.select("guid").distinct(), "guid", "left_anti")
+    j = links.select("guid", "to").distinct().join(c.where("text is not null"), "guid").select(F.col("to").alias("guid"), F.col("ctx_id").alias("ord"), "text")
+    before = F.sum(F.length("text").cast("bigint") + 1).over(Window.partitionBy("guid").orderBy("ord", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("text") - 1
+    cut = j.withColumn("block", F.floor(before / size))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("text").alias("t")))), lambda x: x["t"])
+    return cut.groupBy("guid", "block").agg(F.array_join(items, " ").alias("text"), F.count("*").alias("n_contexts"))
+
+
+def digests(blocks: DataFrame, trim: bool = False) -> DataFrame:
+    """(guid, digest, n_contexts): MD5 of each paper's blocks (guid, block, text, n_contexts) joined by blanks, read one after the other; blanks at the ends left out for ``trim``."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        guid, n, md5, some, begun, held = None, 0, None, False, False, ""
+        for b in batches:
+            out = []
+            for g, text, k in zip(b["guid"], b["text"], b["n_contexts"], strict=True):
+                if md5 is None or g != guid:
+                    if md5 is not None:
+                        out.append((guid, md5.hexdigest(), n))
+                    guid, n, md5, some, begun, held = g, 0, hashlib.md5(), False, False, ""
+                part = held + (" " if some else "") + text
+                if trim:
+                    part = part if begun else part.lstrip(" ")
+                    kept = part.rstrip(" ")
+                    part, held = kept, part[len(kept) :]
+                    begun = begun or part != ""
+                md5.update(part.encode())
+                n, some = n + int(k), True
+            if out:
+                yield pd.DataFrame(out, columns=["guid", "digest", "n_contexts"])
+        if md5 is not None:
+            yield pd.DataFrame([(guid, md5.hexdigest(), n)], columns=["guid", "digest", "n_contexts"])
+
+    # By a hash of its own: an exchange by the guid itself is left out above a union by the guid, whose sides need not be cut alike.
+    rows = blocks.select("guid", "block", "text", "n_contexts").repartition(F.xxhash64("guid")).sortWithinPartitions("guid", "block")
+    return rows.mapInPandas(read, "guid string, digest string, n_contexts bigint")
+
+
 def mashup(inside: DataFrame, outside: DataFrame) -> DataFrame:
     """(guid, all_text): a paper's own text and its inlink context together, either alone where the other is missing."""
     return inside.join(outside, "guid", "full").select("guid", F.trim(F.concat_ws(" ", "text", "inlink_context")).alias("all_text"))

@@ -427,22 +427,22 @@ _CTX = f"""c AS (SELECT {_KEY.format('guid')} AS g, doc_id, text FROM documents
 
 @query(f"WITH {_CTX} SELECT guid, md5(t) AS digest, n AS n_contexts FROM ilc")
 def b_inlink_context(spark: SparkSession, d: str) -> DataFrame:
-    """Citing contexts of each paper that at most 400 papers cite; the widely cited have theirs cut into passages instead."""
-    return _inlink(spark, d).select("guid", F.md5(F.col("inlink_context").cast("binary")).alias("digest"), "n_contexts")
+    """Citing contexts of each cited paper, read block by block."""
+    return D.digests(_inlink(spark, d)).select("guid", "digest", "n_contexts")
 
 
 def _inlink(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("source = 'citing_context'").select(guid_key("guid").alias("guid"), F.col("doc_id").alias("ctx_id"), "text")
     links = table(spark, d, "links").select(guid_key("GUID_from").alias("guid"), guid_key("GUID_to").alias("to")).where("guid <> '' and `to` <> ''").distinct()
-    few = links.groupBy("to").agg(F.count("*").alias("n")).where("n <= 400")
-    return D.inlink_contexts(docs, links.join(few.select("to"), "to", "left_semi"))
+    return D.inlink_blocks(docs, links)
 
 
 @query(f"""WITH {_CTX}, own AS (SELECT {_KEY.format('guid')} AS guid, string_agg(text, ' ' ORDER BY doc_id, text) AS t FROM documents WHERE source = 'abstract' AND text IS NOT NULL GROUP BY 1)
 SELECT guid, md5(trim(concat_ws(' ', own.t, ilc.t))) AS digest FROM own FULL JOIN ilc USING (guid)""")
 def b_mashup(spark: SparkSession, d: str) -> DataFrame:
     own = D.ordered_text(table(spark, d, "documents").where("source = 'abstract' and text is not null").withColumn("guid", guid_key("guid")), ["guid"], order="doc_id")
-    return D.mashup(own, _inlink(spark, d)).select("guid", F.md5(F.col("all_text").cast("binary")).alias("digest"))
+    blocks = own.select("guid", F.lit(-1).cast("bigint").alias("block"), "text", F.lit(0).cast("bigint").alias("n_contexts")).unionByName(_inlink(spark, d))
+    return D.digests(blocks, trim=True).select("guid", "digest")
 
 
 @query(f"""SELECT doc_id, m AS method, array_to_string(list_concat(w[greatest(p - l, 1):p - 1], w[p + 1:p + r]), ' ') AS words FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_T}') AS w FROM documents) CROSS JOIN (VALUES ('window5_5', 5, 5), ('window20_20', 20, 20)) v(m, l, r), LATERAL (SELECT list_position(w, 'al') AS p) WHERE p > 0""")

@@ -240,3 +240,27 @@ def test_divisor_sweep(spark):
     t = spark.createDataFrame([("a", 1), ("b", 5), ("c", 10)], "term string, df int")
     got = {r["divisor"]: r["f1"] for r in K.divisor_sweep(t, spark.createDataFrame([("a",), ("b",)], "term string"), [2.0, 1.0]).collect()}
     assert got[2.0] == 1.0 and got[1.0] == pytest.approx(0.8)
+
+
+def test_contexts_of_a_paper_that_more_than_400_cite(spark, tmp_path):
+    from hashlib import md5
+
+    from lectern.plans.reference_queries import QUERIES
+
+    citing = [f"c{i:04d}" for i in range(450)]
+    docs = [(f"x{i:04d}", c, "citing_context", f"  says {i} é" + " word" * (i % 40) + " ") for i, c in enumerate(citing)] + [("o1", "hot", "abstract", " own "), ("o2", "alone", "abstract", "  "), ("o3", "hot", "citing_context", None)]
+    spark.createDataFrame(docs, "doc_id string, guid string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    links = [(c, "HOT ") for c in citing] + [(c, "hot") for c in citing] + [(c, "few") for c in citing[:3]] + [("alone", "hot")]
+    spark.createDataFrame(links, "GUID_from string, GUID_to string").write.parquet(f"{tmp_path}/links.parquet")
+    texts = [x[3] for x in docs[:450]]
+    digest = lambda t: md5(t.encode()).hexdigest()
+    got = {r["guid"]: (r["digest"], r["n_contexts"]) for r in QUERIES["b_inlink_context"](spark, str(tmp_path)).collect()}
+    assert got == {"hot": (digest(" ".join(texts)), 450), "few": (digest(" ".join(texts[:3])), 3)}
+    both = {r["guid"]: r["digest"] for r in QUERIES["b_mashup"](spark, str(tmp_path)).collect()}
+    assert both == {"hot": digest(" ".join([" own ", *texts]).strip(" ")), "few": digest(" ".join(texts[:3]).strip(" ")), "alone": digest("")}
+
+
+def test_blocks_of_contexts_are_bounded(spark):
+    c = spark.createDataFrame([(f"a{i}", i, "x" * 30) for i in range(50)], "guid string, ctx_id int, text string")
+    b = D.inlink_blocks(c, spark.createDataFrame([(f"a{i}", "hot") for i in range(50)], "guid string, to string"), size=100).orderBy("block").collect()
+    assert all(len(r["text"]) < 131 for r in b) and " ".join(r["text"] for r in b) == " ".join(["x" * 30] * 50) and sum(r["n_contexts"] for r in b) == 50
