@@ -92,8 +92,8 @@ def word_count(col: Column | str) -> Column:
 
 
 def citation_style(col: Column | str) -> Column:
-    """AFI where numbered citations outnumber author-year ones, APA where there are any, null where there is none."""
-    a, n = F.regexp_count(col, F.lit(AUTHOR_YEAR)), F.regexp_count(col, F.lit(NUMBERED))
+    """AFI where numbered citations outnumber author-year ones, APA where there are any, null where there is none. Names may have letters of any script."""
+    a, n = F.regexp_count(col, F.lit("(?U)" + AUTHOR_YEAR.replace("[A-Z]", r"\p{Lu}"))), F.regexp_count(col, F.lit(NUMBERED))
     return F.when(n > a, "AFI").when(a > 0, "APA")
 
 

@@ -83,8 +83,8 @@ _AY, _NU = X.AUTHOR_YEAR.replace("'", "''"), X.NUMBERED
 
 @query(f"SELECT scidoc_id, CASE WHEN n > a THEN 'AFI' WHEN a > 0 THEN 'APA' END AS style FROM (SELECT scidoc_id, len(regexp_extract_all(text, '{_NU}')) AS n, len(regexp_extract_all(text, '{_AY}')) AS a FROM scidoc WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))")
 def t_citation_style(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of plain ASCII, where both engines agree on word borders."""
-    return table(spark, d, "scidoc").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("scidoc_id", X.citation_style("text").alias("style"))
+    """Of every text, null for null. The SQL has the texts of plain ASCII only, as DuckDB's word borders know no other letters."""
+    return table(spark, d, "scidoc").select("scidoc_id", X.citation_style("text").alias("style"))
 
 
 @query(f"SELECT scidoc_id, c.k AS k, c.x AS mark FROM (SELECT scidoc_id, unnest(list_transform(regexp_extract_all(text, '{_NU}'), lambda x, i: {{'k': i, 'x': x}})) AS c FROM scidoc)")
@@ -263,10 +263,10 @@ def j_citation_clusters(spark: SparkSession, d: str) -> DataFrame:
 b AS (SELECT rec_id, t, y, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [t] END) AS k FROM (SELECT *, string_split(t, ' ') AS w FROM r WHERE t <> '')), q AS (SELECT g, t, y, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [t] END) AS k FROM (SELECT *, string_split(t, ' ') AS w FROM p WHERE t <> ''))
 SELECT DISTINCT rec_id AS ref_id, g AS guid, round(1 - levenshtein(b.t, q.t) / greatest(length(b.t), length(q.t)), 6) AS similarity FROM b JOIN q ON b.y = q.y AND b.k = q.k WHERE 1 - levenshtein(b.t, q.t) / greatest(length(b.t), length(q.t)) > 0.9 AND regexp_full_match(b.t, '[ -~]*') AND regexp_full_match(q.t, '[ -~]*')""")
 def j_similar_titles(spark: SparkSession, d: str) -> DataFrame:
-    """Titles of plain ASCII, where both engines count the same units."""
+    """Of all titles. The SQL has those of plain ASCII only, as DuckDB counts bytes."""
     title = F.trim(F.regexp_replace(X.remove_symbols(F.lower("title")), r"\s+", " "))
-    refs = table(spark, d, "aan_records").select(F.col("rec_id").alias("ref_id"), title.alias("norm_title"), J.year_number("year").alias("year")).where(F.col("norm_title").rlike(r"\A[ -~]*\z"))
-    papers = J.current(table(spark, d, "papers")).select(F.col("GUID").alias("guid"), "norm_title", J.year_number("year").alias("year")).where(F.col("norm_title").rlike(r"\A[ -~]*\z"))
+    refs = table(spark, d, "aan_records").select(F.col("rec_id").alias("ref_id"), title.alias("norm_title"), J.year_number("year").alias("year"))
+    papers = J.current(table(spark, d, "papers")).select(F.col("GUID").alias("guid"), "norm_title", J.year_number("year").alias("year"))
     return J.similar_titles(refs, papers).withColumn("similarity", F.round("similarity", 6))
 
 

@@ -264,3 +264,22 @@ def test_blocks_of_contexts_are_bounded(spark):
     c = spark.createDataFrame([(f"a{i}", i, "x" * 30) for i in range(50)], "guid string, ctx_id int, text string")
     b = D.inlink_blocks(c, spark.createDataFrame([(f"a{i}", "hot") for i in range(50)], "guid string, to string"), size=100).orderBy("block").collect()
     assert all(len(r["text"]) < 131 for r in b) and " ".join(r["text"] for r in b) == " ".join(["x" * 30] * 50) and sum(r["n_contexts"] for r in b) == 50
+
+
+def test_citation_style_reads_any_text(spark, tmp_path):
+    from lectern.plans.reference_queries import QUERIES
+
+    texts = {"a": "as “shown” in Smith (2010) – and", "b": "Müller and Özgür, 2011a say", "c": "Özgür et al. (2012)", "d": "seen in [1–3] and [4], Élan", "e": None, "f": "“nothing” here", "g": "Smith (2010) [1]", "h": "naïveSmith 2010"}
+    spark.createDataFrame(list(texts.items()), "scidoc_id string, text string").write.parquet(f"{tmp_path}/scidoc.parquet")
+    got = {r["scidoc_id"]: r["style"] for r in QUERIES["t_citation_style"](spark, str(tmp_path)).collect()}
+    assert got == {"a": "APA", "b": "APA", "c": "APA", "d": "AFI", "e": None, "f": None, "g": "APA", "h": None}
+
+
+def test_similar_titles_with_accents(spark, tmp_path):
+    from lectern.plans.reference_queries import QUERIES
+
+    spark.createDataFrame([(1, "Über die Bäume im Garten", "2001"), (2, "Plain title of old", "2001")], "rec_id int, title string, year string").write.parquet(f"{tmp_path}/aan_records.parquet")
+    papers = [("g1", "uber die bäume im garten"), ("g2", "über die baume im garten"), ("g3", "plain title of olf"), ("g4", "über die bäume")]
+    spark.createDataFrame(papers, "GUID string, norm_title string").selectExpr("GUID", "norm_title", "'2001' AS year", "cast(null AS string) AS corpus_id", "timestamp_ntz'2001-01-01' AS time_created", "cast(null AS timestamp_ntz) AS time_deleted").write.parquet(f"{tmp_path}/papers.parquet")
+    got = {(r["ref_id"], r["guid"]): r["similarity"] for r in QUERIES["j_similar_titles"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "g1"): round(1 - 1 / 24, 6), (1, "g2"): round(1 - 1 / 24, 6), (2, "g3"): round(1 - 1 / 18, 6)}
