@@ -286,3 +286,24 @@ def test_calibration_leans_to_the_labels_but_not_to_wrong_ones():
     wrong = np.r_[np.zeros(100), np.ones(200)]
     c = confidence(x, calibrate(x, wrong), np.zeros(300), np.zeros(300))
     assert c[:100].min() > 0.5 > c[100:].max()
+
+
+def test_matching_in_a_bucket_of_a_third_of_the_papers(spark, monkeypatch):
+    from lectern.llm import matching
+
+    works = _works(240)
+    works = [(g, f"annual report of the {t.split()[-1]}" if i % 3 == 0 else t, s, y, None) for i, (g, t, s, y, _) in enumerate(works)]
+    r, records = random.Random(5), []
+    for i in range(0, 240, 3):
+        _, t, s, y, _ = works[i]
+        k = r.randrange(len(t) - 10, len(t) - 2)
+        records.append((i, s.split("; ")[0], t[:k] + t[k + 1] + t[k] + t[k + 2 :], None, y if i % 2 else None, None))
+    A = spark.createDataFrame(records, "rec_id bigint, author string, title string, venue string, year string, doi string")
+    P = spark.createDataFrame(works, "GUID string, norm_title string, surnames string, year string, DOI string")
+
+    def found(crowded):
+        monkeypatch.setattr(matching, "CROWDED", crowded)
+        return {tuple(x) for x in matching.match_records(A, P).collect()}
+
+    whole = found(10**6)
+    assert len(whole) >= 70 and found(4) == whole
