@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,13 +164,49 @@ def reference_tree(links: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def similar_titles(refs: DataFrame, papers: DataFrame, least: float = 0.9) -> DataFrame:
-    """(ref_id, guid, similarity): titles of the same year within the given edit similarity, blocked by year and a shared word pair."""
-    def blocks(df: DataFrame, key: str) -> DataFrame:
-        ws = F.split("norm_title", " ")
-        pairs = F.when(F.size(ws) > 1, F.transform(F.sequence(F.lit(1), F.size(ws) - 1), lambda i: F.concat_ws(" ", F.get(ws, i - 1), F.get(ws, i)))).otherwise(F.array("norm_title"))
-        return df.where("norm_title <> '' and year is not null").select(key, "year", "norm_title", F.explode(F.array_distinct(pairs)).alias("block"))
+def title_segments(title: str, least: float) -> list[str]:
+    """A title cut into one segment more than the edits that a title within the similarity can be away, each marked with the title's length and its number."""
+    n = len(title)
+    parts = int((1 - least) * int(n / least + 1e-9) + 1e-9) + 1
+    size, longer = divmod(n, parts)
+    ends = [k * size + max(0, k - parts + longer) for k in range(parts + 1)]
+    return [f"{n} {k} {title[a:b]}" for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+
+
+def title_probes(title: str, least: float) -> list[str]:
+    """The marks of ``title_segments`` of which every title within the similarity has at least one.
 
-    a, b = blocks(refs, "ref_id"), blocks(papers, "guid").withColumnRenamed("norm_title", "title")
+    With t edits and t + 1 segments some segment k is whole, has k edits before it and at most t - k behind it, so it has moved by no more than that.
+    """
+    n, out = len(title), set()
+    for other in range(math.ceil(n * least - 1e-9), int(n / least + 1e-9) + 1):
+        edits = int((1 - least) * int(other / least + 1e-9) + 1e-9)
+        size, longer = divmod(other, edits + 1)
+        for k in range(edits + 1):
+            at, width = k * size + max(0, k - edits - 1 + longer), size + (k >= edits + 1 - longer)
+            lo = max(0, at - k, at + n - other - (edits - k))
+            hi = min(n - width, at + k, at + n - other + edits - k)
+            out.update(f"{other} {k} {title[a : a + width]}" for a in range(lo, hi + 1))
+    return sorted(out)
+
+
+def similar_titles(refs: DataFrame, papers: DataFrame, least: float = 0.9) -> DataFrame:
+    """(ref_id, guid, similarity): all titles of the same year above the given edit similarity. Blocked by year and the segments of the
+    papers' titles, of which such a pair always shares one at about the same place."""
+
+    def blocks(df: DataFrame, key: str, cut: Callable[[str, float], list[str]]) -> DataFrame:
+        def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for lo in range(0, len(b), 1000):
+                    part = b.iloc[lo : lo + 1000]
+                    yield part[[key, "year"]].assign(blocks=[cut(t, least) for t in part["norm_title"]])
+
+        kind = df.schema[key].dataType.simpleString()
+        marked = df.select(key, "year", "norm_title").mapInPandas(mark, f"{key} {kind}, year int, blocks array<string>")
+        return marked.select(key, F.explode("blocks").alias("block"), "year").select(key, F.xxhash64("year", "block").alias("block"))
+
+    a, b = (df.where("norm_title <> '' and year is not null") for df in (refs, papers))
+    pairs = blocks(a, "ref_id", title_probes).join(blocks(b, "guid", title_segments), "block").select("ref_id", "guid").distinct()
+    whole = pairs.join(a.select("ref_id", "norm_title", "year"), "ref_id").join(b.select("guid", F.col("norm_title").alias("title"), F.col("year").alias("y")), "guid").where("year = y")
     sim = 1 - F.levenshtein("norm_title", "title") / F.greatest(F.length("norm_title"), F.length("title"))
-    return a.join(b, ["year", "block"]).select("ref_id", "guid", sim.alias("similarity")).distinct().where(F.col("similarity") > least)
+    return whole.select("ref_id", "guid", sim.alias("similarity")).distinct().where(F.col("similarity") > least)

@@ -283,3 +283,34 @@ def test_similar_titles_with_accents(spark, tmp_path):
     spark.createDataFrame(papers, "GUID string, norm_title string").selectExpr("GUID", "norm_title", "'2001' AS year", "cast(null AS string) AS corpus_id", "timestamp_ntz'2001-01-01' AS time_created", "cast(null AS timestamp_ntz) AS time_deleted").write.parquet(f"{tmp_path}/papers.parquet")
     got = {(r["ref_id"], r["guid"]): r["similarity"] for r in QUERIES["j_similar_titles"](spark, str(tmp_path)).collect()}
     assert got == {(1, "g1"): round(1 - 1 / 24, 6), (1, "g2"): round(1 - 1 / 24, 6), (2, "g3"): round(1 - 1 / 18, 6)}
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("least", [0.9, 0.7])
+def test_similar_titles_equal_brute_force(spark, least):
+    import random
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randrange(1, 9)))
+    titles = [" ".join(word() for _ in range(r.randrange(1, 9))) for _ in range(60)] + ["does wocifopa normalise hybrid networks", "parsing german"]
+
+    def typed(t):
+        for _ in range(r.randrange(0, max(2, int(len(t) * (1 - least)) + 1))):
+            k = r.randrange(len(t) + 1)
+            t = t[:k] + r.choice(["", "x", " ", "é"]) + t[k + r.randrange(2) :]
+        return t or "x"
+
+    papers = [(f"g{i}", t, 2000 + i % 2) for i, t in enumerate(titles)]
+    refs = [(3 * i + k, typed(t), 2000 + (i + (k == 2)) % 2) for i, t in enumerate(titles) for k in range(3)] + [(900, "does woicfopa normalisehybrid networks", 2000), (901, "parsingg german", 2001), (902, None, 2000), (903, "x", None)]
+    want = {(i, g) for i, t, y in refs for g, u, z in papers if t and y == z and 1 - _edits(t, u) / max(len(t), len(u)) > least}
+    got = J.similar_titles(spark.createDataFrame(refs, "ref_id int, norm_title string, year int"), spark.createDataFrame(papers, "guid string, norm_title string, year int"), least)
+    assert sorted((x["ref_id"], x["guid"]) for x in got.collect()) == sorted(want) and {(900, "g60"), (901, "g61")} <= want
