@@ -43,18 +43,34 @@ def best(scores: DataFrame, n: int | None) -> DataFrame:
 def minimal_set(scores: DataFrame, hits: DataFrame, matches: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(query_id, n_terms, rank): the shortest prefix of the terms by score whose matches rank best.
 
-    All prefixes at once: a document's score under the first n terms is a running sum over its terms by rank.
+    All prefixes in one pass over each query's hits, which are worked on alone: a document's score is a running sum that changes only at the ranks
+    where it has a term.
     """
     from lectern.operators.retrieval import _weight
 
     ranked = best(scores, None)
     parts = hits.groupBy("query_id", "guid", "term").agg(F.sum(F.col("qw") * F.col("fw") * _weight(weights)).alias("s")).join(ranked.select("query_id", "term", F.col("rank").alias("n")), ["query_id", "term"])
-    lengths = ranked.groupBy("query_id").agg(F.max("rank").alias("of"))
-    docs = parts.select("query_id", "guid").distinct().join(lengths, "query_id").select("query_id", "guid", F.explode(F.sequence(F.lit(1), F.col("of"))).alias("n"))
-    run = docs.join(parts, ["query_id", "guid", "n"], "left").withColumn("run", F.sum(F.coalesce("s", F.lit(0.0))).over(Window.partitionBy("query_id", "guid").orderBy("n")))
-    placed = run.where("run > 0").withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "n").orderBy(F.desc("run"), "guid")))
-    hit = placed.join(matches.select("query_id", "guid").distinct(), ["query_id", "guid"], "left_semi").groupBy("query_id", "n").agg(F.avg("rank").alias("rank"))
-    return hit.groupBy("query_id").agg(F.min(F.struct("rank", "n")).alias("m")).select("query_id", F.col("m.n").alias("n_terms"), F.col("m.rank").alias("rank"))
+    data = parts.select("query_id", "guid", "n", F.coalesce("s", F.lit(0.0)).alias("s")).join(matches.select("query_id", "guid").distinct().withColumn("m", F.lit(True)), ["query_id", "guid"], "left")
+
+    def choose(pdf):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pandas as pd
+
+        at, docs = pd.factorize(pdf["guid"], sort=True)
+        run, n, s = np.zeros(len(docs)), pdf["n"].to_numpy(), pdf["s"].to_numpy()
+        good = np.unique(at[pdf["m"].eq(True).to_numpy()])
+        order = np.argsort(n, kind="stable")
+        cuts = np.flatnonzero(np.diff(n[order])) + 1
+        found = None
+        for part in np.split(order, cuts):
+            run[at[part]] += s[part]
+            ranks = [1 + int((run > run[g]).sum()) + int((run[:g] == run[g]).sum()) for g in good if run[g] > 0]
+            if ranks and (found is None or sum(ranks) / len(ranks) < found[0]):
+                found = (sum(ranks) / len(ranks), int(n[part[0]]))
+        return pd.DataFrame({"query_id": pdf["query_id"].iloc[:1], "n_terms": [found[1]], "rank": [found[0]]}) if found else pdf.iloc[:0].assign(n_terms=0, rank=0.0)[["query_id", "n_terms", "rank"]]
+
+    kind = hits.schema["query_id"].dataType.simpleString()
+    return data.groupBy("query_id").applyInPandas(choose, f"query_id {kind}, n_terms int, rank double")
 
 
 def add_and_drop(hits: DataFrame, matches: DataFrame, scores: DataFrame) -> DataFrame:

@@ -495,7 +495,7 @@ def k_minimal_set(spark: SparkSession, d: str) -> DataFrame:
     hits, m = _hits(spark, d), _matches(spark, d)
     s = _rounded(K.combine(K.normalised(K.term_scores(hits), m)))
     few = hits.join(m.select("query_id").distinct(), "query_id", "left_semi")
-    return K.minimal_set(K.best(s, 6).drop("rank"), few, m, _FIELDS).withColumn("rank", F.round("rank", 6))
+    return K.minimal_set(s, few, m, _FIELDS).withColumn("rank", F.round("rank", 6))
 
 
 @query(None)

@@ -314,3 +314,39 @@ def test_similar_titles_equal_brute_force(spark, least):
     want = {(i, g) for i, t, y in refs for g, u, z in papers if t and y == z and 1 - _edits(t, u) / max(len(t), len(u)) > least}
     got = J.similar_titles(spark.createDataFrame(refs, "ref_id int, norm_title string, year int"), spark.createDataFrame(papers, "guid string, norm_title string, year int"), least)
     assert sorted((x["ref_id"], x["guid"]) for x in got.collect()) == sorted(want) and {(900, "g60"), (901, "g61")} <= want
+
+
+def test_minimal_set_equals_brute_force(spark):
+    import random
+
+    r = random.Random(8)
+    terms = [f"t{k}" for k in range(10)]
+    hits = [(q, f"d{i:02d}", "text", t, 1.0, float(r.choice([1, 2, 3]))) for q in range(6) for i in range(12) for t in terms if r.random() < 0.4]
+    matches = [(q, f"d{i:02d}") for q in range(6) for i in r.sample(range(12), 1 + q % 2)]
+    scores = [(q, t, float(10 - k)) for q in range(6) for k, t in enumerate(terms)]
+    want = {}
+    for q in range(6):
+        tried = []
+        for n in range(1, len(terms) + 1):
+            run = {}
+            for x, g, _, t, _, s in hits:
+                if x == q and t in terms[:n]:
+                    run[g] = run.get(g, 0.0) + s
+            order = sorted(run, key=lambda g: (-run[g], g))
+            at = [order.index(g) + 1 for x, g in matches if x == q and g in run]
+            if at:
+                tried.append((sum(at) / len(at), n))
+        want[q] = min(tried)
+    got = K.minimal_set(spark.createDataFrame(scores, "query_id int, term string, score double"), spark.createDataFrame(hits, "query_id int, guid string, field string, term string, qw double, fw double"), spark.createDataFrame(matches, "query_id int, guid string"), {"text": 1.0})
+    assert {x["query_id"]: (x["rank"], x["n_terms"]) for x in got.collect()} == want
+
+
+def test_minimal_set_of_the_query_tries_every_term(spark, tmp_path):
+    from lectern.plans.reference_queries import QUERIES
+
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    docs = [("d0", " ".join(words))] + [(f"a{i}", " ".join(w for w in reversed(words) if w != words[i])) for i in range(10)]
+    spark.createDataFrame(docs, "doc_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("q", " ".join(words))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = QUERIES["k_minimal_set"](spark, str(tmp_path)).collect()
+    assert [(x["n_terms"], x["rank"]) for x in got] == [(10, 1.0)]
