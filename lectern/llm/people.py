@@ -38,6 +38,9 @@ _GROUP_TYPES = {"consortium": "consortium", "collaboration": "collaboration", "n
 _GROUP = re.compile(r"\b(?:consortium|collaboration|network|(?:working|study|research|interest) group|task force|project|team|initiative|committee|alliance|society|association|investigators|panel|partnership|council|on behalf of|cons\.|collab\.|netw\.|working grp\.?|wkg\.? grp\.?|grp\.|task f\.|assoc\.|comm\.)(?=\W|$)", re.I)
 _INSTITUTION = {"univ": "university", "u": "university", "uni": "university", "inst": "institute", "tech": "technology", "natl": "national", "nat": "national", "lab": "laboratory", "labs": "laboratory", "laboratories": "laboratory", "acad": "academy", "sci": "sciences", "science": "sciences", "res": "research", "ctr": "centre", "center": "centre", "cent": "centre", "coll": "college", "polytech": "polytechnic", "poly": "polytechnic", "hosp": "hospital", "fac": "faculty", "dept": "department", "sch": "school"}
 _UNIT = re.compile(r"^\s*(?:dept|department|school|sch|faculty|fac|division|div|section|chair|lab(?:oratory)? (?:of|for)|institute (?:of|for) \w+)\b[^,]*,\s*", re.I)
+#: Profiles of one block, or askers of one pair, that a task compares.
+BLOCK = 1000
+_SEP, _EDGE = "\x1f", "a bigint, b bigint, place boolean, paper boolean, score double"
 _LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "a", "œ": "o", "ı": "i", "ð": "d", "þ": "th"})
 
 
@@ -239,7 +242,7 @@ def compare(one: list[tuple[str, str, str, str]], two: list[tuple[str, str, str,
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for guid, full, surname, metadata in zip(b["guid"], b["full_name"], b["surname"], b["metadata"], strict=True):
+        for guid, full, surname, metadata in zip(b["id"], b["full_name"], b["surname"], b["metadata"], strict=True):
             try:
                 meta = json.loads(metadata) if metadata else {}
             except ValueError:
@@ -273,109 +276,182 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 forms = [f"{name}|{','.join(sorted(affiliations))}"]
             else:
                 forms = [f"{name}|{x}" for x in sorted(papers)] if spellings[0][0] == "g" or any(g for _, _, g, _ in spellings) else []
-            rows.append((guid, [json.dumps(s, ensure_ascii=False) for s in spellings], sorted(keys), bool(affiliations), forms, name))
-        yield pd.DataFrame(rows, columns=["guid", "spellings", "keys", "placed", "forms", "name"])
+            rows.append((guid, [_SEP.join(s) for s in spellings], sorted(keys), bool(affiliations), forms))
+        yield pd.DataFrame(rows, columns=["id", "s", "keys", "placed", "forms"])
+
+
+def _spellings(packed) -> list[tuple[str, ...]]:  # noqa: ANN001
+    return [tuple(s.split(_SEP)) for s in packed]
+
+
+def _least(group: bool, place: bool, paper: bool) -> float:
+    """The agreement of spellings that is enough beside the evidence."""
+    return 0.45 if paper else (0.6 if group else 0.5) if place else 0.84
 
 
 @full_frames
 def _scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(a, b, place, paper, score): the score of a pair, -1 where it doesn't match."""
     memo: dict[tuple, float] = {}
     for b in batches:
-        out = []
-        for x, y, one, two, shared_a, shared_b, placed in zip(b["a"], b["b"], b["s1"], b["s2"], b["by_place"], b["by_paper"], b["both_placed"], strict=True):
+        scores = []
+        for one, two, place, paper in zip(b["s1"], b["s2"], b["place"], b["paper"], strict=True):
             key = (tuple(sorted(one)), tuple(sorted(two)))
             s = memo.get(key)
             if s is None:
                 if len(memo) > 200_000:
                     memo.clear()
-                s = memo[key] = compare([tuple(json.loads(v)) for v in one], [tuple(json.loads(v)) for v in two])
-            group = key[0] and key[0][0].startswith('["g"')
-            ok = s >= 0.45 if shared_b else s >= (0.6 if group else 0.5) if shared_a else s >= 0.84 and not placed
-            if ok:
-                out.append((x, y, s + 0.5 * bool(shared_b) + 0.4 * bool(shared_a), not (shared_a or shared_b)))
-        yield pd.DataFrame(out, columns=["a", "b", "score", "weak"])
+                s = memo[key] = compare(_spellings(key[0]), _spellings(key[1])) if key[0] and key[1] else 0.0
+            ok = s > 0 and s >= _least(key[0][0].startswith("g"), place, paper)
+            scores.append(s + 0.5 * paper + 0.4 * place if ok else -1.0)
+        yield b[["a", "b", "place", "paper"]].assign(score=scores)
 
 
-def resolve(authors: DataFrame, most_rounds: int = 60) -> DataFrame:
+@full_frames
+def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(pid, into) of groups that come whole and in order: two profiles that merge (turn 0), then those that ask to join them, best first.
+
+    Each is compared with the union of all that joined before it. A part of the askers other than the first meets the same two profiles, but
+    joins into a profile of its own, which asks again in the next round.
+    """
+    now, base, union, head = None, False, set(), None
+    for b in batches:
+        out = []
+        for into, part, turn, pid, s, place, paper in zip(b["into"], b["part"], b["turn"], b["pid"], b["s"], b["place"], b["paper"], strict=True):
+            if now != (into, part):
+                now, union, head = (into, part), set(), int(into) if part == 0 else None
+            if turn == 0:
+                union.update(s)
+                if part == 0 and pid != into:
+                    out.append((int(pid), int(into)))
+                continue
+            one = _spellings(s)
+            if compare(_spellings(sorted(union)), one) >= _least(one[0][0] == "g", place, paper):
+                union.update(s)
+                if head is None:
+                    head = int(pid)
+                else:
+                    out.append((int(pid), head))
+        yield pd.DataFrame(out, columns=["pid", "into"])
+
+
+def _meet(left: DataFrame, right: DataFrame, on: str, block: int) -> DataFrame:
+    """Equi join in which the right side of a key with more than ``block`` rows is spread over shards, each of which meets the whole left side."""
+    heavy = right.groupBy(on).agg(F.count("*").alias("n")).where(F.col("n") > block).select(on, F.ceil(F.col("n") / block).cast("int").alias("k"))
+    k = F.coalesce("k", F.lit(1))
+    one = left.join(heavy, on, "left").withColumn("shard", F.explode(F.sequence(F.lit(0), k - 1))).drop("k")
+    two = right.join(heavy, on, "left").withColumn("shard", F.pmod(F.xxhash64("b"), k).cast("int")).drop("k")
+    return one.join(two, [on, "shard"])
+
+
+def weak_edges(profiles: DataFrame, names: DataFrame, block: int = BLOCK, stand: bool = True) -> DataFrame:
+    """(a, b): profiles (pid, s, placed) that agree by name alone and have no other such partner. ``names``: pid, key.
+
+    Counts only where one of the two has no affiliation. Where three profiles or more have the same spellings, each has two such partners among them or is
+    met by two, so none has a sole partner: they need not ask, and two of them stand for all where others ask. Without ``stand`` all meet all.
+    """
+    p = profiles.withColumn("t", F.array_join(F.array_sort("s"), "\n"))
+    if stand:
+        common = p.groupBy("t").agg(F.count("*").alias("n"), F.min("pid").alias("p1"), F.max("pid").alias("p2")).where("n >= 3").drop("n")
+        p = p.join(common, "t", "left").select("pid", "placed", F.col("p1").isNotNull().alias("crowd"), F.expr("p1 is null or pid in (p1, p2)").alias("stands"))
+    else:
+        p = p.select("pid", "placed", F.lit(False).alias("crowd"), F.lit(True).alias("stands"))
+    known = names.join(p, "pid")
+    asks = known.where("not placed and not crowd").select(F.col("pid").alias("a"), "key")
+    right = known.where("stands").select(F.col("pid").alias("b"), "key")
+    pairs = _meet(asks, right, "key", block).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    scored = _with_profiles(pairs.select("a", "b", F.lit(False).alias("place"), F.lit(False).alias("paper")), profiles).mapInPandas(_scores, _EDGE).where("score > 0")
+    ends = scored.select(F.explode(F.array("a", "b")).alias("p"), "a", "b")
+    sole = ends.groupBy("p").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.count("*").alias("n")).where("n = 1")
+    return sole.groupBy("a", "b").agg(F.count("*").alias("n")).where("n = 2").select("a", "b")
+
+
+def _with_profiles(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    side = lambda c, s: profiles.select(F.col("pid").alias(c), F.col("s").alias(s))
+    return pairs.join(side("a", "s1"), "a").join(side("b", "s2"), "b")
+
+
+def _best_merges(edges: DataFrame, profiles: DataFrame, block: int) -> DataFrame:
+    """(pid, into): profiles that are each other's best match merge, and those whose best match is in such a pair join them where they agree with the whole."""
+    ends = edges.where("score > 0").withColumn("p", F.explode(F.array("a", "b")))
+    best = ends.groupBy("p").agg(F.max(F.struct("score", F.xxhash64("a", "b").alias("h"), "a", "b", "place", "paper")).alias("best")).select("p", "best.*")
+    mutual = best.groupBy("a", "b").agg(F.count("*").alias("n")).where("n = 2")
+    seats = mutual.select(F.col("a").alias("into"), F.explode(F.array("a", "b")).alias("member"))
+    other = F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member")
+    # Both ends of a mutual pair have it as their best, so an asker is one whose best is no such pair.
+    asks = best.join(mutual.select("a", "b"), ["a", "b"], "left_anti").select(F.col("p").alias("pid"), "score", "h", "place", "paper", other).join(seats, "member").drop("member")
+    parts = asks.groupBy("into").agg(F.count("*").alias("n")).select("into", F.ceil(F.col("n") / block).cast("int").alias("k"))
+    two = seats.join(parts, "into", "left").select("into", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)).alias("part"), F.lit(0).alias("turn"), F.col("member").alias("pid"), F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("h"), F.lit(True).alias("place"), F.lit(True).alias("paper"))
+    rest = asks.join(parts, "into").select("into", F.pmod(F.xxhash64("pid"), F.col("k")).cast("int").alias("part"), F.lit(1).alias("turn"), "pid", "score", "h", "place", "paper")
+    group = two.unionByName(rest).join(profiles.select("pid", "s"), "pid")
+    group = group.repartition("into", "part").sortWithinPartitions("into", "part", "turn", F.desc("score"), F.desc("h"), "pid")
+    return group.mapInPandas(_gather, "pid bigint, into bigint")
+
+
+def resolve(authors: DataFrame, block: int = BLOCK) -> DataFrame:
     """(guid, entity): the entity of every GUID, named by the least GUID in it.
 
     GUIDs are compared without regard to case and blanks and given as first written; rows of one GUID count as one record with all
     their spellings; null GUIDs are left out, and records without a readable name stand alone. Names, affiliations and
-    papers may be null, and metadata no JSON. Rounds end when no profile merges; ``most_rounds`` is only a guard and raises if met.
+    papers may be null, and metadata no JSON. Rounds end when no profile merges; each merge leaves one profile less, so they end.
+
+    A merged profile's block keys are the union of its records', so the pairs that meet are found once and follow the merges; a round compares anew only those with
+    a changed side. A block of more than ``block`` profiles is spread over shards. Each round's tables are written and those of the round before deleted.
     """
     from lectern.functions.keys import guid_key
-    from lectern.plans.session import written
+    from lectern.operators.ranks import numbered
+    from lectern.plans.session import discard, written
 
     named = authors.where(F.col("GUID").isNotNull()).select(guid_key("GUID").alias("key"), F.col("GUID").alias("guid"), "full_name", "surname", "metadata")
-    first = named.groupBy("key").agg(F.min("guid").alias("guid"))
-    rows = named.select("key", "full_name", "surname", "metadata").distinct().withColumnRenamed("key", "guid")
-    records = written(rows.mapInPandas(_records, "guid string, spellings array<string>, keys array<string>, placed boolean, forms array<string>, name string"), "people")
-    spellings = records.select("guid", "placed", F.explode("spellings").alias("spelling"))
-    keys = records.select("guid", F.explode("keys").alias("key"))
+    ids = numbered(named.groupBy("key").agg(F.min("guid").alias("guid")), ["key"], "id")
+    rows = named.select("key", "full_name", "surname", "metadata").distinct().join(ids.select("key", "id"), "key").drop("key")
+    records = written(rows.mapInPandas(_records, "id bigint, s array<string>, keys array<string>, placed boolean, forms array<string>"), "people")
     # Round 0: equal readings at the same institution, or without any on the same paper, are one profile; however many there are, they meet in no pair.
-    by_form = records.select("guid", F.explode("forms").alias("form"))
-    least = by_form.groupBy("form").agg(F.min("guid").alias("pid"))
-    equal = by_form.join(least, "form").select("guid", "pid").unionByName(records.select("guid", F.col("guid").alias("pid"))).groupBy("guid").agg(F.min("pid").alias("pid"))
-    assign = written(equal, "assign")
-    # A GUID whose rows read differently keeps the least profile; such profiles may point at one another, so follow once more.
-    assign = written(assign.join(assign.select(F.col("guid").alias("pid"), F.col("pid").alias("next")), "pid", "left").select("guid", F.coalesce("next", "pid").alias("pid")), "assign")
-    active = None
-    for _ in range(most_rounds):
-        flags = records.select("guid", "placed").join(assign, "guid").groupBy("pid").agg(F.max("placed").alias("placed"))
-        if active is None:
-            flags = flags.withColumn("live", F.lit(True))
-        else:
-            flags = flags.join(active.withColumn("live", F.lit(True)), "pid", "left").na.fill(False, ["live"])
-        # Where three profiles or more bear one name, none of them is a sole namesake: they don't ask by name, and two of them stand for all when asked.
-        bearers = records.select("guid", "name").join(assign, "guid").groupBy("pid").agg(F.min("name").alias("n1"), F.max("name").alias("n2"))
-        common = bearers.where("n1 = n2").groupBy("n1").agg(F.count("*").alias("n"), F.min("pid").alias("p1"), F.max("pid").alias("p2")).where("n >= 3")
-        crowd = bearers.where("n1 = n2").join(common, "n1").select("pid", ((F.col("pid") == F.col("p1")) | (F.col("pid") == F.col("p2"))).alias("stands"))
-        state = written(flags.join(crowd, "pid", "left"), "state")
-        own = keys.join(assign, "guid").select("pid", "key").distinct().join(state, "pid").withColumn("kind", F.substring("key", 1, 1))
-        right = own.where("kind <> 'c' or stands is null or stands").select(F.col("pid").alias("b"), "key", F.col("live").alias("live_b"))
-        # A shared name alone counts only where one side has no affiliation, so only such profiles ask by it.
-        asks = "kind <> 'c' and live or kind = 'c' and not placed and stands is null"
-        found = own.where(asks).join(right, "key").where("pid <> b and (live or live_b)")
-        pairs = found.select(F.least("pid", "b").alias("a"), F.greatest("pid", "b").alias("b"), "kind")
-        pairs = pairs.groupBy("a", "b").agg(F.max(F.when(F.col("kind") == "a", 1).otherwise(0)).alias("by_place"), F.max(F.when(F.col("kind") == "b", 1).otherwise(0)).alias("by_paper"))
-        profiles = spellings.join(assign, "guid").groupBy("pid").agg(F.collect_set("spelling").alias("s"), F.max("placed").alias("placed"))
-        one = profiles.select(F.col("pid").alias("a"), F.col("s").alias("s1"), F.col("placed").alias("placed1"))
-        two = profiles.select(F.col("pid").alias("b"), F.col("s").alias("s2"), F.col("placed").alias("placed2"))
-        scored = pairs.join(one, "a").join(two, "b").withColumn("both_placed", F.col("placed1") & F.col("placed2"))
-        edges = written(scored.mapInPandas(_scores, "a string, b string, score double, weak boolean"), "edges")
-        ends = edges.select(F.col("a").alias("p"), "a", "b", "score", "weak").union(edges.select(F.col("b").alias("p"), "a", "b", "score", "weak"))
-        rank = F.struct("score", F.xxhash64("a", "b").alias("h"), "a", "b", "weak")
-        best = ends.groupBy("p").agg(F.max(rank).alias("best"), F.sum(F.col("weak").cast("int")).alias("weaks"))
-        # An edge that is the best of both its ends merges; one on the name alone only if it is the sole such choice of both.
-        mutual = best.where("not best.weak or weaks = 1").groupBy("best.a", "best.b").agg(F.count("*").alias("n")).where("n = 2")
-        pairs_merged = mutual.select(F.col("a").alias("into"), F.col("b").alias("pid"))
-        # Those whose best match is in such a pair join at once where they match both of it and one another: the whole is then a clique.
-        seat = pairs_merged.select(F.col("into").alias("member"), "into").union(pairs_merged.select(F.col("pid").alias("member"), "into"))
-        other = F.when(F.col("p") == F.col("best.a"), F.col("best.b")).otherwise(F.col("best.a"))
-        wish = best.where("not best.weak").select(F.col("p").alias("pid"), other.alias("member")).join(seat.select(F.col("member").alias("pid")), "pid", "left_anti").join(seat, "member").select("pid", "into")
-        firm = ends.where("not weak").select(F.col("p").alias("pid"), F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("with"))
-        near = firm.join(wish, "pid")
-        to_pair = near.join(seat.withColumnRenamed("member", "with"), ["with", "into"]).groupBy("pid", "into").agg(F.count("*").alias("n")).where("n = 2").select("pid", "into")
-        among = near.join(to_pair, ["pid", "into"], "left_semi").join(to_pair.withColumnRenamed("pid", "with"), ["with", "into"]).groupBy("pid", "into").agg(F.count("*").alias("deg"))
-        size = to_pair.groupBy("into").agg(F.count("*").alias("size"))
-        clique = to_pair.join(among, ["pid", "into"], "left").groupBy("into").agg(F.min(F.coalesce("deg", F.lit(0))).alias("deg")).join(size, "into").where("deg = size - 1")
-        joining = to_pair.join(clique.select("into"), "into", "left_semi").select("into", "pid")
-        merges = written(pairs_merged.unionByName(joining), "merges")
+    by_form = records.select("id", F.explode("forms").alias("form"))
+    least = by_form.groupBy("form").agg(F.min("id").alias("pid"))
+    equal = by_form.join(least, "form").select("id", "pid").unionByName(records.select("id", F.col("id").alias("pid"))).groupBy("id").agg(F.min("pid").alias("pid"))
+    # A record whose rows read differently keeps the least profile; such profiles may point at one another, so follow once more.
+    first = written(equal, "first")
+    assign = written(first.join(first.select(F.col("id").alias("pid"), F.col("pid").alias("next")), "pid", "left").select("id", F.coalesce("next", "pid").alias("pid")), "assign")
+    own = records.join(assign, "id")
+    profiles = written(own.groupBy("pid").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"), F.max("placed").alias("placed")), "profiles")
+    keys = own.select("pid", F.explode("keys").alias("key")).distinct()
+    names = written(keys.where("key like 'c|%'"), "names")
+    meets = keys.where("key not like 'c|%'")
+    found = _meet(meets.select(F.col("pid").alias("a"), "key"), meets.select(F.col("pid").alias("b"), "key"), "key", block).where("a < b")
+    pairs = written(found.groupBy("a", "b").agg(F.max(F.col("key").like("a|%")).alias("place"), F.max(F.col("key").like("b|%")).alias("paper")).withColumn("score", F.lit(None).cast("double")), "pairs")
+    discard(first, records)
+    while True:
+        fresh = _with_profiles(pairs.where("score is null").drop("score"), profiles).mapInPandas(_scores, _EDGE)
+        edges = written(pairs.where("score is not null").unionByName(fresh), "edges")
+        merges = written(_best_merges(edges, profiles, block), "merges")
         if merges.isEmpty():
-            break
-        assign = written(assign.join(merges, "pid", "left").select("guid", F.coalesce("into", "pid").alias("pid")), "assign")
-        # Only merged profiles and those whose match still waits can match anew.
-        waiting = ends.select(F.col("p").alias("pid")).distinct().join(merges.select("pid"), "pid", "left_anti")
-        active = written(waiting.union(merges.select(F.col("into").alias("pid"))).distinct(), "active")
-    else:
-        raise RuntimeError("profiles still merge")
-    out = assign.join(first.withColumnRenamed("key", "k"), assign.guid == F.col("k")).select(F.col("k"), first.guid.alias("guid"), "pid")
-    names = out.groupBy("pid").agg(F.min("guid").alias("entity"))
-    return out.join(names, "pid").select("guid", "entity")
-
-
-def same_pairs(resolved: DataFrame) -> DataFrame:
-    """(guid_1, guid_2) with guid_1 < guid_2 for all pairs within an entity."""
-    one = resolved.select("entity", F.col("guid").alias("guid_1"))
-    two = resolved.select("entity", F.col("guid").alias("guid_2"))
-    return one.join(two, "entity").where("guid_1 < guid_2").select("guid_1", "guid_2")
+            called = names.join(assign.select(F.col("id").alias("pid"), F.col("pid").alias("now")), "pid").select(F.col("now").alias("pid"), "key").distinct()
+            weak = weak_edges(profiles, called, block)
+            discard(merges)
+            merges = written(weak.select(F.col("b").alias("pid"), F.col("a").alias("into")), "merges")
+            if merges.isEmpty():
+                break
+        old = [assign, profiles, pairs, edges, merges]
+        moved = lambda df, c: df.join(merges.select(F.col("pid").alias(c), F.col("into").alias(f"{c}_into")), c, "left")  # noqa: B023, E731
+        now = lambda c: F.coalesce(f"{c}_into", c)
+        assign = written(moved(assign, "pid").select("id", now("pid").alias("pid")), "assign")
+        profiles = written(moved(profiles, "pid").groupBy(now("pid").alias("pid")).agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"), F.max("placed").alias("placed")), "profiles")
+        # Those that others merged into have changed too.
+        grown = merges.select(F.col("into").alias("g")).distinct()
+        step = moved(moved(edges, "a"), "b").select(now("a").alias("x"), now("b").alias("y"), "place", "paper", "score").where("x <> y")
+        step = step.join(grown.withColumnRenamed("g", "x").withColumn("gx", F.lit(True)), "x", "left").join(grown.withColumnRenamed("g", "y").withColumn("gy", F.lit(True)), "y", "left")
+        score = F.when(F.col("gx").isNull() & F.col("gy").isNull(), F.col("score"))
+        step = step.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("place").alias("place"), F.max("paper").alias("paper"), F.max(score).alias("score"))
+        pairs = written(step, "pairs")
+        discard(*old)
+    discard(profiles, names, pairs, edges, merges)
+    out = assign.join(ids, "id").select("guid", "pid")
+    return out.join(out.groupBy("pid").agg(F.min("guid").alias("entity")), "pid").select("guid", "entity")
+
+
+def same_pairs(resolved: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(guid_1, guid_2) with guid_1 < guid_2 for all pairs within an entity; a large entity is spread over shards."""
+    one = resolved.select("entity", F.col("guid").alias("a"))
+    two = resolved.select("entity", F.col("guid").alias("b"))
+    return _meet(one, two, "entity", block).where("a < b").select(F.col("a").alias("guid_1"), F.col("b").alias("guid_2"))

@@ -196,6 +196,28 @@ AUTHORS = [
 ]
 
 
+def test_sole_namesakes_equal_those_of_all_pairs(spark):
+    from lectern.llm.people import _SEP, weak_edges
+
+    r = random.Random(4)
+    names = [("p", r.choice(["smith", "smyth", "jones"]), r.choice(["anna", "ann", "bert"]), r.choice(["", "c"])) for _ in range(60)]
+    rows = [(i, [_SEP.join(n)], r.random() < 0.5) for i, n in enumerate([*names, ("p", "miller", "rosa", ""), ("p", "miller", "rosa", "q"), ("p", "xu", "wei", ""), ("p", "xu", "wei", ""), ("p", "xu", "wei", "")])]
+    rows = [(i, s, placed and i != 60) for i, s, placed in rows]
+    profiles = spark.createDataFrame(rows, "pid bigint, s array<string>, placed boolean")
+    keys = spark.createDataFrame([(i, f"c|{s[0].split(_SEP)[1][0]}") for i, s, _ in rows], "pid bigint, key string")
+    cut, whole = ({tuple(x) for x in weak_edges(profiles, keys, block=3, stand=stand).collect()} for stand in (True, False))
+    assert cut == whole and (60, 61) in cut
+
+
+def test_blocks_of_any_size_give_the_same_entities(spark):
+    from lectern.llm.people import resolve
+
+    r = random.Random(5)
+    rows = [_author(f"h{i:02d}", f"{r.choice(['Katherine', 'Kate', 'K.', 'Kathrine'])} {r.choice(['B. ', ''])}{r.choice(['Smith', 'Smiht', 'Smyth', 'Smitt'])}", "University of Ada") for i in range(60)]
+    authors = spark.createDataFrame(rows, "GUID string, full_name string, surname string, metadata string")
+    assert {tuple(x) for x in resolve(authors, block=1000).collect()} == {tuple(x) for x in resolve(authors, block=7).collect()}
+
+
 def test_names(spark):
     from lectern.llm.people import resolve, same_pairs
 
