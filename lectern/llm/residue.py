@@ -20,30 +20,63 @@ _CODE = re.compile(r"```.*?```|~~~.*?~~~|<(code|pre|kbd|samp)\b[^>]*>.*?</\1>|`[
 #: Element names of mark-up, which in angle brackets are no slots.
 _HTML = "a|abbr|b|bib|body|br|cit|cite|code|dd|div|dl|dt|em|fig|font|footer|formula|h[1-6]|head|header|hr|html|i|img|italic|kbd|label|li|math|ol|p|pre|q|ref|s|samp|script|sec|section|small|span|strong|sub|sup|table|tbody|td|th|title|tr|tt|u|ul|var|xref"
 _NAME = r"[A-Za-z][\w .:|-]{0,40}"
-#: Grammars by delimiter.
-PLACEHOLDERS: dict[str, str] = {
-    "double_brace": rf"\{{\{{\s*[#/^&>]?\s*{_NAME}\s*\}}\}}",
-    "block": r"\{%-?\s*[A-Za-z][^%{}]{0,60}-?%\}",
-    "server_tag": r"<%[=#-]?\s*[^%<>]{1,60}%>|<\?(?:php|=)[^<>]{0,60}\?>",
-    "dollar": r"\$\{\s*[A-Za-z_][\w.]*\s*\}|\$\([A-Za-z_]\w*\)|\$[A-Z][A-Z_]{2,}\b",
-    "brace": r"(?<![\w{\\$])\{\s*[a-z][a-z0-9]*(?:[._][a-z0-9]+)+\s*\}(?!\})",
-    "double_bracket": rf"\[\[\s*{_NAME}\s*\]\]|<<\s*{_NAME}\s*>>|«\s*[A-Z][A-Z_ ]+\s*»",
-    "bracket": r"\[\s*(?:insert|your|add|enter|type|todo|tbd|tba|fixme|xxx|place|put|fill|describe|provide|replace|write)\b[^\[\]\n]{0,60}\]|\[\s*[A-Za-z]{2,20}\s*\?+\s*\]|\[\s*\?{2,}\s*\]",
-    "percent": r"(?<![\w%])%[A-Z][A-Z_]{2,}%(?![\w%])|%\([a-z_]+\)[sd]",
-    "underscore": r"(?<!\w)__[A-Z][A-Z_]*[A-Z]__(?!\w)",
-    "at": r"(?<!\w)@@\s*\w+\s*@@(?!\w)|(?<!\w)@[A-Z][A-Z_]{2,}@(?!\w)",
-    "hash": r"(?<![\w#])#{1,2}[A-Za-z][A-Za-z_]{1,30}#{1,2}(?![\w#])",
-    "escaped": rf"&lt;\s*(?!/?(?:{_HTML})\s*/?&gt;)[A-Za-z][A-Za-z_ ]{{1,30}}\s*&gt;",
-    "angle": rf"<(?!(?i:/?(?:{_HTML})\s*/?>))(?:[A-Z][a-z]+(?:[ _][A-Z]?[a-z]+)*|(?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd)[ _][\w ]{{1,30}})>",
-    "command": r"\\[A-Za-z]+\{\s*(?:type|enter|insert|your|add|write|put)\b[^{}]{0,60}\}",
-    "crosses": r"\bX{3,}(?:\s+et\s+al\.?|,)?\s*\(?\s*X{2,}\b\)?|\bX{4,}\b",
-    "query": r"\(\s*[A-Za-z]{2,20}\?\s*(?:[,;]\s*[A-Za-z]{2,20}\?\s*)+\)",
-    "to_do": r"(?<![\w-])(?:(?:TBD|TBA|TBC)\b:?|(?:TODO|FIXME|TKTK)\s*:)",
-    "sample_name": r"\b(?:first\s?name\s+(?:last\s?name|surname)|given\s?name\s+(?:family\s?name|surname)|name\s+surname)\b",
-    "unset": r"\b(?:undefined|null|nan|none|nil)\s+\w+\s+(?:of|by|in|for|and|on|to)\s+(?:undefined|null|nan|none|nil)\b|\[object\s+object\]|\b(?:undefined|null|nan)(?:\s*,?\s*(?:undefined|null|nan)\b){1,}",
+#: Words that name a field of a form or letter (fixed values).
+_FIELDS = set(
+    "name names firstname lastname surname forename fullname username title subtitle author authors editor date time year month day address street city state country zip postcode email mail phone telephone fax number company "
+    "organisation organization affiliation institution institute department university journal venue publisher conference volume issue pages subject topic theme keyword keywords abstract summary text content body paragraph section chapter "
+    "url link website doi id user recipient sender customer client position role job product item price amount description image figure caption table reference citation quote location place project grant funder signature insert placeholder value variable field".split()
+)
+#: Marks and special tokens that stand in brackets as content (fixed values).
+_MARKS = set("sic cls sep mask unk pad bos eos inst doi pdf html online editor editors emphasis translation".split())
+_IDENTIFIER = r"[A-Za-z][A-Za-z0-9]*(?:[ _.-][A-Za-z0-9]+){0,4}"
+#: Grammars by delimiter, each beside a text without which none can match.
+PLACEHOLDERS: dict[str, tuple[tuple[str, ...], str]] = {
+    "double_brace": (("{{",), rf"\{{\{{\s*[#/^&>]?\s*{_NAME}\s*\}}\}}"),
+    "block": (("{%",), r"\{%-?\s*[A-Za-z][^%{}]{0,60}-?%\}"),
+    "server_tag": (("<%", "<?"), r"<%[=#-]?\s*[^%<>]{1,60}%>|<\?(?:php|=)[^<>]{0,60}\?>"),
+    "dollar": (("$",), r"\$\{\s*[A-Za-z_][\w.]*\s*\}|\$\([A-Za-z_]\w*\)|\$[A-Z][A-Z_]{2,}\b"),
+    "brace": (("{",), rf"(?<![\w{{\\$^_])\{{\s*(?P<brace>{_IDENTIFIER})\s*\}}(?!\}})"),
+    "interpolation": (("#{",), r"#\{\s*[A-Za-z_][\w.]*\s*\}"),
+    "double_bracket": (("[[", "<<", "«"), rf"\[\[\s*{_NAME}\s*\]\]|<<\s*{_NAME}\s*>>|«\s*[A-Z][A-Z_ ]+\s*»"),
+    "bracket": (("[",), r"\[\s*(?:insert|your|add|enter|type|todo|tbd|tba|fixme|xxx|place|put|fill|describe|provide|replace|write)\b[^\[\]\n]{0,60}\]|\[\s*[A-Za-z]{2,20}\s*\?+\s*\]|\[\s*\?{2,}\s*\]"),
+    "bracket_name": (("[",), rf"\[\s*(?P<bracket_name>{_IDENTIFIER})\s*\](?!\()"),
+    "percent": (("%",), r"(?<![\w%])%[A-Za-z][A-Za-z_]{2,}%(?![\w%])|%\([a-z_]+\)[sd]"),
+    "underscore": (("__",), r"(?<!\w)__[A-Z][A-Z_]*[A-Z]__(?!\w)"),
+    "at": (("@",), r"(?<!\w)@@\s*\w+\s*@@(?!\w)|(?<!\w)@[A-Z][A-Z_]{2,}@(?!\w)"),
+    "hash": (("#",), r"(?<![\w#])#{1,2}[A-Za-z][A-Za-z_]{1,30}#{1,2}(?![\w#])"),
+    "colon": ((":",), r"(?<![\w:/]):(?P<colon>[A-Za-z]+(?:_[A-Za-z]+)*)\b(?![:/\w])"),
+    "escaped": (("&lt;",), rf"&lt;\s*(?!/?(?:{_HTML})\s*/?&gt;)[A-Za-z][A-Za-z_ ]{{1,30}}\s*&gt;"),
+    "angle": (("<",), rf"<(?!(?i:/?(?:{_HTML})\s*/?>))(?:[A-Z][a-z]+(?:[ _][A-Z]?[a-z]+)*|(?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd)[ _][\w ]{{1,30}})>"),
+    "angle_name": (("<",), rf"<(?!(?i:/?(?:{_HTML})\s*/?>))(?P<angle_name>{_IDENTIFIER})>"),
+    "command": (("\\",), r"\\[A-Za-z]+\{\s*(?:type|enter|insert|your|add|write|put)\b[^{}]{0,60}\}"),
+    "crosses": (("XX",), r"\bX{3,}(?:\s+et\s+al\.?|,)?\s*\(?\s*X{2,}\b\)?|(?<![A-Z0-9]\s)(?<![A-Z0-9]-)\bX{4,}\b"),
+    "query": (("?",), r"\(\s*[A-Za-z]{2,20}\?\s*(?:[,;]\s*[A-Za-z]{2,20}\?\s*)+\)"),
+    "to_do": (("TB", "TODO", "FIXME", "TKTK"), r"(?<![\w-])(?:(?:TBD|TBA|TBC)\b:?|(?:TODO|FIXME|TKTK)\s*:)"),
+    "sample_name": (("name", "Name", "NAME"), r"\b(?:first\s?name\s+(?:last\s?name|surname)|given\s?name\s+(?:family\s?name|surname)|name\s+surname)\b"),
+    "unset": (("nde", "NDE", "ull", "ULL", "an", "AN", "one", "ONE", "il", "IL", "bject", "BJECT"), r"\b(?:undefined|null|nan|none|nil)\s+\w+\s+(?:of|by|in|for|and|on|to)\s+(?:undefined|null|nan|none|nil)\b|\[object\s+object\]|\b(?:undefined|null|nan)(?:\s*,?\s*(?:undefined|null|nan)\b){1,}"),
 }
 _FOLD = {"bracket", "command", "sample_name", "unset", "query"}
-_PLACE = [(k, re.compile(p, re.I if k in _FOLD else 0)) for k, p in PLACEHOLDERS.items()]
+_PLACE = [(k, needs, re.compile(p, re.I if k in _FOLD else 0)) for k, (needs, p) in PLACEHOLDERS.items()]
+
+
+def _names_a_field(kind: str, name: str, body: str) -> bool:
+    """Whether what stands in an open delimiter is the name of a field, rather than a word that the delimiter belongs to by rights.
+
+    Braces hold any identifier of three letters or more; square brackets names of fields, or capitals that are no mark; colons and angles names of fields,
+    the latter without a closing tag.
+    """
+    parts = [w for w in re.split(r"[ _.-]", name.lower()) if w]
+    fields = sum(w in _FIELDS for w in parts)
+    if kind == "brace":
+        return len(name) >= 3 and (len(parts) == 1 or name.isupper() or name.istitle() or fields > 0 or " " not in name)
+    if kind == "bracket_name":
+        if any(w in _MARKS for w in parts) or any(c.isdigit() for c in name):
+            return False
+        return fields > 0 and (name.isupper() or name.istitle() and len(parts) > 1 or "_" in name) or name.isupper() and len(name) >= 5
+    if kind == "angle_name":
+        return fields > 0 and (len(parts) > 1 or name.isupper()) and f"</{name}" not in body
+    return fields == len(parts) or "_" in name and fields > 0
+
 
 #: Words of the common Latin filler text (fixed values).
 _LATIN = set(
@@ -81,6 +114,44 @@ MESSAGES: dict[str, str] = {
     r"страница\s+не\s+найдена|доступ\s+(?:запрещ[её]н|закрыт)|(?:пожалуйста[,\s]+)?включите\s+(?:java\s?script|cookies|скрипты)|(?:введите|вставьте)\s+(?:здесь|сюда|текст)|здесь\s+(?:будет|должен\s+быть)\s+текст|проверьте\s+адрес\s+(?:страницы|статьи)|"
     r"η\s+σελίδα\s+δεν\s+βρέθηκε|ενεργοποιήστε\s+(?:τη[νς]?\s+)?java\s?script|εισαγ[άα]γετε\s+εδώ|pagina\s+non\s+trovata|accesso\s+negato|abilita(?:re)?\s+java\s?script|página\s+não\s+encontrada|(?:ative|habilite)\s+o\s+java\s?script",
 }
+_WORDS_OF = lambda t: frozenset(t.split())
+_THINGS = _THING[3:-1].split("|")
+#: Words of which a sentence has at least one where the message matches; they spare most sentences the grammar.
+_GATE: dict[str, frozenset[str]] = {
+    "failed_thing": frozenset([*_THINGS, *(f"{t}s" for t in _THINGS)]),
+    "server_error": _WORDS_OF("server gateway service access permission page file requests request forbidden unauthorized unauthorised connection nginx apache"),
+    "permission": _WORDS_OF("you your log sign"),
+    "went_wrong": _WORDS_OF("wrong error could problem try slow contact reload refresh back clear"),
+    "robot_check": _WORDS_OF("browser human robot captcha moment seconds"),
+    "redirect": _WORDS_OF("redirected"),
+    "absent": _WORDS_OF("available unavailable missing requested entered looking"),
+    "filler": _WORDS_OF("here box field space sample dummy placeholder filler example test replace supplied added provided written completed inserted filled announced determined blah soon construction tbd tba todo fixme"),
+}
+#: Words that a message in another language than English begins with.
+_FIRST_WORDS = _WORDS_OF(
+    "página pagina artículo articulo documento recurso acceso por active habilite activa habilita inserte escriba vuelva inténtelo intentelo seite artikel dokument datei zugriff bitte hier fügen fugen geben blindtext der versuchen "
+    "page article document ressource accès acces veuillez merci insérez inserez saisissez votre cette страница доступ пожалуйста включите введите вставьте здесь проверьте η ενεργοποιήστε εισαγάγετε εισαγαγετε accesso abilita abilitare ative habilite"
+)
+#: Parts of words for messages whose words run together.
+_PART_GATE: dict[str, tuple[str, ...]] = {"trace": ("traceback", "exception", "error", "warning", "notice", "uncaught", "trace", "segmentation"), "scripts": ("script", "cookie", "browser")}
+_EVERY_GATE = frozenset().union(*_GATE.values())
+_EVERY_PART = re.compile("|".join([*(p for ps in _PART_GATE.values() for p in ps), "asdf", "qwerty", "http", "status", "[45][0-9]{2}"]))
+_ANY_LATIN_WORD = re.compile(r"[^\W_]+")
+_STATUS_GATE = re.compile(r"[45]\d\d")
+
+
+def _may_match(kind: str, low: str, words: list[str]) -> bool:
+    if kind == "other_languages":
+        return bool(words) and words[0] in _FIRST_WORDS
+    if (gate := _GATE.get(kind)) is not None:
+        return not gate.isdisjoint(words) or kind == "filler" and words[0].startswith(("asdf", "qwerty"))
+    if (parts := _PART_GATE.get(kind)) is not None:
+        return any(p in low for p in parts)
+    if kind == "status":
+        return _STATUS_GATE.search(low) is not None
+    return kind != "status_line" or low.startswith(("error", "http", "status"))
+
+
 _MESSAGE = [(k, re.compile(p, re.I)) for k, p in MESSAGES.items()]
 #: Scripts without spaces: anywhere in the text (fixed values).
 _UNSPACED = re.compile(
@@ -100,52 +171,73 @@ _WORDS = re.compile(r"[A-Za-z]+")
 _INVISIBLE = {c: None for c in [*range(0x200B, 0x2010), *range(0x202A, 0x202F), 0x2060, 0xFEFF, 0xAD]}
 
 
-def _latin_run(text: str, least: int = 6) -> bool:
-    """A run of ``least`` words of Latin filler, at least four of them different, or the two opening words outside of quotes."""
-    run: list[str] = []
-    for m in _WORDS.finditer(text):
-        w = m.group().lower()
-        if w in _LATIN:
-            run.append(w)
-            if len(run) >= least and len(set(run)) >= 4 and sum(len(x) > 3 for x in run) >= 4:
-                return True
-        else:
-            run = []
-    return False
+#: Characters around a hit in which a text about templates speaks of it.
+NEAR = 250
+
+
+def _latin_run(text: str, least: int = 6) -> int:
+    """Where a run of ``least`` words of Latin filler begins, at least four of them different; -1 without one. A run in quotation marks within a sentence of other words is a quotation."""
+    run: list[re.Match] = []
+    for m in [*_WORDS.finditer(text), None]:
+        if m and m.group().lower() in _LATIN:
+            run.append(m)
+            continue
+        ws = [x.group().lower() for x in run]
+        if len(ws) >= least and len(set(ws)) >= 4 and sum(len(x) > 3 for x in ws) >= 4:
+            before, after = text[: run[0].start()].rstrip(" "), text[run[-1].end() :].lstrip(" .,;…")
+            quoted = before[-1:] in _OPENING and after[:1] in _CLOSING and bool(before[-1:]) and bool(after[:1])
+            if not (quoted or _BEFORE.search(text[max(0, run[0].start() - 90) : run[0].start()])):
+                return run[0].start()
+        run = []
+    return -1
+
+
+_OPENING, _CLOSING = "\"“„«‘'`", "\"”“»’'`"
 
 
 def find_residue(text: str | None) -> list[tuple[str, int]]:
     """(kind, position) of every residue in the text; positions count in the text without code blocks and invisible characters.
 
-    Null, empty and blank texts have none.
+    A hit that its context introduces or that stands near words on templates and their syntax is a mention. A text with two mentions or more, one in every 500
+    characters, or with more than twice as many mentions as hits, explains such things, and its placeholders don't count. Null, empty and blank texts have none.
     """
     if not text or not text.strip():
         return []
-    body = _CODE.sub(" ", unicodedata.normalize("NFKC", text.translate(_INVISIBLE)))
+    body = _CODE.sub(" ", text if text.isascii() else unicodedata.normalize("NFKC", text.translate(_INVISIBLE)))
     hits, mentions = [], 0
-    for kind, rx in _PLACE:
+    for kind, needs, rx in _PLACE:
+        if not any(x in body for x in needs):
+            continue
         for m in rx.finditer(body):
+            if kind in rx.groupindex and not _names_a_field(kind, m.group(kind), body):
+                continue
             before, after = body[max(0, m.start() - 90) : m.start()], body[m.end() : m.end() + 40]
-            if _BEFORE.search(before) or _AFTER.search(after):
+            if _BEFORE.search(before) or _AFTER.search(after) or _TUTORIAL.search(body, max(0, m.start() - NEAR), m.end() + NEAR):
                 mentions += 1
             else:
                 hits.append((kind, m.start()))
-    # Density: a text that explains a syntax mentions it more often than it leaves it unfilled.
-    if hits and (mentions > 2 * len(hits) or (_TUTORIAL.search(body) and mentions >= len(hits))):
+    if hits and (mentions > 2 * len(hits) or mentions >= 2 and mentions * 500 >= len(body)):
         hits = []
-    if _latin_run(body):
-        hits.append(("latin_filler", 0))
+    if (at := _latin_run(body)) >= 0:
+        hits.append(("latin_filler", at))
     at = 0
     for m in [*_SENTENCES.finditer(body), None]:
         end = m.start() if m else len(body)
         raw = body[at:end]
-        s = re.sub(r"\s+", " ", raw).strip(" \t\"“”‘’'«»(")
+        s = " ".join(raw.split()).strip(" \t\"“”‘’'«»(")
         if s:
-            hits += [(kind, at) for kind, rx in _MESSAGE if rx.match(s) and not _discussed(s)][:1]
+            low = s.lower()
+            words = _ANY_LATIN_WORD.findall(low)
+            found = []
+            if words and (words[0] in _FIRST_WORDS or not _EVERY_GATE.isdisjoint(words) or _EVERY_PART.search(low)):
+                found = [(kind, at) for kind, rx in _MESSAGE if _may_match(kind, low, words) and rx.match(s)][:1]
+            if not found and (r := _REPEATED.match(s)) and not _ANY_LATIN_WORD.search(s, r.end()):
+                found = [("repeated_word", at)]
+            if found and not _discussed(s) and not (body[:at].rstrip()[-1:] == ":" and _BEFORE.search(body[max(0, at - 90) : at].rstrip(" :"))):
+                hits += found
         at = m.end() if m else end
-    for kind, rx in (("unspaced", _UNSPACED), ("repeated_word", _REPEATED)):
-        if m2 := rx.search(body):
-            hits.append((kind, m2.start()))
+    if not body.isascii() and (m2 := _UNSPACED.search(body)):
+        hits.append(("unspaced", m2.start()))
     return hits
 
 

@@ -57,6 +57,8 @@ _CLOSE = {c for c in _OPEN.values()}
 _QUOTES = "“«„「『‹\"‚"
 _WORD_BEFORE = regex.compile(r"(?:[\p{L}\p{M}](?:[\p{L}\p{M}\p{N}]|[./’'-](?=[\p{L}\p{M}]))*|\p{N}+(?:[.,]\p{N}+)*)$")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+#: Words as they stand before a dot, those with dots inside as one.
+_DOTTABLE = regex.compile(r"[\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*")
 _ITEM = regex.compile(r"(?:\(?(?:\d{1,3}|[a-zA-Z]|[ivxlc]{1,5})[.)]|[•▪·*–-])\s+(?=\S)")
 _CASELESS = regex.compile(r"[\p{Lo}]")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
@@ -97,11 +99,9 @@ def train(texts: DataFrame, text: str) -> Model:
                     seen["o", o] += 1
                     seen["n", "thai" if _UNSPACED.match(o) else "word"] += 1
                 for w, inside in _dotted(t):
-                    if len(w) <= 8:
-                        seen["d" if inside else "e", w] += 1
-                for w in _TOKEN.findall(t):
-                    if len(w) <= 6:
-                        seen["w", w.lower()] += 1
+                    seen["d" if inside else "e", w] += 1
+                for w in _DOTTABLE.findall(t):
+                    seen["w", w.lower()] += 1
             yield pd.DataFrame([(k, w, n) for (k, w), n in seen.items()], columns=["kind", "word", "n"])
 
     counts = texts.select(text).mapInPandas(count, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
@@ -115,19 +115,19 @@ def train(texts: DataFrame, text: str) -> Model:
     return Model(openings, {r["word"] for r in found if len(r["word"]) >= 2} - MAYBE)
 
 
-def _depths(text: str, at: list[int]) -> list[tuple[int, dict[int, int]]]:
-    """For each position the number of quotations and brackets open there; and for closing positions that of their opening."""
-    out, stack, pairs, k = [], [], {}, 0
-    positions = sorted(at)
+def _pairs(text: str) -> dict[int, int]:
+    """The place of each closing quotation mark or bracket with that of its opening. What has no partner is in no pair.
+
+    A straight mark opens after a blank or an opening and before what is no blank, and closes after what is no blank; others, such as inches, are no quotations.
+    """
+    stack, pairs = [], {}
     straight = -1
     for i, c in enumerate(text):
-        while k < len(positions) and positions[k] <= i:
-            out.append(len(stack) + (straight >= 0))
-            k += 1
         if c == '"':
             if straight >= 0:
-                pairs[i], straight = straight, -1
-            else:
+                if not text[i - 1].isspace():
+                    pairs[i], straight = straight, -1
+            elif (i == 0 or not (text[i - 1].isalnum() or text[i - 1] in ".!?,;")) and not text[i + 1 : i + 2].isspace():
                 straight = i
         elif stack and c in _CLOSE and _OPEN[text[stack[-1]]] == c or (c == "”" and stack and text[stack[-1]] == "„"):
             pairs[i] = stack.pop()
@@ -140,10 +140,19 @@ def _depths(text: str, at: list[int]) -> list[tuple[int, dict[int, int]]]:
                     break
         elif c in _OPEN:
             stack.append(i)
-    while k < len(positions):
-        out.append(len(stack) + (straight >= 0))
-        k += 1
-    return list(zip(out, [pairs] * len(out), strict=True))
+    return pairs
+
+
+def _depths(pairs: dict[int, int], at: list[int]) -> list[int]:
+    """For each of the ascending positions the number of quotations and brackets it lies in."""
+    steps = sorted([(o + 1, 1) for o in pairs.values()] + [(z + 1, -1) for z in pairs])
+    out, k, depth = [], 0, 0
+    for p in at:
+        while k < len(steps) and steps[k][0] <= p:
+            depth += steps[k][1]
+            k += 1
+        out.append(depth)
+    return out
 
 
 def _opening_score(text: str, at: int, model: Model, strong: bool) -> float:
@@ -218,8 +227,19 @@ def _closing_score(text: str, start: int, end: str, after: int, model: Model) ->
     return 3.0
 
 
-def split(text: str | None, model: Model | None = None, reach: int = 60) -> list[tuple[int, int]]:
-    """(start, end) of each sentence, without white space at its ends. Null, empty and blank texts have none."""
+#: What a cut inside of a quotation or bracket costs a level: more than any close and opening can score, so that its inner sentences never outweigh it.
+INSIDE = 10.0
+#: Characters beyond which a span is charged by its length.
+LONG = 400
+PER_CHARACTER = 0.002
+
+
+def split(text: str | None, model: Model | None = None) -> list[tuple[int, int]]:
+    """(start, end) of each sentence, without white space at its ends. Null, empty and blank texts have none.
+
+    Spans reach back to the start of the text: one of more than LONG characters is charged in proportion, so of all such spans to one end the best is
+    that of the greatest best[i] + PER_CHARACTER * start, which is carried along, and only nearer starts are tried one by one.
+    """
     if not text or not text.strip():
         return []
     model = model or Model()
@@ -253,8 +273,8 @@ def split(text: str | None, model: Model | None = None, reach: int = 60) -> list
     ends.append(len(text.rstrip()))
     starts.append(len(text))
     score.append(0.0)
-    depth = _depths(text, ends)
-    pairs = depth[0][1]
+    pairs = _pairs(text)
+    depth = _depths(pairs, ends)
     # A quotation that opens a sentence doesn't end it where a caseless letter goes on: what was said comes before who said it.
     for j in range(len(ends)):
         o = pairs.get(ends[j] - 1, -1)
@@ -266,18 +286,24 @@ def split(text: str | None, model: Model | None = None, reach: int = 60) -> list
     best, back = [0.0] + [-math.inf] * (n - 1), [0] * n
     lead = len(text) - len(text.lstrip())
     starts[0] = lead
+    far, carried, carried_from = 0, -math.inf, 0
     for j in range(1, n):
-        for i in range(max(0, j - reach), j):
+        gain = score[j] - INSIDE * depth[j]
+        while far < j and ends[j] - starts[far] > LONG:
+            if best[far] + PER_CHARACTER * starts[far] > carried:
+                carried, carried_from = best[far] + PER_CHARACTER * starts[far], far
+            far += 1
+        if far:
+            best[j], back[j] = carried - PER_CHARACTER * (ends[j] - LONG) + gain, carried_from
+        for i in range(far, j):
             size = ends[j] - starts[i]
             if size <= 0:
                 continue
-            s = best[i] + score[j] - 7.0 * abs(depth[j][0] - depth[i][0])
+            s = best[i] + gain
             if size < 3:
                 s -= 4.0
             elif size < 8 and j < n - 1 and not _UNSPACED.match(text[starts[i]]):
                 s -= 0.8
-            if size > 400:
-                s -= 0.002 * (size - 400)
             if s > best[j]:
                 best[j], back[j] = s, i
     cuts, j = [], n - 1

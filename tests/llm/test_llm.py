@@ -123,6 +123,26 @@ def test_residue_of_a_table(spark):
     assert without_residue(docs).count() == len(CONTENT) and residue(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["Dear {FIRST_NAME}, we write.", "Dear {name}, hello.", "{First Name}, hello.", "Dear [NAME], hello.", "Dear [First Name], hello.", "Dear %name%, hello.", "Dear <first_name>, hello.", "The title is #{title} here.", "Dear :name, hello."])
+def test_placeholders_of_any_identifier(text):
+    from lectern.llm.residue import find_residue
+
+    assert find_residue(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "We discuss the filler “lorem ipsum dolor sit amet consectetur”, which printers use.", "The gene BRCA XXXX was found.", "It was a very very very very very very good thing.", "In this tutorial we explain the Jinja template language. Write {{ name }} in the page.",
+        "The set {a, b} and \\emph{name} and x_{max} hold [12] [Smith] [sic].", "<abstract>We do</abstract> see [MASK] tokens: ratio 3:4 and std::vector.",
+    ],
+)
+def test_mentions_are_content(text):
+    from lectern.llm.residue import find_residue
+
+    assert not find_residue(text)
+
+
 # ---- p2 ----
 CUT = {
     "Dr. Smith et al. (2010) came, e.g. here. They saw.": ["Dr. Smith et al. (2010) came, e.g. here.", "They saw."],
@@ -145,6 +165,23 @@ def test_sentences(text):
     assert [text[a:z] for a, z in split(text)] == CUT[text]
 
 
+@pytest.mark.parametrize("marks", ['"%s"', "“%s”", "«%s»", "(%s)"])
+@pytest.mark.parametrize("inner", [1, 5, 6, 40, 80])
+def test_a_quotation_inside_a_sentence_does_not_end_it(marks, inner):
+    from lectern.llm.sentences import split
+
+    text = "He said " + marks % " ".join(["Go on now!"] * inner) + " and left. Then he came."
+    assert [text[a:z] for a, z in split(text)][-1] == "Then he came." and len(split(text)) == 2
+
+
+def test_spans_reach_back_over_any_number_of_candidates():
+    from lectern.llm.sentences import split
+
+    text = "We thank " + ", ".join(f"{c}. Name" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" * 10) + " for all. Then he came."
+    assert [text[a:z] for a, z in split(text)][1:] == ["Then he came."]
+    assert split('A 5" pipe is long. We see 6" here. End.') == [(0, 18), (19, 34), (35, 39)]
+
+
 def test_sentences_cover_the_text(spark):
     from lectern.llm.sentences import sentences, split
 
