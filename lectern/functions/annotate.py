@@ -52,7 +52,7 @@ def _annotated(text: str | None, style: str | None) -> dict:
             nums: list[int] = []
             for p in m.group()[1:-1].split(","):
                 ends = [int(x) for x in re.findall(r"\d+", p)]
-                nums += range(ends[0], ends[1] + 1) if len(ends) == 2 and ends[0] <= ends[1] <= ends[0] + 100 else ends
+                nums += range(ends[0], ends[1] + 1) if len(ends) == 2 and ends[0] <= ends[1] <= 9999 else ends
             return mark(blank | {"text": m.group(), "nums": nums})
 
         text = re.sub(NUMBERED, number, text)

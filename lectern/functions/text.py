@@ -12,13 +12,15 @@ STOPWORDS = ["~", "the", "and", "or", "not", "of", "to", "from", "by", "with", "
 URL = r"https?://[^\s<>\"]+|www\.[^\s<>\"]+"
 #: Marks of citations in text.
 AUTHOR_YEAR = r"\b[A-Z][\w'’-]+(?: (?:and|&) [A-Z][\w'’-]+| et al\.)?,? \(?(?:1[89]|20)\d\d[a-z]?\)?"
+_NAME = r"\p{Lu}[\p{L}\p{M}\p{N}_'’-]+"
+ANY_AUTHOR_YEAR = rf"(?:^|[^\p{{L}}\p{{M}}\p{{N}}_]){_NAME}(?: (?:and|&) {_NAME}| et al\.)?,? \(?(?:1[89]|20)\d\d[a-z]?\)?"
 NUMBERED = r"\[\d+(?:\s*[,–-]\s*\d+)*\]"
-#: Generic sections and the words that speak for them.
+#: Generic sections and the words that speak for them, as often as they stand here.
 SECTIONS = {
-    "abstract": "abstract summary", "introduction": "introduction overview motivation", "background": "background preliminaries", "related_work": "related previous prior literature",
-    "method": "method methods methodology approach model algorithm", "data": "data dataset corpus materials", "experiment": "experiment experiments experimental setup",
-    "results": "result results findings", "evaluation": "evaluation analysis comparison", "discussion": "discussion", "conclusion": "conclusion conclusions concluding",
-    "future_work": "future outlook", "acknowledgements": "acknowledgements acknowledgments acknowledgement", "references": "references bibliography",
+    "Introduction": "introduction", "Abstract": "abstract", "Conclusion": "conclusion concluding remarks conclusions", "Future work": "future future future", "Data": "data corpus corpora statistics dataset datasets corpus corpus",
+    "Related work": "previous work related works comparison", "Results/Discussion": "discussion discussions results", "Problem": "problem task", "Motivation": "background motivation problem formalism idea example investigating",
+    "Methodology": "methods method methodology feature features algorithm heuristic our approach preprocessing model training measure measures framework", "Implementation": "implementation overview",
+    "Experiments": "experiment experiments experimental experimentation", "Evaluation": "evaluation evaluating judgement analysis test performance", "Acknowledgements": "acknowledgements",
 }
 
 
@@ -93,18 +95,18 @@ def word_count(col: Column | str) -> Column:
 
 def citation_style(col: Column | str) -> Column:
     """AFI where numbered citations outnumber author-year ones, APA where there are any, null where there is none. Names may have letters of any script."""
-    a, n = F.regexp_count(col, F.lit("(?U)" + AUTHOR_YEAR.replace("[A-Z]", r"\p{Lu}"))), F.regexp_count(col, F.lit(NUMBERED))
+    a, n = F.regexp_count(col, F.lit(ANY_AUTHOR_YEAR)), F.regexp_count(col, F.lit(NUMBERED))
     return F.when(n > a, "AFI").when(a > 0, "APA")
 
 
 def numbered_list(col: Column | str) -> Column:
-    """The numbers of a citation such as [1,2,5-7], ranges spelled out; ranges of more than 100 and backward ones keep their ends."""
+    """The numbers of a citation such as [1,2,5-7], ranges spelled out; backward ranges and those with a number of more than four digits, which is no reference, keep their ends."""
     parts = F.split(F.regexp_replace(col, r"[\[\]\s]", ""), ",")
 
     def spell(p: Column) -> Column:
         ends = F.transform(F.regexp_extract_all(p, F.lit(r"\d+"), 0), lambda x: x.cast("int"))
         a, z = F.get(ends, 0), F.get(ends, F.size(ends) - 1)
-        return F.when((F.size(ends) == 2) & (z >= a) & (z - a <= 100), F.sequence(a, z)).otherwise(ends)
+        return F.when((F.size(ends) == 2) & (z >= a) & (z <= 9999), F.sequence(a, z)).otherwise(ends)
 
     return F.flatten(F.transform(parts, spell))
 
@@ -142,14 +144,16 @@ def in_text(surnames: Column, year: Column) -> Column:
 
 
 def generic_section(header: Column | str) -> Column:
-    """The generic section whose words overlap most with the header's, the first at ties, null at none."""
-    words = tokens(header)
-    scores = [F.size(F.array_intersect(words, F.array(*map(F.lit, ws.split())))) for ws in SECTIONS.values()]
-    best = F.greatest(*scores)
-    out = F.lit(None).cast("string")
-    for name, s in reversed(list(zip(SECTIONS, scores, strict=True))):
-        out = F.when(s == best, name).otherwise(out)
-    return F.when(best > 0, out)
+    """The generic section whose words the header has most often, empty for none. At ties the one whose word comes first in the header, then in the list."""
+    words = F.filter(F.split(F.lower(header), r"[\s\d,./:;-]+"), lambda w: w != "")
+
+    def scored(k: int, name: str, own: Column) -> Column:
+        n = F.aggregate(words, F.lit(0), lambda s, w: s + F.size(F.filter(own, lambda x: x == w)))
+        at = F.array_position(F.transform(words, lambda w: F.array_contains(own, w)), True)
+        return F.struct(n.alias("n"), (-at).alias("at"), F.lit(-k).alias("k"), F.lit(name).alias("name"))
+
+    best = F.array_max(F.array(*[scored(k, name, F.array(*map(F.lit, ws.split()))) for k, (name, ws) in enumerate(SECTIONS.items())]))
+    return F.when(best["n"] > 0, best["name"]).when(words.isNotNull(), F.lit(""))
 
 
 def chance_mrr(n: Column | str) -> Column:

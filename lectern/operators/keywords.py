@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import sigmoid
 
 
+#: Points of running sums that one broadcast holds, and cells of a table of running sums.
+CURVE_POINTS = 1_000_000
+CELLS = 1_000_000
+
+
 def term_scores(hits: DataFrame, how: str = "max") -> DataFrame:
     """(query_id, guid, term, score): each term's part in each document's score, its fields combined by max or sum."""
     f = {"max": F.max, "add": F.sum}[how]
     return hits.groupBy("query_id", "guid", "term").agg(f(F.col("qw") * F.col("fw")).alias("score"))
 
 
-def normalised(scores: DataFrame, matches: DataFrame, decimals: int | None = None) -> DataFrame:
-    """(query_id, guid, term, score) for matching documents: share of the document's score, over (1 + the term's sum over all retrieved)^2, shared out to sum 1."""
-    raw = scores.withColumn("raw", F.sum("score").over(Window.partitionBy("query_id", "term")))
-    own = raw.join(matches.select("query_id", "guid").distinct(), ["query_id", "guid"], "left_semi")
+def normalised(scores: DataFrame, matches: DataFrame, retrieved: DataFrame | None = None) -> DataFrame:
+    """(query_id, guid, term, score) for matching documents: share of the document's score, over (1 + the term's sum over the retrieved)^2, shared out to sum 1.
+
+    ``scores`` has the term scores of the matching and of the retrieved documents; ``retrieved``: query_id, guid, all of ``scores`` without it.
+    """
+    listed = scores if retrieved is None else scores.join(retrieved.select("query_id", "guid").distinct(), ["query_id", "guid"], "left_semi")
+    sums = listed.groupBy("query_id", "term").agg(F.sum("score").alias("raw"))
+    own = scores.join(matches.select("query_id", "guid").distinct(), ["query_id", "guid"], "left_semi").join(sums, ["query_id", "term"], "left")
     doc = Window.partitionBy("query_id", "guid")
-    own = own.withColumn("s", F.col("score") / F.sum("score").over(doc) / F.pow(1 + F.col("raw"), 2))
+    own = own.withColumn("s", F.col("score") / F.sum("score").over(doc) / F.pow(1 + F.coalesce("raw", F.lit(0.0)), F.lit(2.0)))
     return own.select("query_id", "guid", "term", (F.col("s") / F.sum("s").over(doc)).alias("score"))
 
 
@@ -40,37 +52,83 @@ def best(scores: DataFrame, n: int | None) -> DataFrame:
     return r if n is None else r.where(F.col("rank") <= n)
 
 
-def minimal_set(scores: DataFrame, hits: DataFrame, matches: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(query_id, n_terms, rank): the shortest prefix of the terms by score whose matches rank best.
-
-    All prefixes in one pass over each query's hits, which are worked on alone: a document's score is a running sum that changes only at the ranks
-    where it has a term.
-    """
-    from lectern.operators.retrieval import _weight
+def _curve(n: np.ndarray, s: np.ndarray, last: int) -> np.ndarray:
+    run = np.zeros(last + 1)
+    run[n] = s
+    return np.cumsum(run)
 
-    ranked = best(scores, None)
-    parts = hits.groupBy("query_id", "guid", "term").agg(F.sum(F.col("qw") * F.col("fw") * _weight(weights)).alias("s")).join(ranked.select("query_id", "term", F.col("rank").alias("n")), ["query_id", "term"])
-    data = parts.select("query_id", "guid", "n", F.coalesce("s", F.lit(0.0)).alias("s")).join(matches.select("query_id", "guid").distinct().withColumn("m", F.lit(True)), ["query_id", "guid"], "left")
 
-    def choose(pdf):  # noqa: ANN001, ANN202
-        import numpy as np
-        import pandas as pd
-
-        at, docs = pd.factorize(pdf["guid"], sort=True)
-        run, n, s = np.zeros(len(docs)), pdf["n"].to_numpy(), pdf["s"].to_numpy()
-        good = np.unique(at[pdf["m"].eq(True).to_numpy()])
-        order = np.argsort(n, kind="stable")
-        cuts = np.flatnonzero(np.diff(n[order])) + 1
-        found = None
-        for part in np.split(order, cuts):
-            run[at[part]] += s[part]
-            ranks = [1 + int((run > run[g]).sum()) + int((run[:g] == run[g]).sum()) for g in good if run[g] > 0]
-            if ranks and (found is None or sum(ranks) / len(ranks) < found[0]):
-                found = (sum(ranks) / len(ranks), int(n[part[0]]))
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[:1], "n_terms": [found[1]], "rank": [found[0]]}) if found else pdf.iloc[:0].assign(n_terms=0, rank=0.0)[["query_id", "n_terms", "rank"]]
+def minimal_set(scores: DataFrame, hits: DataFrame, matches: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(query_id, n_terms, rank): the shortest prefix of the terms by score whose matches rank best on average, among all documents.
 
-    kind = hits.schema["query_id"].dataType.simpleString()
-    return data.groupBy("query_id").applyInPandas(choose, f"query_id {kind}, n_terms int, rank double")
+    A document's score at every prefix is a running sum over its terms. The running sums of the matches are sent to the documents, in blocks of at most
+    CURVE_POINTS points, and each part of the documents counts by how many of its own each match is beaten at each prefix; only these counts are exchanged.
+    Matches without a term of a prefix don't count in its average; queries without any rank are left out.
+    """
+    from lectern.operators.retrieval import BLOCK_TERMS, _weight
+    from lectern.plans.session import written
+
+    ranked = written(best(scores, None).select("query_id", "term", F.col("rank").alias("n")), "terms")
+    ranked = F.broadcast(ranked) if ranked.count() <= BLOCK_TERMS else ranked
+    parts = hits.groupBy("query_id", "guid", "term").agg(F.coalesce(F.sum(F.col("qw") * F.col("fw") * _weight(weights)), F.lit(0.0)).alias("s")).join(ranked, ["query_id", "term"]).select("query_id", "guid", "n", "s")
+    last = ranked.groupBy("query_id").agg(F.max("n").alias("last"))
+    own = parts.join(matches.select("query_id", "guid").distinct(), ["query_id", "guid"], "left_semi").join(last, "query_id")
+    curves = written(own.groupBy("query_id", "guid", "last").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("points")), "curves")
+    points = curves.agg(F.sum("last")).first()[0] or 0
+    blocks = max(1, -(-points // CURVE_POINTS))
+    kinds = {c: hits.schema[c].dataType.simpleString() for c in ("query_id", "guid")}
+    schema = f"query_id {kinds['query_id']}, guid {kinds['guid']}, n int, beaten bigint"
+    placed = parts.sortWithinPartitions("query_id", "guid")
+    counted = None
+    for k in range(blocks):
+        block = curves if blocks == 1 else curves.where(F.pmod(F.xxhash64("query_id", "guid"), F.lit(blocks)) == k)
+        sent: dict = {}
+        for r in block.collect():
+            n, s = (np.array(x) for x in zip(*r["points"], strict=True))
+            sent.setdefault(r["query_id"], []).append((r["guid"], _curve(n, s, r["last"])))
+        shared = scores.sparkSession.sparkContext.broadcast(sent)
+
+        def count(batches, shared=shared):  # noqa: ANN001, ANN202
+            held = None
+            for b in itertools.chain(batches, [None]):
+                if b is None:
+                    whole, held = held, None
+                else:
+                    b = b if held is None else pd.concat([held, b], ignore_index=True)
+                    tail = (b["query_id"].eq(b["query_id"].iloc[-1]) & b["guid"].eq(b["guid"].iloc[-1])).to_numpy() if len(b) else np.zeros(0, bool)
+                    whole, held = b[~tail], b[tail]
+                if whole is None or not len(whole):
+                    continue
+                for q, g in whole.groupby("query_id", sort=False):
+                    if q in shared.value:
+                        yield from _beaten(q, g, shared.value[q])
+
+        got = placed.mapInPandas(count, schema)
+        counted = got if counted is None else counted.unionByName(got)
+    per = counted.groupBy("query_id", "guid", "n").agg((F.sum("beaten") + 1).alias("rank"))
+    per = per.groupBy("query_id", "n").agg(F.avg("rank").alias("rank"))
+    return per.groupBy("query_id").agg(F.min(F.struct("rank", "n")).alias("b")).select("query_id", F.col("b.n").alias("n_terms"), F.col("b.rank").alias("rank"))
+
+
+def _beaten(query: object, rows: pd.DataFrame, curves: list[tuple[object, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    """For each match of a query and each prefix: how many documents of ``rows`` rank before it."""
+    at, docs = pd.factorize(rows["guid"], sort=True)
+    last = len(curves[0][1]) - 1
+    n, s = rows["n"].to_numpy(), rows["s"].to_numpy()
+    totals = np.zeros((len(curves), last + 1), np.int64)
+    step = max(1, CELLS // (last + 1))
+    for lo in range(0, len(docs), step):
+        part = (at >= lo) & (at < lo + step)
+        table = np.zeros((min(step, len(docs) - lo), last + 1))
+        table[at[part] - lo, n[part]] = s[part]
+        table = np.cumsum(table, axis=1)
+        for i, (guid, curve) in enumerate(curves):
+            before = np.asarray(docs[lo : lo + step] < guid)[:, None]
+            totals[i] += ((table > curve) | ((table == curve) & before)).sum(axis=0)
+    for (guid, curve), total in zip(curves, totals, strict=True):
+        live = np.flatnonzero(curve > 0)
+        if len(live):
+            yield pd.DataFrame({"query_id": [query] * len(live), "guid": [guid] * len(live), "n": live.astype("int32"), "beaten": total[live]})
 
 
 def add_and_drop(hits: DataFrame, matches: DataFrame, scores: DataFrame) -> DataFrame:
@@ -165,16 +223,28 @@ def transform(weights: DataFrame, name: str, **args: float) -> DataFrame:
     return out.withColumn("weight", _scaled(F.col("__w")) if name in SCALED else F.col("__w")).drop("__w")
 
 
+def transform_all(weights: DataFrame, names: list[str]) -> DataFrame:
+    """(query_id, term, a column for each transform): all over one window of each query."""
+    out = weights
+    for n in names:
+        out = out.withColumn("__w", TRANSFORMS[n]())
+        out = out.withColumn(n, _scaled(F.col("__w")) if n in SCALED else F.col("__w"))
+    return out.select("query_id", "term", *names)
+
+
 def compare_transforms(hits: DataFrame, weights: DataFrame, matches: DataFrame, fields: dict[str, float], names: list[str]) -> DataFrame:
-    """(transform, n_queries, ndcg): mean NDCG of each transform of the keyword weights."""
+    """(transform, n_queries, ndcg): mean NDCG of each transform of the keyword weights. Scores that agree in nine decimals of their logarithm tie."""
     from lectern.operators.metrics import measure
-    from lectern.operators.retrieval import score_keywords, top
-
-    out = None
-    for name in names:
-        m = measure(top(score_keywords(hits, fields, transform(weights, name))), matches).agg(F.lit(name).alias("transform"), F.count("*").alias("n_queries"), F.avg("ndcg").alias("ndcg"))
-        out = m if out is None else out.unionByName(m)
-    return out
+    from lectern.operators.retrieval import BLOCK_TERMS, _weight, top
+    from lectern.plans.session import written
+
+    w = written(transform_all(weights, names), "weights")
+    leaf = hits.join(F.broadcast(w) if w.count() <= BLOCK_TERMS else w, ["query_id", "term"]).withColumn("__s", F.col("qw") * F.col("fw") * _weight(fields))
+    sums = leaf.groupBy("query_id", "guid").agg(*[F.sum(F.col("__s") * F.col(f"`{n}`")).alias(n) for n in names]).unpivot(["query_id", "guid"], names, "transform", "score").where("score > 0")
+    key = F.struct("transform", F.col("query_id").alias("q")).alias("query_id")
+    ranked = top(sums.select(key, "guid", F.round(F.ln("score"), 9).alias("score")))
+    of = matches.withColumn("transform", F.explode(F.array(*map(F.lit, names)))).select(key, "guid")
+    return measure(ranked, of).groupBy("query_id.transform").agg(F.count("*").alias("n_queries"), F.avg("ndcg").alias("ndcg"))
 
 
 def ngrams(docs: DataFrame, key: str, words: Column, n: int, least: int, stopwords: list[str]) -> DataFrame:

@@ -63,8 +63,8 @@ def accuracy(model, rows: DataFrame) -> float:  # noqa: ANN001
     return MulticlassClassificationEvaluator(metricName="accuracy").evaluate(model.transform(rows))
 
 
-def greedy_weights(hits: DataFrame, matches: DataFrame, fields: list[str], moves: tuple[float, ...] = (-1, 6, -2), passes: int = 3, metric: str = "ndcg", smooth: bool = False) -> tuple[dict[str, float], float]:
-    """Field weights by coordinate ascent from 1: each move of each field is tried, the best strictly better one taken, at least ``passes`` rounds while any
+def greedy_weights(hits: DataFrame, matches: DataFrame, fields: list[str], moves: tuple[float, ...] = (-1, 6, -2), metric: str = "ndcg", smooth: bool = False) -> tuple[dict[str, float], float]:
+    """Field weights by coordinate ascent from 1: each move of each field is tried, the best strictly better one taken, for as many rounds as any
     improves; weights stay at or above 0. All moves of a field are evaluated in one job over per-field partial sums, which are written once.
     """
     from lectern.operators.metrics import measure
@@ -90,7 +90,6 @@ def greedy_weights(hits: DataFrame, matches: DataFrame, fields: list[str], moves
 
     weights = dict.fromkeys(fields, 1.0)
     best = value([weights])[0]
-    rounds = 0
     while True:
         better = False
         for f in fields:
@@ -99,8 +98,7 @@ def greedy_weights(hits: DataFrame, matches: DataFrame, fields: list[str], moves
             k = max(range(len(got)), key=got.__getitem__)
             if got[k] > best:
                 weights, best, better = options[k], got[k], True
-        rounds += 1
-        if not better or rounds >= max(passes, 12):
+        if not better:
             break
     if smooth:
         weights = {f: min(1.0, w) / 3 if w < 1 else w for f, w in weights.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.plans.session import tasks, written
@@ -15,18 +15,22 @@ def numbered(rows: DataFrame, order: list[str | Column], name: str = "row_no") -
 
     The sorted rows are written once, since the cuts of a second evaluation may differ. The driver sees one count a range.
     """
+    return running(rows, order, F.lit(1), name)
+
+
+def running(rows: DataFrame, order: list[str | Column], step: Column, name: str = "total") -> DataFrame:
+    """Adds the sum of ``step`` over the rows up to and with each, in the order; sorted and written as for ``numbered``. Null steps count 0."""
     n = tasks(rows.sparkSession)
-    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    placed = rows.withColumn("__step", F.coalesce(step.cast("bigint"), F.lit(0))).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
     placed = written(placed, "numbered").withColumn("__range", F.shiftright("__id", _ROW_BITS))
-    sizes = {r["__range"]: r["n"] for r in placed.groupBy("__range").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["__range"]: r["n"] for r in placed.groupBy("__range").agg(F.sum("__step").alias("n")).collect()}
     before, starts = 0, []
     for k in sorted(sizes):
         starts.append((int(k), before))
         before += sizes[k]
-    spark = rows.sparkSession
-    table = spark.createDataFrame(starts, "__range bigint, __start bigint")
-    within = F.col("__id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return placed.join(F.broadcast(table), "__range").withColumn(name, F.col("__start") + within + 1).drop("__id", "__range", "__start")
+    table = rows.sparkSession.createDataFrame(starts, "__range bigint, __start bigint")
+    within = F.sum("__step").over(Window.partitionBy("__range").orderBy("__id").rowsBetween(Window.unboundedPreceding, 0))
+    return placed.join(F.broadcast(table), "__range").withColumn(name, F.col("__start") + within).drop("__id", "__range", "__start", "__step")
 
 
 def tiles(rows: DataFrame, order: list[str | Column], k: int, name: str = "tile") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,18 +48,27 @@ def smoothed(rows: DataFrame, order: list[str], value: str, buckets: int) -> Dat
 
 def consecutive_pairs(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
     """Values of rows 1 and 2, 3 and 4, ... of each group beside one another; an odd last row is left out."""
-    w = Window.partitionBy(group).orderBy(*order)
-    t = rows.withColumn("k", F.row_number().over(w)).withColumn("second", F.lead(value).over(w))
-    return t.where("k % 2 = 1 and second is not null").select(group, ((F.col("k") + 1) / 2).cast("int").alias("pair"), F.col(value).alias("first"), "second")
+    from lectern.operators.ranks import numbered
+
+    t = numbered(rows.select(group, *order, F.col(value).alias("__v")), [F.coalesce(F.xxhash64(group), F.lit(0)), group, *order], "__no")
+    starts = t.groupBy(F.col(group).alias("__group")).agg(F.min("__no").alias("__first"))
+    # Groups are few or many, never large: one row each. Numbers are counted over all rows, so that a group of any size is numbered by many tasks.
+    at = t.join(starts, F.col(group).eqNullSafe(F.col("__group"))).select(group, (F.col("__no") - F.col("__first")).alias("k"), "__v")
+    odd = F.col("k") % 2 == 1
+    p = at.groupBy(group, F.floor(F.col("k") / 2).alias("pair")).agg(F.max(F.when(~odd, F.col("__v"))).alias("first"), F.max(F.when(odd, F.col("__v"))).alias("second"))
+    return p.where("second is not null").select(group, (F.col("pair") + 1).cast("int").alias("pair"), "first", "second")
 
 
 def bootstrap(rows: DataFrame, groups: int, share: float, seed: int) -> DataFrame:
-    """Rows drawn with replacement for each of ``groups`` groups; adds grp. A sampling operator."""
-    out = None
-    for g in range(groups):
-        part = rows.sample(True, share, seed + g).withColumn("grp", F.lit(g))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Rows drawn with replacement for each of ``groups`` groups; adds grp. A sampling operator: each row gets a Poisson number of copies in each group, in one reading."""
+    u = F.col("__u")
+    copies, term, upto = F.lit(0), math.exp(-share), 0.0
+    for k in range(1, 24):
+        upto += term
+        copies = F.when(u >= upto, k).otherwise(copies)
+        term *= share / k
+    drawn = rows.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("__u", F.rand(seed))
+    return drawn.withColumn("__k", copies).where("__k > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__k")))).drop("__u", "__k")
 
 
 def suffixes(terms: DataFrame, term: str, n: Column, sizes: tuple[int, ...] = (2, 3, 4), most: int = 50) -> DataFrame:

@@ -66,6 +66,16 @@ def plan_shards(rows: DataFrame, key: str, n: int | None = None) -> ShardPlan:
     return ShardPlan(n, [placed.get(b, b % n) for b in range(BINS)], heavy)
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, block: int) -> DataFrame:
+    """Inner join in which the right side of a key with more than ``block`` rows is spread by the hash of its column ``by`` over shards of about ``block``,
+    each of which meets the whole left side of the key; no task gets a whole heavy key. Null keys meet nothing."""
+    heavy = right.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("__n")).where(F.col("__n") > block).select(on, F.ceil(F.col("__n") / block).cast("int").alias("__k"))
+    k = F.coalesce("__k", F.lit(1))
+    one = left.join(heavy, on, "left").withColumn("__shard", F.explode(F.sequence(F.lit(0), k - 1))).drop("__k")
+    two = right.join(heavy, on, "left").withColumn("__shard", F.pmod(F.xxhash64(by), k).cast("int")).drop("__k")
+    return one.join(two, [on, "__shard"]).drop("__shard")
+
+
 def _heavy_table(like: DataFrame, key: str, plan: ShardPlan) -> DataFrame:
     spark = like.sparkSession
     return spark.createDataFrame(list(plan.heavy.items()), f"`{key}` string, __tasks array<int>")

@@ -18,7 +18,7 @@ from lectern.operators import reports as A
 from lectern.operators import retrieval as I  # noqa: E741
 from lectern.operators import sequence as W
 from lectern.operators import similarity as G
-from lectern.plans.session import table
+from lectern.plans.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,12 +78,12 @@ def t_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(w).cast("bigint").alias("n_tokens"), F.size(X.without_stopwords(w)).cast("bigint").alias("n_content"), X.word_count("text").cast("bigint").alias("n_words"))
 
 
-_AY, _NU = X.AUTHOR_YEAR.replace("'", "''"), X.NUMBERED
+_AY, _NU = X.ANY_AUTHOR_YEAR.replace("'", "''"), X.NUMBERED
 
 
-@query(f"SELECT scidoc_id, CASE WHEN n > a THEN 'AFI' WHEN a > 0 THEN 'APA' END AS style FROM (SELECT scidoc_id, len(regexp_extract_all(text, '{_NU}')) AS n, len(regexp_extract_all(text, '{_AY}')) AS a FROM scidoc WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))")
+@query(f"SELECT scidoc_id, CASE WHEN n > a THEN 'AFI' WHEN a > 0 THEN 'APA' END AS style FROM (SELECT scidoc_id, len(regexp_extract_all(text, '{_NU}')) AS n, len(regexp_extract_all(text, '{_AY}')) AS a FROM scidoc)")
 def t_citation_style(spark: SparkSession, d: str) -> DataFrame:
-    """Of every text, null for null. The SQL has the texts of plain ASCII only, as DuckDB's word borders know no other letters."""
+    """Of every text, null for null."""
     return table(spark, d, "scidoc").select("scidoc_id", X.citation_style("text").alias("style"))
 
 
@@ -113,9 +113,9 @@ def t_in_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH h AS (SELECT DISTINCT header, regexp_extract_all(lower(header), '" + _T + "') AS w FROM scidoc WHERE header IS NOT NULL), s(k, name, words) AS (VALUES "
+    "WITH h AS (SELECT DISTINCT header, list_filter(regexp_split_to_array(lower(header), '[\\s\\d,./:;-]+'), lambda x: x <> '') AS w FROM scidoc WHERE header IS NOT NULL), s(k, name, words) AS (VALUES "
     + ", ".join(f"({i}, '{n}', string_split('{ws}', ' '))" for i, (n, ws) in enumerate(X.SECTIONS.items()))
-    + "), c AS (SELECT header, k, name, len(list_intersect(list_distinct(w), words)) AS n FROM h CROSS JOIN s) SELECT header, CASE WHEN max(n) > 0 THEN arg_min(name, -n * 100 + k) END AS section FROM c GROUP BY 1"
+    + "), c AS (SELECT header, k, name, list_sum(list_transform(w, lambda x: len(list_filter(words, lambda y: y = x)))) AS n, list_position(list_transform(w, lambda x: list_contains(words, x)), true) AS pos FROM h CROSS JOIN s) SELECT header, CASE WHEN max(n) > 0 THEN arg_min(name, (-n, pos, k)) FILTER (n > 0) ELSE '' END AS section FROM c GROUP BY 1"
 )
 def t_section_class(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "scidoc").where("header is not null").select("header").distinct().select("header", X.generic_section("header").alias("section"))
@@ -127,9 +127,9 @@ def t_curves(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- store ----
-@query(f"""SELECT collection_id, coalesce(import_id, '?') AS import_id, count(*) AS n_rows, count(DISTINCT {_KEY.format('"GUID"')}) AS n_guids FROM papers WHERE time_deleted IS NULL AND collection_id IN ('AAC', 'PMC') GROUP BY 1, 2""")
+@query(f"""SELECT collection_id, coalesce(import_id, '?') AS import_id, count(*) AS n_rows, count(DISTINCT {_KEY.format('"GUID"')}) AS n_guids FROM papers WHERE time_deleted IS NULL GROUP BY 1, 2""")
 def s_collection(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "papers").where("time_deleted is null and collection_id in ('AAC', 'PMC')")
+    p = table(spark, d, "papers").where("time_deleted is null")
     return p.groupBy("collection_id", F.coalesce("import_id", F.lit("?")).alias("import_id")).agg(F.count("*").alias("n_rows"), F.countDistinct(guid_key("GUID")).alias("n_guids"))
 
 
@@ -236,11 +236,11 @@ def j_link_changes(spark: SparkSession, d: str) -> DataFrame:
     return J.link_changes(p.where("time_created < timestamp_ntz'2018-01-01'"), p, ["a", "b"])
 
 
-@query(f"""WITH e AS {_PAIRS}, r AS (SELECT g FROM {_CURRENT} WHERE year = '2018'), l1 AS (SELECT DISTINCT g AS root, b AS guid FROM r JOIN e ON e.a = g), l2 AS (SELECT DISTINCT root, e.b AS guid FROM l1 JOIN e ON e.a = l1.guid)
+@query(f"""WITH e AS {_PAIRS}, r AS (SELECT g FROM {_CURRENT}), l1 AS (SELECT DISTINCT g AS root, b AS guid FROM r JOIN e ON e.a = g), l2 AS (SELECT DISTINCT root, e.b AS guid FROM l1 JOIN e ON e.a = l1.guid)
 SELECT root, guid, min(level) AS level FROM (SELECT g AS root, g AS guid, 0 AS level FROM r UNION ALL SELECT root, guid, 1 FROM l1 UNION ALL SELECT root, guid, 2 FROM l2) GROUP BY 1, 2""")
 def j_reference_tree(spark: SparkSession, d: str) -> DataFrame:
     links = table(spark, d, "links").where("trim(GUID_from) <> '' and trim(GUID_to) <> ''")
-    roots = J.current(table(spark, d, "papers")).where("year = '2018'").select(F.col("GUID").alias("guid"))
+    roots = J.current(table(spark, d, "papers")).select(F.col("GUID").alias("guid"))
     return J.reference_tree(links, roots, 2)
 
 
@@ -259,11 +259,18 @@ def j_citation_clusters(spark: SparkSession, d: str) -> DataFrame:
     return J.clusters(marks).select("doc", F.col("start").cast("bigint").alias("start"), "cluster", "multi")
 
 
+#: Edits between two lists of code points, row by row; DuckDB's own function counts bytes.
+_EDITS = """list_reduce(list_concat([range(0, len(q.c) + 1)], list_transform(b.c, lambda x: [x])), lambda row, x: list_transform(range(0, len(q.c) + 1), lambda j: j + list_min(list_transform(range(0, j + 1), lambda k:
+  CASE WHEN k = 0 THEN row[1] + 1 ELSE least(row[k + 1] + 1, row[k] + (q.c[k] <> x[1])::BIGINT) - k END))))"""
+_CODES = "list_transform(string_split(t, ''), lambda x: unicode(x)::BIGINT)"
+
+
 @query(f"""WITH r AS (SELECT rec_id, trim(regexp_replace(regexp_replace(lower(title), '{_SYM}', ' ', 'g'), '\\s+', ' ', 'g')) AS t, nullif(regexp_extract(year, '(1[89]\\d\\d|20\\d\\d)', 1), '') AS y FROM aan_records), p AS (SELECT g, norm_title AS t, nullif(regexp_extract(year, '(1[89]\\d\\d|20\\d\\d)', 1), '') AS y FROM {_CURRENT}),
-b AS (SELECT rec_id, t, y, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [t] END) AS k FROM (SELECT *, string_split(t, ' ') AS w FROM r WHERE t <> '')), q AS (SELECT g, t, y, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [t] END) AS k FROM (SELECT *, string_split(t, ' ') AS w FROM p WHERE t <> ''))
-SELECT DISTINCT rec_id AS ref_id, g AS guid, round(1 - levenshtein(b.t, q.t) / greatest(length(b.t), length(q.t)), 6) AS similarity FROM b JOIN q ON b.y = q.y AND b.k = q.k WHERE 1 - levenshtein(b.t, q.t) / greatest(length(b.t), length(q.t)) > 0.9 AND regexp_full_match(b.t, '[ -~]*') AND regexp_full_match(q.t, '[ -~]*')""")
+b AS (SELECT *, {_CODES} AS c, regexp_full_match(t, '[ -~]*') AS plain FROM r WHERE t <> ''), q AS (SELECT *, {_CODES} AS c, regexp_full_match(t, '[ -~]*') AS plain FROM p WHERE t <> ''),
+s AS (SELECT rec_id, g, 1 - CASE WHEN b.plain AND q.plain THEN levenshtein(b.t, q.t) ELSE {_EDITS}[len(q.c) + 1] END / greatest(len(b.c), len(q.c)) AS s FROM b JOIN q ON b.y = q.y AND len(b.c) >= 0.9 * len(q.c) AND len(q.c) >= 0.9 * len(b.c))
+SELECT DISTINCT rec_id AS ref_id, g AS guid, round(s, 6) AS similarity FROM s WHERE s > 0.9""")
 def j_similar_titles(spark: SparkSession, d: str) -> DataFrame:
-    """Of all titles. The SQL has those of plain ASCII only, as DuckDB counts bytes."""
+    """Of all titles; the SQL compares all pairs of a year."""
     title = F.trim(F.regexp_replace(X.remove_symbols(F.lower("title")), r"\s+", " "))
     refs = table(spark, d, "aan_records").select(F.col("rec_id").alias("ref_id"), title.alias("norm_title"), J.year_number("year").alias("year"))
     papers = J.current(table(spark, d, "papers")).select(F.col("GUID").alias("guid"), "norm_title", J.year_number("year").alias("year"))
@@ -280,7 +287,7 @@ def j_nearest_lower(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- index and retrieval ----
 _FIELDS = {"head": 2.0, "text": 1.0}
-_DOCS = "(SELECT doc_id AS guid, 'text' AS field, text AS t FROM documents UNION ALL SELECT doc_id, 'head', text[1:160] FROM documents)"
+_DOCS = "(SELECT doc_id AS guid, 'text' AS field, text AS t FROM documents UNION ALL SELECT doc_id, 'head', regexp_extract(text, '^[^.!?]*') FROM documents)"
 _POST = f"(SELECT guid, field, term, count(*) AS tf FROM (SELECT guid, field, unnest(regexp_extract_all(lower(t), '{_T}')) AS term FROM {_DOCS}) WHERE term NOT IN {_STOP} GROUP BY 1, 2, 3)"
 _QT = f"(SELECT query_id, term, count(*) AS c FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{_T}')) AS term FROM benchmark) WHERE term NOT IN {_STOP} AND NOT regexp_matches(term, '^\\d') GROUP BY 1, 2)"
 _HITS = f"""post AS MATERIALIZED {_POST}, len AS (SELECT guid, field, sum(tf) AS l FROM post GROUP BY 1, 2), tm AS (SELECT field, term, count(*) AS df FROM post GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents),
@@ -298,7 +305,7 @@ _MATCH = f"match AS (SELECT DISTINCT b.id AS query_id, d.id AS guid FROM {_shing
 
 
 def _index(spark: SparkSession, d: str) -> I.Index:
-    docs = table(spark, d, "documents").select("doc_id", "text", F.substring("text", 1, 160).alias("head"))
+    docs = table(spark, d, "documents").select("doc_id", "text", F.regexp_extract("text", "^[^.!?]*", 0).alias("head"))
     return I.build(docs, "doc_id", ["head", "text"])
 
 
@@ -317,9 +324,9 @@ def _shingles(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that share eight words in a row with a query count as its matches."""
-    b, x = _shingles(table(spark, d, "benchmark"), "item_id", "query_id"), _shingles(table(spark, d, "documents"), "doc_id", "guid")
-    return x.join(b, "s").select("query_id", "guid").distinct()
+    """Documents that share eight words in a row with a query count as its matches. The queries' runs of words are sent to the documents if they are few, counted first."""
+    b, x = written(_shingles(table(spark, d, "benchmark"), "item_id", "query_id"), "runs"), _shingles(table(spark, d, "documents"), "doc_id", "guid")
+    return x.join(F.broadcast(b) if b.count() <= I.BLOCK_TERMS else b, "s").select("query_id", "guid").distinct()
 
 
 def _rounded(scores: DataFrame) -> DataFrame:
@@ -399,14 +406,14 @@ def m_method_overlap(spark: SparkSession, d: str) -> DataFrame:
     return M.method_overlap(out, "method").withColumn("overlap", F.round("overlap", 6))
 
 
-@query(f"""WITH p AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text[1:400]), '{_T}')) AS w FROM documents), g AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text[201:]), '{_T}')) AS w FROM documents),
+@query(f"""WITH p AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(regexp_extract(text, '^[^.!?]*')), '{_T}')) AS w FROM documents), g AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(regexp_replace(text, '^[^.!?]*', '')), '{_T}')) AS w FROM documents),
 n AS (SELECT coalesce(p.doc_id, g.doc_id) AS doc_id, count(*) FILTER (p.w IS NOT NULL AND g.w IS NOT NULL) AS tp, count(p.w) AS np, count(g.w) AS ng FROM p FULL JOIN g ON p.doc_id = g.doc_id AND p.w = g.w GROUP BY 1)
 SELECT doc_id, round(CASE WHEN np > 0 THEN tp / np ELSE 0 END, 6) AS precision, round(CASE WHEN ng > 0 THEN tp / ng ELSE 0 END, 6) AS recall, round(CASE WHEN tp > 0 THEN 2 * tp / (np + ng) ELSE 0 END, 6) AS f1 FROM n""")
 def m_set_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Words of a document's head as predictions of the words of its rest."""
+    """Words of a document up to its first stop as predictions of the words of its rest."""
     docs = table(spark, d, "documents")
-    p = docs.select("doc_id", F.explode(X.tokens(F.substring("text", 1, 400))).alias("w"))
-    g = docs.select("doc_id", F.explode(X.tokens(F.expr("substring(text, 201)"))).alias("w"))
+    p = docs.select("doc_id", F.explode(X.tokens(F.regexp_extract("text", "^[^.!?]*", 0))).alias("w"))
+    g = docs.select("doc_id", F.explode(X.tokens(F.regexp_replace("text", "^[^.!?]*", ""))).alias("w"))
     return M.set_scores(p, g, "doc_id", "w").select("doc_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -422,7 +429,7 @@ def b_zoned(spark: SparkSession, d: str) -> DataFrame:
     return D.zoned(table(spark, d, "scidoc").where("text is not null"), "guid", F.col("fmt")).select("guid", "zone", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-_CTX = f"""c AS (SELECT {_KEY.format('guid')} AS g, doc_id, text FROM documents WHERE source = 'citing_context' AND text IS NOT NULL), e AS {_PAIRS}, hot AS (SELECT b FROM e GROUP BY 1 HAVING count(*) <= 400), ilc AS (SELECT e.b AS guid, string_agg(text, ' ' ORDER BY doc_id, text) AS t, count(*) AS n FROM e JOIN hot USING (b) JOIN c ON c.g = e.a GROUP BY 1)"""
+_CTX = f"""c AS (SELECT {_KEY.format('guid')} AS g, doc_id, text FROM documents WHERE source = 'citing_context' AND text IS NOT NULL), e AS {_PAIRS}, ilc AS (SELECT e.b AS guid, string_agg(text, ' ' ORDER BY doc_id, text) AS t, count(*) AS n FROM e JOIN c ON c.g = e.a GROUP BY 1)"""
 
 
 @query(f"WITH {_CTX} SELECT guid, md5(t) AS digest, n AS n_contexts FROM ilc")
@@ -445,11 +452,13 @@ def b_mashup(spark: SparkSession, d: str) -> DataFrame:
     return D.digests(blocks, trim=True).select("guid", "digest")
 
 
-@query(f"""SELECT doc_id, m AS method, array_to_string(list_concat(w[greatest(p - l, 1):p - 1], w[p + 1:p + r]), ' ') AS words FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_T}') AS w FROM documents) CROSS JOIN (VALUES ('window5_5', 5, 5), ('window20_20', 20, 20)) v(m, l, r), LATERAL (SELECT list_position(w, 'al') AS p) WHERE p > 0""")
+@query(f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{_T}') AS w FROM documents), p AS (SELECT doc_id, w, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'al')) AS p FROM t)
+SELECT doc_id, p, m AS method, array_to_string(list_concat(w[greatest(p - l, 1):p - 1], w[p + 1:p + r]), ' ') AS words FROM p CROSS JOIN (VALUES ('window5_5', 5, 5), ('window20_20', 20, 20)) v(m, l, r)""")
 def q_word_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of two sizes around the first ``al`` (of et al.) of each document."""
-    t = table(spark, d, "documents").select("doc_id", X.tokens("text").alias("w")).withColumn("p", F.array_position("w", "al").cast("int")).where("p > 0")
-    return t.select("doc_id", F.explode(D.word_windows(F.col("w"), F.col("p"), [(5, 5), (20, 20)])).alias("x")).select("doc_id", "x.method", F.array_join("x.words", " ").alias("words"))
+    """Windows of two sizes around every ``al`` (of et al.) of each document."""
+    t = table(spark, d, "documents").select("doc_id", X.tokens("text").alias("w"))
+    t = t.select("doc_id", "w", F.explode(F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: F.get("w", i - 1) == "al")).alias("p"))
+    return t.select("doc_id", F.col("p").cast("bigint").alias("p"), F.explode(D.word_windows(F.col("w"), F.col("p"), [(5, 5), (20, 20)])).alias("x")).select("doc_id", "p", "x.method", F.array_join("x.words", " ").alias("words"))
 
 
 _SENT = "(SELECT guid AS doc, min(parent) AS para, ord, min(text) AS text FROM scidoc WHERE parent IS NOT NULL GROUP BY guid, ord)"
@@ -463,10 +472,13 @@ def q_sentence_window(spark: SparkSession, d: str) -> DataFrame:
     return w.select("doc", "cit_ord", "ord", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("SELECT doc_id, CAST(floor((strpos(text, 'et al') - 1) / length(text) * 10) + 1 AS INTEGER) AS chunk FROM documents WHERE contains(text, 'et al')")
+@query("WITH t AS (SELECT doc_id, length(text) AS n, string_split(text, 'et al') AS parts FROM documents WHERE contains(text, 'et al')), k AS (SELECT doc_id, n, parts, unnest(range(1, len(parts))) AS k FROM t) SELECT doc_id, k, CAST(floor((list_sum(list_transform(parts[1:k], lambda x: length(x))) + 5 * (k - 1)) / n * 10) + 1 AS INTEGER) AS chunk FROM k")
 def q_position(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").where(F.contains("text", F.lit("et al")))
-    return t.select("doc_id", D.position_chunk(F.instr("text", "et al") - 1, F.length("text"), 10).alias("chunk"))
+    """The tenth of its document that each ``et al`` stands in."""
+    t = table(spark, d, "documents").where(F.contains("text", F.lit("et al"))).select("doc_id", F.length("text").alias("n"), F.split("text", "et al", -1).alias("parts"))
+    t = t.select("doc_id", "n", "parts", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("k"))
+    at = F.aggregate(F.slice("parts", F.lit(1), F.col("k")), F.lit(0), lambda s, x: s + F.length(x)) + 5 * (F.col("k") - 1)
+    return t.select("doc_id", F.col("k").cast("bigint").alias("k"), D.position_chunk(at, F.col("n"), 10).alias("chunk"))
 
 
 # ---- keywords ----
@@ -475,42 +487,76 @@ def k_term_scores(spark: SparkSession, d: str) -> DataFrame:
     return K.term_scores(_hits(spark, d)).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total"))
 
 
-_NORM = f"""ts AS (SELECT query_id, guid, term, max(qw * fw) AS s FROM hits GROUP BY 1, 2, 3), raw AS (SELECT *, sum(s) OVER (PARTITION BY query_id, term) AS raw FROM ts), own AS (SELECT raw.* FROM raw SEMI JOIN match USING (query_id, guid)),
+_NORM = f"""ts AS (SELECT query_id, guid, term, max(qw * fw) AS s FROM hits SEMI JOIN (SELECT query_id, guid FROM ranked UNION SELECT query_id, guid FROM match) USING (query_id, guid) GROUP BY 1, 2, 3), sums AS (SELECT query_id, term, sum(s) AS raw FROM ts SEMI JOIN ranked USING (query_id, guid) GROUP BY 1, 2),
+own AS (SELECT ts.*, coalesce(raw, 0) AS raw FROM ts SEMI JOIN match USING (query_id, guid) LEFT JOIN sums USING (query_id, term)),
 a AS (SELECT *, s / sum(s) OVER (PARTITION BY query_id, guid) / power(1 + raw, 2) AS x FROM own), nrm AS (SELECT query_id, guid, term, x / sum(x) OVER (PARTITION BY query_id, guid) AS s FROM a), comb AS (SELECT query_id, term, sum(s) AS score FROM nrm GROUP BY 1, 2)"""
+_KW = f"{_HITS}, {_SCORES}, {_TOP}, {_MATCH}, {_NORM}"
+
+
+def _explained(spark: SparkSession, d: str) -> tuple[I.Index, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The index, the query terms, the 200 retrieved of each query, its matches, and the leaves of both."""
+    index, q, m = _index(spark, d), written(_query_terms(spark, d), "terms"), written(_matches(spark, d), "matches")
+    top = written(I.top(_rounded(I.score(I.formula_hits(index, q), _FIELDS))).select("query_id", "guid", "rank"), "top")
+    return index, q, top, m, I.formula_hits(index, q, pairs=top.select("query_id", "guid").union(m))
+
 
+def _combined(spark: SparkSession, d: str) -> tuple[DataFrame, I.Index, DataFrame, DataFrame]:
+    index, q, top, m, hits = _explained(spark, d)
+    return written(K.combine(K.normalised(K.term_scores(hits), m, top)), "combined"), index, q, m
 
-@query(f"WITH {_HITS}, {_MATCH}, {_NORM} SELECT query_id, term, round(score, 6) AS score FROM comb")
+
+@query(f"WITH {_KW} SELECT query_id, term, round(score, 6) AS score FROM comb")
 def k_normalised(spark: SparkSession, d: str) -> DataFrame:
-    return K.combine(K.normalised(K.term_scores(_hits(spark, d)), _matches(spark, d))).withColumn("score", F.round("score", 6))
+    return _combined(spark, d)[0].withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_HITS}, {_MATCH}, {_NORM} SELECT query_id, term, rank FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, term) AS rank FROM comb) WHERE rank <= 8")
+@query(f"WITH {_KW} SELECT query_id, term, rank FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, term) AS rank FROM comb) WHERE rank <= 8")
 def k_best_terms(spark: SparkSession, d: str) -> DataFrame:
-    s = K.combine(K.normalised(K.term_scores(_hits(spark, d)), _matches(spark, d)))
-    return K.best(_rounded(s), 8).select("query_id", "term", "rank")
+    return K.best(_rounded(_combined(spark, d)[0]), 8).select("query_id", "term", "rank")
 
 
-@query(None)
+@query(f"""WITH {_KW}, rt AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, term) AS n FROM comb), part AS (SELECT query_id, guid, n, sum(qw * fw * {_W}) AS s FROM hits JOIN rt USING (query_id, term) GROUP BY 1, 2, 3),
+grid AS (SELECT query_id, guid, unnest(range(1, last + 1)) AS n FROM (SELECT DISTINCT query_id, guid FROM part) JOIN (SELECT query_id, max(n) AS last FROM rt GROUP BY 1) USING (query_id)),
+run AS (SELECT query_id, guid, n, round(sum(coalesce(s, 0)) OVER (PARTITION BY query_id, guid ORDER BY n), 7) AS r FROM grid LEFT JOIN part USING (query_id, guid, n)),
+rk AS (SELECT query_id, guid, n, row_number() OVER (PARTITION BY query_id, n ORDER BY r DESC, guid) AS rank FROM run WHERE r > 0), av AS (SELECT query_id, n, avg(rank) AS rank FROM rk SEMI JOIN match USING (query_id, guid) GROUP BY 1, 2)
+SELECT query_id, arg_min(n, (round(rank, 9), n))::INT AS n_terms, round(min(rank), 6) AS rank FROM av GROUP BY 1""")
 def k_minimal_set(spark: SparkSession, d: str) -> DataFrame:
-    hits, m = _hits(spark, d), _matches(spark, d)
-    s = _rounded(K.combine(K.normalised(K.term_scores(hits), m)))
-    few = hits.join(m.select("query_id").distinct(), "query_id", "left_semi")
-    return K.minimal_set(s, few, m, _FIELDS).withColumn("rank", F.round("rank", 6))
+    """The shortest list of a query's best terms, of all their number, that ranks its matches best among all documents."""
+    s, index, q, m = _combined(spark, d)
+    few = q.join(m.select("query_id").distinct(), "query_id", "left_semi")
+    return K.minimal_set(_rounded(s), I.formula_hits(index, few), m, _FIELDS).withColumn("rank", F.round("rank", 6))
 
 
-@query(None)
+_Q = "OVER (PARTITION BY query_id)"
+_UP, _DOWN = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term)", "row_number() OVER (PARTITION BY query_id ORDER BY score, term DESC)"
+_SIG = "1 / (1 + exp(-({})))"
+_RAW_TRANSFORMS = {
+    "multiply": "score * 2", "add": "score + 1", "constant": "1.0::DOUBLE", "top": f"CASE WHEN {_UP} <= 3 THEN score * 1.1 ELSE score END", "bottom": f"CASE WHEN {_DOWN} <= 3 THEN score * 10 ELSE score END",
+    "extremes": f"CASE WHEN {_UP} <= 3 THEN score * 2 WHEN {_DOWN} <= 3 THEN score * 0.5 ELSE score END", "invert": "CASE WHEN score = 0 THEN NULL ELSE 1 / score END", "raise_low": f"CASE WHEN score < mx / count(*) {_Q} THEN score * 10 ELSE score END",
+    "by_max": "score / mx", "sigmoid": _SIG.format("score / mx"), "power": "score * score", "over_sigmoid": f"score / ({_SIG.format('score')})", "quadratic": "score * (1 + power(score / mx - mx / 2, 2))", "tanh": "score * tanh(score)",
+}
+
+
+_WEIGHTS = "c AS (SELECT query_id, term, round(score, 9) AS score, max(round(score, 9)) OVER (PARTITION BY query_id) AS mx FROM comb), tw AS (SELECT query_id, term, " + ", ".join(f'{x} AS "{n}"' for n, x in _RAW_TRANSFORMS.items()) + " FROM c)"
+
+
+@query(f"""WITH {_KW}, {_WEIGHTS}, few AS MATERIALIZED (SELECT query_id, guid, term, sum(qw * fw * {_W}) AS s FROM hits SEMI JOIN match USING (query_id) GROUP BY 1, 2, 3), lw AS (UNPIVOT tw ON {", ".join(f'"{n}"' for n in _RAW_TRANSFORMS)} INTO NAME transform VALUE weight),
+sc AS (SELECT transform, query_id, guid, sum(s * weight) AS s FROM few JOIN lw USING (query_id, term) GROUP BY 1, 2, 3 HAVING sum(s * weight) > 0), rk AS (SELECT transform, query_id, guid, row_number() OVER (PARTITION BY transform, query_id ORDER BY round(ln(s), 9) DESC, guid) AS r FROM sc QUALIFY r <= 200),
+there AS (SELECT DISTINCT transform, query_id FROM rk), b AS (SELECT transform, query_id, guid, r, count(*) OVER (PARTITION BY transform, query_id) AS m FROM there JOIN match USING (query_id) LEFT JOIN rk USING (transform, query_id, guid)),
+q AS (SELECT transform, query_id, avg(CASE WHEN r IS NULL THEN 0.0 WHEN m > 1 AND r <= m THEN 1.0 ELSE ln(2) / ln(1 + r) END) AS ndcg FROM b GROUP BY 1, 2) SELECT transform, count(*) AS n_queries, round(avg(ndcg), 6) AS ndcg FROM q GROUP BY 1""")
 def k_compare_transforms(spark: SparkSession, d: str) -> DataFrame:
-    hits, m = _hits(spark, d), _matches(spark, d)
-    w = K.combine(K.normalised(K.term_scores(hits), m)).withColumnRenamed("score", "weight")
-    return K.compare_transforms(hits, w, m, _FIELDS, ["by_max", "sigmoid", "tanh", "invert", "top"])
+    """Every transform but the two random ones."""
+    s, index, q, m = _combined(spark, d)
+    hits = I.formula_hits(index, q.join(m.select("query_id").distinct(), "query_id", "left_semi"))
+    return K.compare_transforms(hits, _rounded(s).withColumnRenamed("score", "weight"), m, _FIELDS, list(_RAW_TRANSFORMS)).withColumn("ndcg", F.round("ndcg", 6))
 
 
-@query(f"""WITH {_HITS}, {_MATCH}, {_NORM} SELECT query_id, term, round(1 / (1 + exp(-(score / mx))), 6) AS sigmoid, round(CASE WHEN score = 0 THEN NULL ELSE 1 / score END, 3) AS invert, round(score * tanh(score) / max(score * tanh(score)) OVER (PARTITION BY query_id), 6) AS tanh FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS mx FROM comb)""")
+@query(f"WITH {_KW}, c AS (SELECT query_id, term, round(score, 9) AS score, max(round(score, 9)) {_Q} AS mx FROM comb), t AS (SELECT query_id, term, " + ", ".join(f'{x} AS "{n}"' for n, x in _RAW_TRANSFORMS.items()) + " FROM c) SELECT query_id, term, "
+       + ", ".join(f'round("{n}"{f" / max({chr(34)}{n}{chr(34)}) {_Q}" if n in K.SCALED else ""}, {3 if n == "invert" else 6}) AS "{n}"' for n in _RAW_TRANSFORMS) + " FROM t")
 def k_transforms(spark: SparkSession, d: str) -> DataFrame:
-    hits, m = _hits(spark, d), _matches(spark, d)
-    w = K.combine(K.normalised(K.term_scores(hits), m)).withColumnRenamed("score", "weight")
-    parts = [K.transform(w, n).select("query_id", "term", F.round("weight", 3 if n == "invert" else 6).alias(n)) for n in ("sigmoid", "invert", "tanh")]
-    return parts[0].join(parts[1], ["query_id", "term"]).join(parts[2], ["query_id", "term"])
+    """Every transform but the two random ones, side by side."""
+    w = _rounded(_combined(spark, d)[0]).withColumnRenamed("score", "weight")
+    return K.transform_all(w, list(_RAW_TRANSFORMS)).select("query_id", "term", *[F.round(n, 3 if n == "invert" else 6).alias(n) for n in _RAW_TRANSFORMS])
 
 
 @query(f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{_T}') AS w FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM t WHERE len(w) >= 2))
@@ -591,10 +637,11 @@ def g_dice(spark: SparkSession, d: str) -> DataFrame:
     return _similar(spark, d).withColumn("dice", F.round("dice", 6))
 
 
-@query(None)
+@query(f"""WITH {_CC}, d AS (SELECT a, b, dice FROM s UNION ALL SELECT b, a, dice FROM s), seeds AS (SELECT DISTINCT l_suppkey AS set_id, l_partkey AS item FROM lineitem), sc AS (SELECT set_id, b AS item, sum(dice) AS score FROM seeds JOIN d ON d.a = seeds.item GROUP BY 1, 2)
+SELECT set_id, item, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY round(score, 9) DESC, item) AS k FROM sc ANTI JOIN seeds USING (set_id, item)) WHERE k <= 5""")
 def g_expand(spark: SparkSession, d: str) -> DataFrame:
     seeds = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("item")).distinct()
-    return G.expand(_similar(spark, d), seeds, 5).withColumn("score", F.round("score", 6))
+    return G.expand(_similar(spark, d), seeds, 5).select("set_id", "item", "score").withColumn("score", F.round("score", 6))
 
 
 # ---- sequences and features ----
@@ -622,11 +669,11 @@ def w_near(spark: SparkSession, d: str) -> DataFrame:
     return W.near(s, F.contains("text", F.lit("("))).select("doc", "ord", "near")
 
 
-@query(f"""WITH t AS (SELECT item_id AS ctx, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '{_T}') AS w FROM benchmark)), p AS (SELECT ctx, w[i] AS a, w[i + 1] AS b FROM t WHERE i < len(w)), n AS (SELECT ctx, a, b, count(*) AS n FROM p GROUP BY 1, 2, 3),
+@query(f"""WITH t AS (SELECT doc_id AS ctx, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_T}') AS w FROM documents)), p AS (SELECT ctx, w[i] AS a, w[i + 1] AS b FROM t WHERE i < len(w)), n AS (SELECT ctx, a, b, count(*) AS n FROM p GROUP BY 1, 2, 3),
 s AS (SELECT *, sum(n) OVER (PARTITION BY ctx, a) AS na, sum(n) OVER (PARTITION BY ctx, b) AS nb, sum(n) OVER (PARTITION BY ctx) AS al FROM n), c AS (SELECT ctx, a, b, n, CASE WHEN (na::DOUBLE * (al - na) * nb * (al - nb)) > 0 THEN al * power(n::DOUBLE * (al - na - nb + n) - (na - n)::DOUBLE * (nb - n), 2) / (na::DOUBLE * (al - na) * nb * (al - nb)) ELSE 0 END AS chi2 FROM s)
 SELECT ctx, a, b, n, round(chi2, 6) AS chi2 FROM (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY round(chi2, 9) DESC, a, b) AS k FROM c) WHERE k <= 20""")
 def w_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "benchmark").select(F.col("item_id").alias("ctx"), F.posexplode(X.tokens("text")).alias("pos", "word"))
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("ctx"), F.posexplode(X.tokens("text")).alias("pos", "word"))
     return W.best_bigrams(t, "ctx", "pos", "word").withColumn("chi2", F.round("chi2", 6))
 
 
@@ -752,12 +799,17 @@ def a_zone_rollup(spark: SparkSession, d: str) -> DataFrame:
     return s.rollup("zone", "elem_type").agg(F.count("*").alias("n"), F.sum("k").alias("n_tokens"))
 
 
-@query(None)
+_RANK = ", ".join(f"""g{i} AS (SELECT k.doc_id, k.b AS term, 0.15 + 0.85 * sum(g.s / o.n) AS s FROM e k JOIN o ON o.doc_id = k.doc_id AND o.a = k.a JOIN g{i - 1} g ON g.doc_id = k.doc_id AND g.term = k.a GROUP BY 1, 2)""" for i in range(1, 6))
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{_T}'), lambda x: x NOT IN {_STOP}) AS w FROM documents), p AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM t)), e AS (SELECT DISTINCT doc_id, a, b FROM (SELECT * FROM p UNION ALL SELECT doc_id, b, a FROM p) WHERE a <> b),
+o AS (SELECT doc_id, a, count(*) AS n FROM e GROUP BY 1, 2), g0 AS (SELECT doc_id, a AS term, 1.0 AS s FROM o), {_RANK}, all_words AS (SELECT doc_id, regexp_extract_all(lower(text), '{_T}') AS w FROM documents), f AS (SELECT DISTINCT doc_id, unnest([w[i], w[i + 1]]) AS term FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM all_words) WHERE w[i] NOT IN {_STOP} AND w[i + 1] NOT IN {_STOP})
+SELECT doc_id, term, round(s, 6) AS score FROM g5 SEMI JOIN f USING (doc_id, term)""")
 def k_keyphrases(spark: SparkSession, d: str) -> DataFrame:
-    """Words that rank high in a document's graph and stand in its frequent phrases."""
+    """Words that rank high in a document's graph and stand in its phrases."""
     from lectern.operators.terms import text_rank
 
-    docs = table(spark, d, "benchmark")
-    r = text_rank(docs, "item_id", "text", 5).select("item_id", F.col("term"), F.round("score", 6).alias("score"))
-    phrase = K.ngrams(docs, "item_id", X.tokens("text"), 2, 1, X.STOPWORDS).select("item_id", F.explode(F.split("ngram", " ")).alias("term")).distinct()
-    return r.join(phrase, ["item_id", "term"], "left_semi")
+    docs = table(spark, d, "documents")
+    r = text_rank(docs, "doc_id", "text", 5).select("doc_id", F.col("term"), F.round("score", 6).alias("score"))
+    phrase = K.ngrams(docs, "doc_id", X.tokens("text"), 2, 1, X.STOPWORDS).select("doc_id", F.explode(F.split("ngram", " ")).alias("term")).distinct()
+    return r.join(phrase, ["doc_id", "term"], "left_semi")

@@ -31,6 +31,16 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, name: str = "stage") -> DataFrame:
+    """``written``, as a table bucketed by ``key``, so that joins and groups by the key need no exchange. ``df`` comes repartitioned by the key into ``tasks`` parts, else the buckets have many files."""
+    spark = df.sparkSession
+    own, n = f"{name}_{uuid.uuid4().hex}", tasks(spark)
+    df.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{own}").saveAsTable(own)
+    out = spark.table(own)
+    out.written_at = f"{shared_dir(spark)}/{own}"
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing reads any more."""
     for df in tables:

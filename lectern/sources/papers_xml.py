@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What the beginning of a file shows of its dialect.
-DIALECTS = [("sapienta", r"<ebiroot|<SAPIENTA|<annotationART"), ("azscixml", r"<PAPER\b[\s\S]{0,4000}?<(?:S|A-S)\b[^>]*\b(?:AZ|IA)="), ("scixml", r"<PAPER\b"), ("paperxml", r"<Article\b|<paper>\s*<title"), ("jats", r"<article\b|JATS|nlm\.nih\.gov")]
+DIALECTS = [("sapienta", r"<ebiroot|<SAPIENTA|<annotationART"), ("azscixml", r"<PAPER\b[\s\S]*?<(?:S|A-S)\b[^>]*\b(?:AZ|IA)="), ("scixml", r"<PAPER\b"), ("paperxml", r"<Article\b|<paper>\s*<title"), ("jats", r"<article\b|JATS|nlm\.nih\.gov")]
 #: Publication dates by preference.
 DATE_TYPES = ["pmc-release", "epub", "ppub", "pub", ""]
 
@@ -27,8 +27,7 @@ citations array<struct<cit_id:string,ref_id:string,elem_id:string>>, error strin
 
 
 def dialect(text: str) -> str | None:
-    head = text[:20_000]
-    return next((name for name, rx in DIALECTS if re.search(rx, head)), None)
+    return next((name for name, rx in DIALECTS if re.search(rx, text)), None)
 
 
 def _text(e: ET.Element | None) -> str:
@@ -120,7 +119,7 @@ class _Reader:
 
 def parse(text: str | None, name: str = "") -> dict:
     """One document as a row of SCHEMA; a file that can't be read has only its name's guid and an error."""
-    guid = str(uuid.uuid5(uuid.NAMESPACE_DNS, name or (text or "")[:500]))
+    guid = str(uuid.uuid5(uuid.NAMESPACE_DNS, name or text or ""))
     empty = {"guid": guid, "dialect": None, "title": None, "year": None, "doi": None, "pmid": None, "authors": [], "elements": [], "refs": [], "citations": [], "error": None}
     if not text or not text.strip():
         return empty | {"error": "empty"}

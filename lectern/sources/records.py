@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.ranks import numbered, running
+
 
 def bibliography(lines: DataFrame, value: str = "value") -> DataFrame:
     """Records of the form ``id = {..} author = {..;..} title = {..} venue = {..} year = {..}`` in whole texts: one row each; missing fields are null."""
@@ -26,8 +28,7 @@ def categories(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def annotations(lines: DataFrame, order: str, value: str = "value") -> DataFrame:
     """(id, annotator, keyword) of blocks ``#ID:``, ``#KEYWORDS:``; a block's second keyword line is annotator 2's. ``order`` numbers the lines."""
-    w = Window.orderBy(order)
-    b = lines.withColumn("block", F.sum(F.col(value).startswith("#ID:").cast("int")).over(w))
+    b = running(lines, [order], F.col(value).startswith("#ID:"), "block")
     ids = b.where(F.col(value).startswith("#ID:")).select("block", F.trim(F.expr(f"substring({value}, 5)")).alias("id"))
     kw = b.where(F.col(value).startswith("#KEYWORDS:")).withColumn("annotator", F.row_number().over(Window.partitionBy("block").orderBy(order)))
     kw = kw.select("block", "annotator", F.explode(F.split(F.trim(F.expr(f"substring({value}, 11)")), r"\s*[,;]\s*")).alias("keyword")).where("keyword <> ''")
@@ -37,7 +38,7 @@ def annotations(lines: DataFrame, order: str, value: str = "value") -> DataFrame
 def annotation_text(queries: DataFrame) -> DataFrame:
     """(value) blocks to be typed into, one for each query_id: its number, words and an empty keyword line."""
     one = queries.groupBy("query_id").agg(F.min("query_text").alias("t"))
-    n = one.withColumn("n", F.row_number().over(Window.orderBy("query_id")))
+    n = numbered(one, ["query_id"], "n")
     return n.select(F.concat_ws("\n", F.concat(F.lit("#ID: "), "query_id"), F.concat(F.lit("#NUM "), F.col("n").cast("string")), F.concat(F.lit("#WORDS "), "t"), F.lit("#KEYWORDS:")).alias("value"))
 
 
@@ -57,8 +58,8 @@ def contexts_around(lines: DataFrame, before: int = 4, after: int = 3) -> DataFr
 
 def split_collection(lines: DataFrame, order: str, value: str = "value", end: str = "</doc>") -> DataFrame:
     """(doc_no, text): a file of many documents cut at its closing lines."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    n = lines.withColumn("doc_no", F.coalesce(F.sum((F.trim(value) == end).cast("int")).over(w), F.lit(0)))
+    ends = (F.trim(value) == end).cast("int")
+    n = running(lines, [order], ends, "__upto").withColumn("doc_no", F.col("__upto") - F.coalesce(ends, F.lit(0)))
     return n.groupBy("doc_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]), "\n").alias("text"))
 
 
