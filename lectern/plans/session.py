@@ -42,10 +42,13 @@ def bucketed(df: DataFrame, key: str, name: str = "stage") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``written`` that nothing reads any more."""
+    """Delete tables of ``written`` that nothing reads any more, and let the driver forget the shuffles and broadcasts that made them."""
     for df in tables:
         path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        # Spark's cleaner removes what the collector finds unreachable; a loop leaves much of it behind long before the heap is full.
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def tasks(spark: SparkSession) -> int:
