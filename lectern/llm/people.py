@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.shared import full_frames
+from lectern.operators.skew import spread_join
 
 #: Forms of given names, the full name first.
 NICKNAMES = """
@@ -335,15 +336,6 @@ def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["pid", "into"])
 
 
-def _meet(left: DataFrame, right: DataFrame, on: str, block: int) -> DataFrame:
-    """Equi join in which the right side of a key with more than ``block`` rows is spread over shards, each of which meets the whole left side."""
-    heavy = right.groupBy(on).agg(F.count("*").alias("n")).where(F.col("n") > block).select(on, F.ceil(F.col("n") / block).cast("int").alias("k"))
-    k = F.coalesce("k", F.lit(1))
-    one = left.join(heavy, on, "left").withColumn("shard", F.explode(F.sequence(F.lit(0), k - 1))).drop("k")
-    two = right.join(heavy, on, "left").withColumn("shard", F.pmod(F.xxhash64("b"), k).cast("int")).drop("k")
-    return one.join(two, [on, "shard"])
-
-
 def weak_edges(profiles: DataFrame, names: DataFrame, block: int = BLOCK, stand: bool = True) -> DataFrame:
     """(a, b): profiles (pid, s, placed) that agree by name alone and have no other such partner. ``names``: pid, key.
 
@@ -359,7 +351,7 @@ def weak_edges(profiles: DataFrame, names: DataFrame, block: int = BLOCK, stand:
     known = names.join(p, "pid")
     asks = known.where("not placed and not crowd").select(F.col("pid").alias("a"), "key")
     right = known.where("stands").select(F.col("pid").alias("b"), "key")
-    pairs = _meet(asks, right, "key", block).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = spread_join(asks, right, "key", "b", block).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     scored = _with_profiles(pairs.select("a", "b", F.lit(False).alias("place"), F.lit(False).alias("paper")), profiles).mapInPandas(_scores, _EDGE).where("score > 0")
     ends = scored.select(F.explode(F.array("a", "b")).alias("p"), "a", "b")
     sole = ends.groupBy("p").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.count("*").alias("n")).where("n = 1")
@@ -418,7 +410,7 @@ def resolve(authors: DataFrame, block: int = BLOCK) -> DataFrame:
     keys = own.select("pid", F.explode("keys").alias("key")).distinct()
     names = written(keys.where("key like 'c|%'"), "names")
     meets = keys.where("key not like 'c|%'")
-    found = _meet(meets.select(F.col("pid").alias("a"), "key"), meets.select(F.col("pid").alias("b"), "key"), "key", block).where("a < b")
+    found = spread_join(meets.select(F.col("pid").alias("a"), "key"), meets.select(F.col("pid").alias("b"), "key"), "key", "b", block).where("a < b")
     pairs = written(found.groupBy("a", "b").agg(F.max(F.col("key").like("a|%")).alias("place"), F.max(F.col("key").like("b|%")).alias("paper")).withColumn("score", F.lit(None).cast("double")), "pairs")
     discard(first, records)
     while True:
@@ -454,4 +446,4 @@ def same_pairs(resolved: DataFrame, block: int = BLOCK) -> DataFrame:
     """(guid_1, guid_2) with guid_1 < guid_2 for all pairs within an entity; a large entity is spread over shards."""
     one = resolved.select("entity", F.col("guid").alias("a"))
     two = resolved.select("entity", F.col("guid").alias("b"))
-    return _meet(one, two, "entity", block).where("a < b").select(F.col("a").alias("guid_1"), F.col("b").alias("guid_2"))
+    return spread_join(one, two, "entity", "b", block).where("a < b").select(F.col("a").alias("guid_1"), F.col("b").alias("guid_2"))
