@@ -103,3 +103,34 @@ def greedy_weights(hits: DataFrame, matches: DataFrame, fields: list[str], moves
     if smooth:
         weights = {f: min(1.0, w) / 3 if w < 1 else w for f, w in weights.items()}
     return weights, best
+
+
+def annotate(model, rows: DataFrame, label: str, out: str = "predicted") -> DataFrame:  # noqa: ANN001
+    """Rows with the label that a trained pipeline gives them; for sentences (zones) and for citations (functions) alike."""
+    from pyspark.ml.feature import IndexToString
+
+    names = next(s for s in model.stages if hasattr(s, "labels")).labels
+    got = model.transform(rows.withColumn(label, F.lit(names[0])) if label not in rows.columns else rows)
+    return IndexToString(inputCol="prediction", outputCol=out, labels=names).transform(got).select(*rows.columns, out)
+
+
+def cross_validated(rows: DataFrame, order: list[str], words: str, label: str, k: int = 3, classes: str = "logistic") -> DataFrame:
+    """(fold, n, accuracy): a classifier trained on the other contiguous folds and measured on each."""
+    t = folds(rows.where(F.col(label).isNotNull() & F.col(words).isNotNull()), order, k)
+    out = []
+    for f in range(k):
+        test = t.where(F.col("fold") == f)
+        out.append((f, test.count(), accuracy(train_classifier(t.where(F.col("fold") != f), words, label, classes=classes), test)))
+    return rows.sparkSession.createDataFrame(out, "fold int, n bigint, accuracy double")
+
+
+def citation_features(citations: DataFrame) -> DataFrame:
+    """(doc, cit_id, features): what a classifier of citation functions reads - words of the sentence, place in the document, self-citation, number cited together.
+
+    Needs doc, cit_id, text, ord, last_ord, is_self, multi.
+    """
+    from lectern.functions import text as X
+
+    place = F.concat(F.lit("place_"), F.least(F.floor(F.try_divide(F.col("ord") * 10, F.col("last_ord"))), F.lit(9)).cast("string"))
+    extra = F.array(place, F.when(F.col("is_self"), "self").otherwise("other"), F.when(F.col("multi") > 1, "many").otherwise("one"))
+    return citations.select("doc", "cit_id", F.concat(X.without_stopwords(X.tokens("text")), F.filter(extra, lambda x: x.isNotNull())).alias("features"))

@@ -210,3 +210,45 @@ def similar_titles(refs: DataFrame, papers: DataFrame, least: float = 0.9) -> Da
     whole = pairs.join(a.select("ref_id", "norm_title", "year"), "ref_id").join(b.select("guid", F.col("norm_title").alias("title"), F.col("year").alias("y")), "guid").where("year = y")
     sim = 1 - F.levenshtein("norm_title", "title") / F.greatest(F.length("norm_title"), F.length("title"))
     return whole.select("ref_id", "guid", sim.alias("similarity")).distinct().where(F.col("similarity") > least)
+
+
+def reference_of(refs: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
+    """References (doc, ref_id, original_id, guid, ...) looked up by ``ref_id``, ``original_id`` or ``guid``: the first by ref_id of each (doc, value)."""
+    j = wanted.select("doc", F.col("value").alias(by)).distinct().join(refs, ["doc", by])
+    w = Window.partitionBy("doc", by).orderBy("ref_id")
+    return j.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+
+
+def in_collection(links: DataFrame, papers: DataFrame) -> DataFrame:
+    """(guid, to): distinct links whose cited paper is in the collection (GUID)."""
+    pairs = links.select(guid_key("GUID_from").alias("guid"), guid_key("GUID_to").alias("to")).where("guid <> '' and `to` <> ''").distinct()
+    return pairs.join(papers.select(guid_key("GUID").alias("to")).distinct(), "to", "left_semi").select("guid", "to")
+
+
+def tag_in_collection(refs: DataFrame, papers: DataFrame, guid: str = "guid") -> DataFrame:
+    """References with in_collection; false for null."""
+    there = papers.select(guid_key("GUID").alias("__g")).where("__g is not null").distinct().withColumn("__in", F.lit(True))
+    return refs.withColumn("__g", guid_key(guid)).join(there, "__g", "left").withColumn("in_collection", F.coalesce("__in", F.lit(False))).drop("__g", "__in")
+
+
+def untag_lost(citations: DataFrame, matched: DataFrame, gap: int = 7) -> DataFrame:
+    """Citations (doc, sentence, start, end, ref_id) without those whose reference has no paper, clustered anew. ``matched``: ref_id, guid."""
+    return clusters(citations.join(matched.select("ref_id").distinct(), "ref_id", "left_semi"), gap)
+
+
+def load_references(cited: DataFrame, refs: DataFrame) -> DataFrame:
+    """(doc, ref_id, cited_id): every reference of a document with the cited paper that ``greedy_by_words`` gives it, null for the rest."""
+    got = greedy_by_words(cited, refs)
+    return refs.select("doc", "ref_id").join(got, ["doc", "ref_id"], "left").select("doc", "ref_id", "cited_id")
+
+
+def merge_annotations(elements: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Elements (doc, sid, ...) with csc_type, csc_adv and csc_nov of the annotation of the same sentence id; the least of several, null without one."""
+    a = annotations.groupBy("doc", "sid").agg(F.min(F.struct("csc_type", "csc_adv", "csc_nov")).alias("a"))
+    return elements.join(a, ["doc", "sid"], "left").select(*elements.columns, "a.csc_type", "a.csc_adv", "a.csc_nov")
+
+
+def overlap_by_index(tokens: DataFrame, others: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc, other, n_shared, weight): words that two token lists (doc, term; other, doc, term) share, with the sum of their inverse document frequency (term, df, n)."""
+    shared = tokens.select("doc", "term").distinct().join(others.select("doc", "other", "term").distinct(), ["doc", "term"]).join(index.select("term", F.ln(F.col("n") / F.col("df")).alias("idf")), "term", "left")
+    return shared.groupBy("doc", "other").agg(F.count("*").alias("n_shared"), F.coalesce(F.sum("idf"), F.lit(0.0)).alias("weight"))

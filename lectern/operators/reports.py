@@ -85,3 +85,67 @@ def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     y = b.select(key).where(F.col(key).isNotNull()).distinct().withColumn("b", F.lit(1))
     n = x.join(y, key, "full").agg(F.sum((F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")).alias("n_both"), F.count("*").alias("n_all"))
     return n.select(F.coalesce("n_both", F.lit(0)).alias("n_both"), (F.col("n_all") - F.coalesce("n_both", F.lit(0))).alias("n_one"), F.coalesce(F.try_divide("n_both", "n_all"), F.lit(0.0)).alias("share"))
+
+
+def load_results(spark, pattern: str) -> DataFrame:  # noqa: ANN001
+    """All result files of a pattern as one table, with unique_cit_id of file and citation; files with different columns are aligned by name."""
+    t = spark.read.option("header", True).option("inferSchema", True).csv(pattern)
+    return t.withColumn("unique_cit_id", F.concat_ws("_", F.coalesce("file_guid", F.lit("")), F.coalesce("citation_id", F.lit(""))))
+
+
+def wide_rows(rows: DataFrame, unit: str, method: str, value: str, methods: list[str]) -> DataFrame:
+    """One row a unit with a column for each method: repeated measures. Units without all methods are left out."""
+    return rows.groupBy(unit).pivot(method, methods).agg(F.min(value)).na.drop(subset=methods)
+
+
+def long_rows(rows: DataFrame, unit: str, method: str, value: str, best: DataFrame) -> DataFrame:
+    """Rows of the methods chosen as best (method column): independent measures."""
+    return rows.join(best.select(method).distinct(), method, "left_semi").select(unit, method, value)
+
+
+def joined_results(parts: dict[str, DataFrame], unit: str, value: str) -> DataFrame:
+    """Result tables by name, beside one another: one row a unit that all have."""
+    long = None
+    for name, df in parts.items():
+        p = df.select(unit, F.lit(name).alias("part"), F.col(value).alias("value"))
+        long = p if long is None else long.unionByName(p)
+    return wide_rows(long, unit, "part", "value", list(parts))
+
+
+def corpus_metadata(elements: DataFrame, zones: list[str], guid: str = "guid", zone: str = "zone") -> DataFrame:
+    """One row a paper: elements, words, and elements of each known zone; 0 where there are none. Needs n_words."""
+    counts = [F.count(F.when(F.col(zone) == z, 1)).alias(z) for z in zones]
+    return elements.groupBy(guid).agg(F.count("*").alias("n_elements"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"), *counts)
+
+
+def collection_totals(per_paper: DataFrame, zones: list[str]) -> DataFrame:
+    """One row: papers, mean elements and words, and zones in sum."""
+    return per_paper.agg(F.count("*").alias("n_papers"), F.avg("n_elements").alias("mean_elements"), F.avg("n_words").alias("mean_words"), *[F.coalesce(F.sum(z), F.lit(0)).alias(z) for z in zones])
+
+
+def sankey(rows: DataFrame, cls: str, zones: list[str], scale: float = 50.0) -> DataFrame:
+    """(source, weight, zone): edges of a flow from classes to zones, of positive weight."""
+    return rows.unpivot(cls, zones, "zone", "w").where("w > 0").select(F.concat(F.col(cls), F.lit("-")).alias("source"), (F.col("w") * scale).alias("weight"), "zone")
+
+
+def percent_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds pc_<column>: the column's part of their sum, in per cent; null where the sum is 0."""
+    total = sum((F.coalesce(F.col(c), F.lit(0)) for c in columns), F.lit(0))
+    return rows.withColumns({f"pc_{c}": F.try_divide(F.coalesce(F.col(c), F.lit(0)) * 100.0, total) for c in columns})
+
+
+def label_statistics(rows: DataFrame, label: str, text: str) -> DataFrame:
+    """(kind, label, n, n_unique): lines and different lines by whole label and by each of its letters."""
+    whole = rows.select(F.lit("label").alias("kind"), F.col(label).alias("label"), F.col(text).alias("t"))
+    letters = rows.select(F.lit("letter").alias("kind"), F.explode(F.array_distinct(F.split(label, ""))).alias("label"), F.col(text).alias("t")).where("label <> ''")
+    return whole.unionByName(letters).groupBy("kind", "label").agg(F.count("*").alias("n"), F.countDistinct("t").alias("n_unique"))
+
+
+def extracted_counts(tokens: DataFrame) -> DataFrame:
+    """(token, n): how often each word is marked to be extracted."""
+    return tokens.where("extract").groupBy("token").agg(F.count("*").alias("n"))
+
+
+def unique_values(rows: DataFrame, text: str, pattern: str) -> DataFrame:
+    """(value, n): what a pattern's first group meets in texts, with its number."""
+    return rows.select(F.explode(F.regexp_extract_all(text, F.lit(pattern), 1)).alias("value")).groupBy("value").agg(F.count("*").alias("n"))

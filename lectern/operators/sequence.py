@@ -67,3 +67,21 @@ def pad(words: Column, length: int, filler: str = "") -> Column:
 
 def unpad(words: Column, filler: str = "") -> Column:
     return F.filter(words, lambda t: t != filler)
+
+
+def first_words(words: Column, n: int = 4) -> Column:
+    """The first n words of a sentence, joined by blanks."""
+    return F.array_join(F.slice(words, 1, n), " ")
+
+
+def with_ends(sentences: DataFrame, words: Column, features: list[str], end: str = "#stop#") -> DataFrame:
+    """(ctx, ord, pos, token, features): the words of each sentence and an end token, each with the sentence's features. Needs ctx, ord; pos counts from 1."""
+    return sentences.select("ctx", "ord", F.posexplode(F.concat(words, F.array(F.lit(end)))).alias("pos", "token"), *features).withColumn("pos", F.col("pos") + 1)
+
+
+def feature_matrix(rows: DataFrame, columns: list[str], out: str = "features"):  # noqa: ANN201
+    """Adds a dense vector of numeric, boolean and null-safe columns in the given order."""
+    from pyspark.ml.feature import VectorAssembler
+
+    plain = rows.withColumns({f"__{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
+    return VectorAssembler(inputCols=[f"__{c}" for c in columns], outputCol=out).transform(plain).drop(*[f"__{c}" for c in columns])
