@@ -69,6 +69,13 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "item_id")
 
 
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """As p8_found, with one word in the twelve put in, left out or changed."""
+    from lectern.llm.leaks import leaks
+
+    return leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), edits=1).distinct()
+
+
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     """Every item with the number of documents that give it away."""
     from pyspark.sql import functions as F
@@ -84,5 +91,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_matches": p5_matches, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_matches": p5_matches, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p8_near": p8_near, "p9_found": p9_found}
 SQL: dict[str, str] = {}

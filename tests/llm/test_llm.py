@@ -83,6 +83,26 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, L.leaks(D, I).collect())) == [(i, i) for i in range(10)]
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_leaks_with_edits_against_brute_force(spark, edits):
+    from lectern.llm.leaks import edit_distance, leaks, words
+
+    r = random.Random(edits)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(16))) for i in range(40)]
+    docs = []
+    for d in range(120):
+        ws = items[r.randrange(40)][1].split()
+        for _ in range(r.randrange(4)):
+            k = r.randrange(len(ws))
+            ws = r.choice([ws[:k] + ["new"] + ws[k:], ws[:k] + ws[k + 1 :], ws[:k] + ["new"] + ws[k + 1 :]])
+        docs.append((d, " ".join([*r.choices(vocabulary, k=5), *ws, *r.choices(vocabulary, k=5)])))
+    windows = lambda t: [words(t)[k : k + 12] for k in range(len(words(t)) - 11)]
+    want = {(d, i) for d, t in docs for i, u in items if any(edit_distance(x, y, edits) <= edits for x in windows(t) for y in windows(u))}
+    got = set(map(tuple, leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), edits=edits).collect()))
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 60
+
+
 def test_edit_distance_of_windows():
     from lectern.llm.leaks import edit_distance
 
@@ -334,19 +354,38 @@ def test_matching_of_nothing(spark):
 
 
 def test_calibration_leans_to_the_labels_but_not_to_wrong_ones():
-    from lectern.llm.matching import WEIGHTS, calibrate, confidence
+    from lectern.llm.matching import N_COSINES, PRIOR, WEIGHTS, calibrate, confidence
 
-    x = np.zeros((300, len(WEIGHTS) - 1))
+    x = np.zeros((300, len(WEIGHTS) - 1 + N_COSINES))
     x[:100, :2], x[:100, 3] = 0.95, 1.0
     x[100:, 1] = 0.5
+    x[:, -N_COSINES:] = np.r_[np.full(100, 0.9), np.full(200, 0.3)][:, None]
     y = np.r_[np.ones(100), np.zeros(200)]
-    c = confidence(x, calibrate(x, y), np.zeros(300), np.zeros(300))
-    assert c[:100].min() > 0.9 > 0.1 > c[100:].max() and calibrate(x[:0], y[:0]) == (1.0, 0.0)
+    c = confidence(x, calibrate(x, y))
+    assert c[:100].min() > 0.9 > 0.1 > c[100:].max() and (calibrate(x[:0], y[:0]) == PRIOR).all()
     wrong = np.r_[np.zeros(100), np.ones(200)]
-    c = confidence(x, calibrate(x, wrong), np.zeros(300), np.zeros(300))
+    c = confidence(x, calibrate(x, wrong))
     assert c[:100].min() > 0.5 > c[100:].max()
 
 
+def test_titles_and_names_of_any_script_match(spark):
+    from lectern.llm.matching import match_records, tokens
+
+    works = [("g1", "基于图的引文推荐方法研究", "王伟; 李娜", "2011", None), ("g2", "анализ контекста цитирования научных статей", "Иванова; Петров", "2004", None), ("g3", "سلوك الاستشهاد في المقالات", "حسن", "1999", None)]
+    assert all(tokens(t, p, None, None)["head"] and tokens(t, p, None, None)["people"] for _, t, p, _, _ in works)
+    records = [(1, "王伟; 李娜", "基于图的引文推荐方法研宄", None, "2011", None), (2, "Иванова, И. and Петров, П.", "Анализ контекста цитирования научных статей.", None, None, None), (3, "حسن", "سلوك الاستشهاد في المقالات", None, "1999", None)]
+    A = spark.createDataFrame(records, "rec_id bigint, author string, title string, venue string, year string, doi string")
+    P = spark.createDataFrame([*works, *_works(50)], "GUID string, norm_title string, surnames string, year string, DOI string")
+    assert {(x["rec_id"], x["guid"]) for x in match_records(A, P).collect()} == {(1, "g1"), (2, "g2"), (3, "g3")}
+
+
+def test_tables_keep_the_chance_of_a_close_pair():
+    from lectern.llm.matching import CHANCE, tables_of
+
+    met = [1 - (1 - CHANCE**b) ** sum(n for _, n in tables_of(b)) for b in (15, 18, 21, 25, 31)]
+    assert min(met) >= met[0] - 1e-9 and max(met) < met[0] + 0.15
+
+
 def test_matching_in_a_bucket_of_a_third_of_the_papers(spark, monkeypatch):
     from lectern.llm import matching
 
