@@ -182,3 +182,61 @@ def author_overlap(surnames: Column, authors: Column) -> Column:
     """Share of the surnames contained in some author's name."""
     hit = F.size(F.filter(surnames, lambda s: F.exists(authors, lambda a: F.contains(a, s))))
     return F.when(F.size(surnames) > 0, hit / F.size(surnames)).otherwise(0.0)
+
+
+def quadratic(x: Column | str) -> Column:
+    """x squared, from 0 to 1 over the same interval."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.pow(x, F.lit(2.0))
+
+
+def as_list(col: Column | str) -> Column:
+    """A scalar as a list of one, an empty one for null."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.when(c.isNull(), F.array().cast("array<string>")).otherwise(F.array(c.cast("string")))
+
+
+#: Words after whose dot no sentence begins.
+NO_END = "Dr|Mr|Mrs|Ms|Prof|St|vs|etc|cf|Fig|Figs|Eq|Eqs|Sec|No|al|e\\.g|i\\.e|resp|approx"
+
+
+def sentence_split(col: Column | str) -> Column:
+    """The sentences of a text by its stops: cut after . ! ? and closing marks where a capital, a number or an opening mark goes on, but not after titles and abbreviations; empty for null."""
+    cut = rf"(?<=[.!?][\"'”’)\]]{{0,2}})(?<!\b(?:{NO_END})\.)(?<!\b\p{{Lu}}\.)\s+(?=[\"'“‘(\[]?[\p{{Lu}}\p{{N}}])"
+    return F.filter(F.transform(F.split(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")), cut), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def parse_citation(col: Column | str) -> tuple[Column, Column]:
+    """(authors, year) of an in-text citation: two names, one before et al., or the first word; year null where there is none."""
+    c = F.col(col) if isinstance(col, str) else col
+    year = F.nullif(F.regexp_extract(c, r"((?:1[89]|20)\d\d[a-z]?)", 1), F.lit(""))
+    name = r"([\p{Lu}][\p{L}'’-]+)"
+    two, one = rf"{name},? (?:and|&) {name}", rf"{name},? et al"
+    first = F.regexp_extract(F.regexp_replace(c, r"[,.()\[\]]", " "), r"^\s*(\S+)", 1)
+    authors = F.when(c.rlike(two), F.array(F.regexp_extract(c, two, 1), F.regexp_extract(c, two, 2))).when(c.rlike(one), F.array(F.regexp_extract(c, one, 1))).otherwise(F.array(first))
+    return F.filter(authors, lambda a: a != ""), year
+
+
+#: What stands before a family name in small letters.
+NAME_PREFIXES = r"(?:von der|van der|van den|de la|von|van|de|del|di|da|le|la|ter|ten)"
+
+
+def normal_case(col: Column | str) -> Column:
+    """A name with a capital first and the rest small, prefixes small."""
+    low = F.trim(F.lower(col))
+    prefix = F.regexp_extract(low, rf"^({NAME_PREFIXES}\s+)(?=\S)", 1)
+    rest = F.regexp_replace(low, rf"^{NAME_PREFIXES}\s+(?=\S)", "")
+    return F.concat(prefix, F.upper(F.substring(rest, 1, 1)), F.substring(rest, F.lit(2), F.length(rest)))
+
+
+def apa_authors(surnames: Column, most: int = 6) -> Column:
+    """Surnames as a citation lists them: names all in capitals in normal case, the last after an ampersand, et al. beyond ``most``."""
+    fixed = F.transform(surnames, lambda s: F.when((F.upper(s) == s) & (F.length(s) > 2), normal_case(s)).otherwise(s))
+    n = F.size(fixed)
+    head = F.array_join(F.slice(fixed, 1, F.greatest(n - 1, F.lit(0))), ", ")
+    return F.when(n > most, F.concat(F.get(fixed, 0), F.lit(" et al."))).when(n > 1, F.concat(head, F.lit(" & "), F.element_at(fixed, -1))).when(n == 1, F.get(fixed, 0)).otherwise("")
+
+
+def cache_key(kind: str, guid: Column | str, *parameters: object) -> Column:
+    """The name under which a made representation of a paper is kept."""
+    return F.concat_ws("_", F.lit(kind), F.col(guid) if isinstance(guid, str) else guid, *[F.lit(str(p)) for p in parameters])

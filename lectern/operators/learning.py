@@ -17,14 +17,16 @@ def surface(word: Column) -> tuple[Column, Column, Column]:
     return word.rlike("[0-9]"), caps, F.when(F.length(word) > 0, caps / F.length(word)).otherwise(0.0)
 
 
-def by_max(value: str, *ctx: str) -> Column:
-    """A value over its context's largest; 0 where that is 0."""
-    return F.coalesce(F.try_divide(F.col(value).cast("double"), F.max(value).over(Window.partitionBy(*ctx))), F.lit(0.0))
+def scaled(rows: DataFrame, value: str, ctx: str) -> DataFrame:
+    """Adds by_max, the value over its context's largest, and min_max, its place between least and largest; 0 where that is 0.
 
-
-def min_max(value: str, *ctx: str) -> Column:
-    w = Window.partitionBy(*ctx)
-    return F.coalesce(F.try_divide((F.col(value) - F.min(value).over(w)).cast("double"), F.max(value).over(w) - F.min(value).over(w)), F.lit(0.0))
+    The extremes of a context are combined before they are exchanged, and come back by a join: no context is brought into one task.
+    """
+    of = rows.groupBy(F.col(ctx).alias("__c")).agg(F.max(value).alias("__max"), F.min(value).alias("__min"))
+    j = rows.join(of, F.col(ctx).eqNullSafe(F.col("__c")))
+    v = F.col(value).cast("double")
+    top, span = F.coalesce(F.try_divide(v, F.col("__max")), F.lit(0.0)), F.coalesce(F.try_divide(v - F.col("__min"), F.col("__max") - F.col("__min")), F.lit(0.0))
+    return j.withColumns({"by_max": top, "min_max": span}).drop("__c", "__max", "__min")
 
 
 def folds(rows: DataFrame, order: list[str], k: int) -> DataFrame:
@@ -52,15 +54,15 @@ def train_classifier(rows: DataFrame, words: str, label: str, buckets: int = 409
         "forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=6, seed=1),
         "perceptron": lambda: MultilayerPerceptronClassifier(layers=[buckets, 16, n], maxIter=20, seed=1),
     }
-    model = kinds[classes]().setFeaturesCol("features").setLabelCol("label")
-    steps = [HashingTF(inputCol=words, outputCol="features", numFeatures=buckets), StringIndexer(inputCol=label, outputCol="label", handleInvalid="skip"), model]
+    model = kinds[classes]().setFeaturesCol("__features").setLabelCol("__label")
+    steps = [HashingTF(inputCol=words, outputCol="__features", numFeatures=buckets), StringIndexer(inputCol=label, outputCol="__label", handleInvalid="skip"), model]
     return Pipeline(stages=steps).fit(rows.where(F.col(label).isNotNull() & F.col(words).isNotNull()))
 
 
 def accuracy(model, rows: DataFrame) -> float:  # noqa: ANN001
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 
-    return MulticlassClassificationEvaluator(metricName="accuracy").evaluate(model.transform(rows))
+    return MulticlassClassificationEvaluator(labelCol="__label", metricName="accuracy").evaluate(model.transform(rows))
 
 
 def greedy_weights(hits: DataFrame, matches: DataFrame, fields: list[str], moves: tuple[float, ...] = (-1, 6, -2), metric: str = "ndcg", smooth: bool = False) -> tuple[dict[str, float], float]:
@@ -110,7 +112,8 @@ def annotate(model, rows: DataFrame, label: str, out: str = "predicted") -> Data
     from pyspark.ml.feature import IndexToString
 
     names = next(s for s in model.stages if hasattr(s, "labels")).labels
-    got = model.transform(rows.withColumn(label, F.lit(names[0])) if label not in rows.columns else rows)
+    got = model.transform(rows.withColumn("__had", F.col(label) if label in rows.columns else F.lit(None).cast("string")).withColumn(label, F.lit(names[0])))
+    got = got.withColumn(label, F.col("__had")) if label in rows.columns else got
     return IndexToString(inputCol="prediction", outputCol=out, labels=names).transform(got).select(*rows.columns, out)
 
 

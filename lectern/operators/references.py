@@ -18,6 +18,12 @@ def names(col: Column | str) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
+def full_names(authors: Column) -> Column:
+    """Given and family names of an array of author structs, in small letters; blank names dropped, empty for null."""
+    whole = F.transform(F.coalesce(authors, F.array().cast("array<struct<given:string,family:string>>")), lambda a: F.trim(F.lower(F.concat_ws(" ", a["given"], a["family"]))))
+    return F.filter(whole, lambda x: x != "")
+
+
 def year_number(col: Column | str) -> Column:
     """The first year between 1800 and 2099 in a text, else null."""
     got = F.regexp_extract(col, r"(1[89]\d\d|20\d\d)", 1)

@@ -149,3 +149,17 @@ def extracted_counts(tokens: DataFrame) -> DataFrame:
 def unique_values(rows: DataFrame, text: str, pattern: str) -> DataFrame:
     """(value, n): what a pattern's first group meets in texts, with its number."""
     return rows.select(F.explode(F.regexp_extract_all(text, F.lit(pattern), 1)).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+
+
+def per_year(rows: DataFrame, year: Column) -> DataFrame:
+    """(year, n): rows of each year, one row for those without."""
+    return rows.groupBy(year.alias("year")).agg(F.count("*").alias("n"))
+
+
+def union_keys(parts: list[DataFrame], key: str) -> DataFrame:
+    """Distinct non-null keys of several tables."""
+    out = None
+    for p in parts:
+        k = p.select(key).where(F.col(key).isNotNull())
+        out = k if out is None else out.union(k)
+    return out.distinct()

@@ -167,6 +167,16 @@ def j_tag_in_collection(spark: SparkSession, d: str) -> DataFrame:
     return J.tag_in_collection(table(spark, d, "links"), table(spark, d, "papers"), "GUID_to").select("link_id", "in_collection")
 
 
+@query(f"""WITH p AS {_CURRENT}, r AS (SELECT DISTINCT coalesce(corpus_id, '') || '|' || {_KEY.format('"GUID"')} AS ref_id, corpus_id, {_KEY.format('"GUID"')} AS k FROM papers WHERE "GUID" IS NOT NULL), h AS (SELECT ref_id, p.g, 1 AS k FROM r JOIN p ON r.corpus_id = p.corpus_id WHERE r.corpus_id <> '' AND NOT regexp_matches(r.corpus_id, '["\\\\]') UNION ALL SELECT ref_id, p.g, 2 FROM r JOIN p ON r.k = p.g WHERE r.k <> '')
+SELECT ref_id, arg_min(g, (k, g)) AS guid, CASE min(k) WHEN 1 THEN 'corpus_id' ELSE 'guid' END AS matched_by FROM h GROUP BY 1""")
+def j_match_by_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of the papers, deleted ones included, against those in the collection: by corpus id first, then by GUID."""
+    p, null = table(spark, d, "papers").where("GUID is not null"), F.lit(None).cast("string")
+    refs = p.select("corpus_id", guid_key("GUID").alias("guid")).distinct().select(F.concat_ws("|", F.coalesce("corpus_id", F.lit("")), "guid").alias("ref_id"), null.alias("doi"), "corpus_id", "guid", null.alias("norm_title"), F.array().cast("array<string>").alias("surnames"))
+    papers = J.current(p).select(F.col("GUID").alias("guid"), F.col("DOI").alias("doi"), "corpus_id", "norm_title", J.names("surnames").alias("surnames"))
+    return J.match_references(refs, papers)
+
+
 # ---- stored leaves ----
 _EXPLAINED = f"{_HITS}, {_SCORES}, {_TOP}, {_MATCH}, ex AS (SELECT hits.* FROM hits SEMI JOIN (SELECT query_id, guid FROM ranked UNION SELECT query_id, guid FROM match) USING (query_id, guid))"
 
@@ -419,3 +429,61 @@ def k_baseline_weights(spark: SparkSession, d: str) -> DataFrame:
     m = t.agg(F.max("df")).scalar()
     return t.select("field", "term", F.round(K.baseline_weight(F.col("df"), m), 6).alias("weight"), K.bins(F.col("df") / m).alias("bin"))
 
+
+
+# ---- sources and scalars, by a round trip through their formats ----
+def _field(c: str) -> str:
+    return f"nullif(replace(replace({c}, '{{', '('), '}}', ')'), '')"
+
+
+@query(f"SELECT rec_id::VARCHAR AS id, {_field('author')} AS author, {_field('title')} AS title, {_field('year')} AS year FROM aan_records")
+def s_bibliography(spark: SparkSession, d: str) -> DataFrame:
+    """Records written as bibliography text, one text of many, and read again."""
+    from lectern.sources.records import bibliography
+
+    plain = lambda c: F.translate(F.coalesce(F.col(c).cast("string"), F.lit("")), "{}", "()")
+    one = F.concat(*[x for c in ("rec_id", "author", "title", "venue", "year") for x in (F.lit(f"{'id' if c == 'rec_id' else c} = {{"), plain(c), F.lit("}\n"))])
+    files = table(spark, d, "aan_records").groupBy(F.pmod(F.xxhash64("rec_id"), F.lit(64))).agg(F.array_join(F.collect_list(one), "\n").alias("value"))
+    return bibliography(files).select("id", "author", "title", "year")
+
+
+@query(f"""SELECT DISTINCT {_KEY.format('"GUID_from"')} AS "from", {_KEY.format('"GUID_to"')} AS "to" FROM links WHERE trim("GUID_from") <> '' AND trim("GUID_to") <> ''""")
+def s_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Links written as ``from ==> to`` lines and read again."""
+    from lectern.sources.records import edges
+
+    t = table(spark, d, "links").where("trim(GUID_from) <> '' and trim(GUID_to) <> ''")
+    return edges(t.select(F.concat_ws(" ==> ", F.trim("GUID_from"), F.trim("GUID_to")).alias("value")))
+
+
+@query("SELECT missing_id, norm_title FROM missing_papers m WHERE norm_title IS NULL OR NOT EXISTS (SELECT 1 FROM papers p WHERE p.norm_title = m.norm_title)")
+def s_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Works recorded as missing without those that have come in since."""
+    from lectern.sources.records import delete
+
+    return delete(table(spark, d, "missing_papers"), table(spark, d, "papers").where("norm_title is not null"), "norm_title").select("missing_id", "norm_title")
+
+
+@query(f"WITH {_MARKS}, {_NUMBERS} SELECT scidoc_id, k AS id, mark AS text, string_agg(DISTINCT number::VARCHAR, ',' ORDER BY number::VARCHAR) AS nums FROM nb GROUP BY 1, 2, 3")
+def t_annotated_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered citations taken apart, ranges spelled out."""
+    from lectern.functions.annotate import annotate_citations
+
+    c = table(spark, d, "scidoc").select("scidoc_id", annotate_citations(F.col("text"), F.lit("AFI")).alias("a")).select("scidoc_id", F.inline("a.citations"))
+    return c.select("scidoc_id", F.col("id").cast("bigint").alias("id"), "text", F.array_join(F.array_sort(F.array_distinct(F.transform("nums", lambda x: x.cast("string")))), ",").alias("nums"))
+
+
+@query(f"WITH post AS {_POST}, t AS (SELECT term, count(*) AS df FROM post WHERE field = 'text' GROUP BY 1), m AS (SELECT max(df) AS m FROM t), g AS (SELECT DISTINCT term FROM {_QT}), d AS (SELECT unnest([2.0, 1.7, 1.3, 1.0, 0.7]::DOUBLE[]) AS divisor), x AS (SELECT divisor, df <= m / divisor AS pred, g.term IS NOT NULL AS gold FROM t LEFT JOIN g USING (term) CROSS JOIN m CROSS JOIN d) SELECT divisor, round(2 * count(*) FILTER (pred AND gold) / (count(*) FILTER (pred) + count(*) FILTER (gold)), 6) AS f1 FROM x GROUP BY 1")
+def k_divisor_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """How well rare terms agree with those of the items, by the divisor of the greatest frequency."""
+    t = R._index(spark, d).terms.where("field = 'text'")
+    return K.divisor_sweep(t, R._query_terms(spark, d), [2.0, 1.7, 1.3, 1.0, 0.7]).withColumn("f1", F.round("f1", 6))
+
+
+@query("SELECT guid, source, n_chars FROM documents WHERE source IN (SELECT source FROM (SELECT source, row_number() OVER (ORDER BY avg(n_chars) DESC NULLS LAST, source) AS k FROM documents WHERE source IS NOT NULL GROUP BY 1) WHERE k <= 2)")
+def a_long_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths of the two longest kinds of documents, as independent measures."""
+    docs = table(spark, d, "documents")
+    best = docs.where("source is not null").groupBy("source").agg(F.avg("n_chars").alias("m")).orderBy(F.desc_nulls_last("m"), "source").limit(2)
+    return A.long_rows(docs, "guid", "source", "n_chars", best)
+

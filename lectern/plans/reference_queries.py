@@ -138,29 +138,37 @@ _CURRENT = f"""(SELECT * EXCLUDE (rk), {_KEY.format('"GUID"')} AS g FROM (SELECT
 
 @query(f"SELECT g AS guid, norm_title, year FROM {_CURRENT}")
 def s_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Imports applied in order of time: the last row of a GUID holds."""
-    return J.current(table(spark, d, "papers")).select(F.col("GUID").alias("guid"), "norm_title", "year")
+    """A second import put over the first: of a GUID's rows the last holds."""
+    from lectern.sources.records import upsert
+
+    p = table(spark, d, "papers")
+    old, new = (J.current(p.where(w)).select(F.col("GUID").alias("guid"), "norm_title", "year", "time_created", "corpus_id") for w in ("time_created < timestamp_ntz'2015-01-01'", "time_created >= timestamp_ntz'2015-01-01' or time_created is null"))
+    late = new.join(old.select("guid", F.col("time_created").alias("t")), "guid", "left").where("time_created is not null or t is null").drop("t")
+    return upsert(old, late, "guid").select("guid", "norm_title", "year")
 
 
 @query(f"""SELECT d.doc_id, EXISTS (SELECT 1 FROM papers p WHERE {_KEY.format('p."GUID"')} = {_KEY.format('d.guid')}) AS there FROM documents d""")
 def s_exists(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "papers").where("GUID is not null").select(guid_key("GUID").alias("k")).distinct().withColumn("there", F.lit(True))
-    docs = table(spark, d, "documents").select("doc_id", guid_key("guid").alias("k"))
-    return docs.join(p, "k", "left").select("doc_id", F.coalesce("there", F.lit(False)).alias("there"))
+    from lectern.sources.store import exists
+
+    return exists(table(spark, d, "documents"), table(spark, d, "papers"), "guid", "GUID").select("doc_id", "there")
 
 
 @query("SELECT norm_title, count(*) - 1 AS n_again, max(reference_counts) AS most FROM missing_papers WHERE norm_title IS NOT NULL GROUP BY 1")
 def s_missing_counter(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "missing_papers").where("norm_title is not null").groupBy("norm_title").agg((F.count("*") - 1).alias("n_again"), F.max("reference_counts").alias("most"))
+    from lectern.sources.store import missing_counts
 
+    return missing_counts(table(spark, d, "missing_papers"))
 
-@query("""SELECT guid, n_names, n_papers FROM (SELECT "GUID" AS guid, count(DISTINCT full_name) AS n_names FROM authors GROUP BY 1) LEFT JOIN (
-  SELECT guid, count(DISTINCT p) AS n_papers FROM (SELECT "GUID" AS guid, unnest(from_json(json_extract(metadata, '$.papers'), '["VARCHAR"]')) AS p FROM authors) GROUP BY 1) USING (guid)""")
+
+@query("""WITH p AS (SELECT "GUID" AS guid, string_agg(DISTINCT p, '|' ORDER BY p) AS papers FROM (SELECT "GUID", unnest(from_json(json_extract(metadata, '$.papers'), '["VARCHAR"]')) AS p FROM authors) GROUP BY 1), f AS (SELECT "GUID" AS guid, string_agg(DISTINCT a.name, '|' ORDER BY a.name) AS affiliations FROM (SELECT "GUID", unnest(from_json(json_extract(metadata, '$.affiliation'), '[{"name": "VARCHAR"}]')) AS a FROM authors) GROUP BY 1),
+n AS (SELECT "GUID" AS guid, string_agg(DISTINCT full_name, '|' ORDER BY full_name) AS names FROM authors GROUP BY 1) SELECT guid, coalesce(names, '') AS names, coalesce(papers, '') AS papers, coalesce(affiliations, '') AS affiliations FROM n LEFT JOIN p USING (guid) LEFT JOIN f USING (guid) WHERE guid IS NOT NULL""")
 def s_author_merge(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "authors").select(F.col("GUID").alias("guid"), "full_name", F.from_json("metadata", "papers array<string>").alias("m"))
-    n = a.groupBy("guid").agg(F.countDistinct("full_name").alias("n_names"))
-    p = a.select("guid", F.explode("m.papers").alias("p")).groupBy("guid").agg(F.countDistinct("p").alias("n_papers"))
-    return n.join(p, "guid", "left")
+    """Rows of one GUID as one author: names, papers and affiliations without repeats."""
+    from lectern.sources.store import merged_authors
+
+    m = merged_authors(table(spark, d, "authors").where("GUID is not null"))
+    return m.select("guid", *[F.array_join(c, "|").alias(c) for c in ("names", "papers", "affiliations")])
 
 
 _PAIRS = f"""(SELECT DISTINCT {_KEY.format('"GUID_from"')} AS a, {_KEY.format('"GUID_to"')} AS b FROM links WHERE trim("GUID_from") <> '' AND trim("GUID_to") <> '')"""
@@ -596,7 +604,7 @@ def a_zone_totals(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT nullif(regexp_extract(year, '(1[89]\\d\\d|20\\d\\d)', 1), '')::INT AS year, count(*) AS n FROM {_CURRENT} GROUP BY 1")
 def a_years(spark: SparkSession, d: str) -> DataFrame:
-    return J.current(table(spark, d, "papers")).groupBy(J.year_number("year").alias("year")).agg(F.count("*").alias("n"))
+    return A.per_year(J.current(table(spark, d, "papers")), J.year_number("year"))
 
 
 @query(f"WITH post AS {_POST}, t AS (SELECT term, sum(tf) AS c FROM post WHERE field = 'text' GROUP BY 1), s AS (SELECT v.size, right(term, v.size) AS suffix, sum(c) AS n FROM t, (VALUES (2), (3), (4)) v(size) WHERE length(term) > v.size GROUP BY 1, 2) SELECT size, suffix, n FROM (SELECT *, row_number() OVER (PARTITION BY size ORDER BY n DESC, suffix) AS k FROM s) WHERE k <= 50")
@@ -621,7 +629,7 @@ def o_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT guid FROM documents WHERE guid IS NOT NULL UNION SELECT guid FROM scidoc WHERE guid IS NOT NULL")
 def o_union(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("guid").union(table(spark, d, "scidoc").select("guid")).where("guid is not null").distinct()
+    return A.union_keys([table(spark, d, "documents"), table(spark, d, "scidoc")], "guid")
 
 
 # ---- similarity: items bought together stand for papers cited together ----
@@ -692,8 +700,8 @@ def x_surface(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, round(coalesce(n_chars::DOUBLE / nullif(max(n_chars) OVER (PARTITION BY source), 0), 0), 6) AS by_max, round(coalesce((n_chars - min(n_chars) OVER (PARTITION BY source))::DOUBLE / nullif(max(n_chars) OVER (PARTITION BY source) - min(n_chars) OVER (PARTITION BY source), 0), 0), 6) AS min_max, ntile(4) OVER (ORDER BY doc_id) - 1 AS fold FROM documents")
 def x_normalise(spark: SparkSession, d: str) -> DataFrame:
-    t = L.folds(table(spark, d, "documents"), ["doc_id"], 4)
-    return t.select("doc_id", F.round(L.by_max("n_chars", "source"), 6).alias("by_max"), F.round(L.min_max("n_chars", "source"), 6).alias("min_max"), "fold")
+    t = L.scaled(L.folds(table(spark, d, "documents").select("doc_id", "n_chars", "source"), ["doc_id"], 4), "n_chars", "source")
+    return t.select("doc_id", F.round("by_max", 6).alias("by_max"), F.round("min_max", 6).alias("min_max"), "fold")
 
 
 @query(None)

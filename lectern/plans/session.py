@@ -12,11 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset, as in tests."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset in a local session, as in tests; unset on a cluster it is an error."""
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lectern-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="lectern-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir() or folder
 

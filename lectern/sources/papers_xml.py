@@ -181,3 +181,12 @@ def to_scixml(elements: DataFrame) -> DataFrame:
     one = F.when(F.col("elem_type") == "section", F.concat(F.lit("<HEADER>"), head, F.lit("</HEADER>"))).when(F.col("elem_type") == "s", F.concat(F.lit("<S"), zone, F.lit(">"), cits, F.lit("</S>"))).otherwise(F.concat(F.lit("<P>"), cits, F.lit("</P>")))
     items = F.array_sort(F.collect_list(F.struct("ord", one.alias("x"))))
     return elements.groupBy("guid").agg(F.concat(F.lit("<PAPER><BODY>"), F.array_join(F.transform(items, lambda i: i["x"]), ""), F.lit("</BODY></PAPER>")).alias("xml"))
+
+
+def save_json(papers: DataFrame, path: str) -> None:
+    papers.write.mode("overwrite").json(path)
+
+
+def load_json(spark: SparkSession, path: str) -> DataFrame:
+    """Documents saved as JSON lines, nested as SCHEMA; missing parts are null."""
+    return spark.read.schema(SCHEMA.replace("\n", " ")).json(path)
