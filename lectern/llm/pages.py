@@ -1,7 +1,8 @@
 """Noise in text from scanned pages.
 
 The lines of a text are labelled by a linear chain model (Viterbi over body, heading, figures, furniture and break) with layout
-features: width against the column, whether the next word would still have fit, alignment, page-number grammars, capitals, form feeds.
+features: width against the column, whether the next word would still have fit, alignment, page-number grammars, capitals, form feeds. What the
+features weigh is set, what follows what is learned from all texts.
 Furniture is dropped, and in what is left words cut at line ends, words with blanks inside and misread words are repaired against a
 lexicon counted over all texts; paragraphs are put together from the labels.
 """
@@ -44,8 +45,42 @@ def _mostly_capitals(words: list[str]) -> bool:
     return bool(words) and all(w[:1].isupper() or w.lower() in ("and", "of", "the", "in", "on", "for", "et", "al", "al.", "&", "von", "van", "de", "der") for w in words)
 
 
-def label(text: str) -> list[int]:
+#: Where the learning of transitions begins: pages' matter stands together, body goes on with body.
+FIRST_STEPS = [[0.5, 0.0, 0.0, -0.6, 0.0], [0.5, -1.0, 0.0, -0.6, 0.0], [0.0, 0.0, 0.5, -0.6, 0.0], [-0.3, 0.0, -0.6, 1.2, 0.3], [0.0, 0.0, 0.0, 0.2, 0.0]]
+#: Part of the learned log odds that counts beside the layout of a line, and their bound.
+STEP_PART, STEP_BOUND = 0.5, 2.0
+
+
+def steps_from(counts: list[list[float]]) -> list[list[float]]:
+    """Transition weights: how much likelier a label follows another than it stands anywhere, in log odds, from counted pairs of neighbours."""
+    n = [[c + 1.0 for c in row] for row in counts]
+    total = sum(map(sum, n))
+    share = [sum(row[q] for row in n) / total for q in range(5)]
+    return [[STEP_PART * max(-STEP_BOUND, min(STEP_BOUND, math.log(row[q] / sum(row) / share[q]))) for q in range(5)] for row in n]
+
+
+def learn_steps(texts: DataFrame, text: str = "text") -> list[list[float]]:
+    """Transitions learned from all texts: their lines are labelled with FIRST_STEPS, and the pairs of neighbouring labels counted (a step of Viterbi training)."""
+
+    @full_frames
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        for b in batches:
+            for t in b[text].dropna():
+                if t.strip():
+                    own = label(t)
+                    seen.update(zip(own, own[1:], strict=False))
+        yield pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["a", "b", "n"])
+
+    counts = [[0.0] * 5 for _ in range(5)]
+    for r in texts.select(text).mapInPandas(count, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        counts[r["a"]][r["b"]] = float(r["n"])
+    return steps_from(counts)
+
+
+def label(text: str, step: list[list[float]] | None = None) -> list[int]:
     """The label of every line of a text."""
+    step = step or FIRST_STEPS
     lines = text.split("\n")
     bare = [x.replace("\f", "") for x in lines]
     widths = sorted(len(x.rstrip()) for x in bare if x.strip() and not _PAGE_BESIDE.match(x) and not _PAGE_ONLY.match(x))
@@ -118,8 +153,6 @@ def label(text: str) -> list[int]:
         if k == filled[-1] and not ended and s[:1].isupper():
             furniture += 1.0
         scores.append([body, head, figures, furniture, -99])
-    # Transitions: pages' matter stands together; body goes on with body.
-    step = [[0.5, 0.0, 0.0, -0.6, 0.0], [0.5, -1.0, 0.0, -0.6, 0.0], [0.0, 0.0, 0.5, -0.6, 0.0], [-0.3, 0.0, -0.6, 1.2, 0.3], [0.0, 0.0, 0.0, 0.2, 0.0]]
     best, back = list(scores[0]), []
     for sc in scores[1:]:
         choice = [max(range(5), key=lambda p, q=q: best[p] + step[p][q]) for q in range(5)]
@@ -258,12 +291,12 @@ def _joined(a: str, hyphen: str, b: str, lex: Lexicon) -> str:
     return whole
 
 
-def repairs(text: str | None, lex: Lexicon) -> tuple[list[tuple[int, str, str]], list[str]]:
+def repairs(text: str | None, lex: Lexicon, step: list[list[float]] | None = None) -> tuple[list[tuple[int, str, str]], list[str]]:
     """((line_no, noise, repaired) without repeats, paragraphs) of one text. Null and blank texts have neither."""
     if not text or not text.strip():
         return [], []
     lines = text.split("\n")
-    labels = label(text)
+    labels = label(text, step)
     out: dict[tuple[int, str, str], None] = {}
     for k, q in enumerate(labels):
         if q == FURNITURE:
@@ -411,13 +444,13 @@ def page_noise(texts: DataFrame, row_id: str, text: str = "text", lexicon: Lexic
     rows give theirs repeatedly; other columns are not read.
     """
     lexicon = lexicon or train(words_from if words_from is not None else texts, text)
-    spread = texts.sparkSession.sparkContext.broadcast(lexicon.counts)
+    spread = texts.sparkSession.sparkContext.broadcast((lexicon.counts, learn_steps(texts, text)))
 
     @full_frames
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = Lexicon(spread.value)
+        lex, step = Lexicon(spread.value[0]), spread.value[1]
         for b in batches:
-            rows = [(r, *x) for r, t in zip(b[row_id], b[text], strict=True) for x in repairs(t, lex)[0]]
+            rows = [(r, *x) for r, t in zip(b[row_id], b[text], strict=True) for x in repairs(t, lex, step)[0]]
             yield pd.DataFrame(rows, columns=[row_id, "line_no", "noise", "repaired"])
 
     kind = texts.schema[row_id].dataType.simpleString()
@@ -427,13 +460,13 @@ def page_noise(texts: DataFrame, row_id: str, text: str = "text", lexicon: Lexic
 def paragraphs(texts: DataFrame, row_id: str, text: str = "text", lexicon: Lexicon | None = None, words_from: DataFrame | None = None) -> DataFrame:
     """(row_id, par_no, paragraph): the repaired text, paragraphs counted from 1."""
     lexicon = lexicon or train(words_from if words_from is not None else texts, text)
-    spread = texts.sparkSession.sparkContext.broadcast(lexicon.counts)
+    spread = texts.sparkSession.sparkContext.broadcast((lexicon.counts, learn_steps(texts, text)))
 
     @full_frames
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = Lexicon(spread.value)
+        lex, step = Lexicon(spread.value[0]), spread.value[1]
         for b in batches:
-            rows = [(r, n, p) for r, t in zip(b[row_id], b[text], strict=True) for n, p in enumerate(repairs(t, lex)[1], 1)]
+            rows = [(r, n, p) for r, t in zip(b[row_id], b[text], strict=True) for n, p in enumerate(repairs(t, lex, step)[1], 1)]
             yield pd.DataFrame(rows, columns=[row_id, "par_no", "paragraph"])
 
     kind = texts.schema[row_id].dataType.simpleString()

@@ -244,7 +244,8 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
     """(doc_id, ids) of every document by the vocabulary, without special tokens.
 
     Strings that look like special tokens are ordinary text. Null and empty texts give the empty list; every row of ``docs``
-    gives a row, repeated rows and null ids included. Other columns are not read. ``vocabulary`` is the path of a .tiktoken file.
+    gives a row, repeated rows and null ids included. Other columns are not read. ``vocabulary`` is the path of a .tiktoken file on the driver;
+    the workers get it, as they do the lexicon, from the shared folder.
     """
     from pyspark import SparkFiles
 
@@ -253,11 +254,13 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
     spark = docs.sparkSession
     path = vocabulary or vocabulary_path()
     name = put(spark, build_lexicon(docs, text, load_ranks(path), words).to_bytes(), "lexicon")
+    with open(path, "rb") as f:
+        ranks = put(spark, f.read(), "vocabulary")
 
     @full_frames
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         local = SparkFiles.get(name)
-        enc = Encoder(load_ranks(path), Transducer.map(local) if os.path.getsize(local) else None)
+        enc = Encoder(load_ranks(SparkFiles.get(ranks)), Transducer.map(local) if os.path.getsize(local) else None)
         for b in batches:
             yield pd.DataFrame({doc_id: b[doc_id], "ids": [enc.encode(t) for t in b[text]]})
 

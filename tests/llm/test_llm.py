@@ -231,6 +231,16 @@ def test_page_noise():
     assert repairs(None, lex) == ([], []) and repairs(" \n", lex) == ([], [])
 
 
+def test_what_follows_what_is_learned(spark):
+    from lectern.llm.pages import BODY, FURNITURE, label, learn_steps, steps_from
+
+    body = "the classifiers improve the evaluation of documents and\nexpand the measures of scores over them and we rank the\nresults here in the order of their measure over all the"
+    page = f"{body}\n\nMulevez et al.\n12\n\n{body}"
+    step = learn_steps(spark.createDataFrame([(page,), (None,), (" ",)] * 20, "text string"))
+    assert step[FURNITURE][FURNITURE] > 0 > step[FURNITURE][BODY] and label(page, step)[4:6] == [FURNITURE, FURNITURE]
+    assert max(abs(x) for row in steps_from([[0.0] * 5] * 5) for x in row) < 1e-9
+
+
 def test_page_noise_of_a_table(spark):
     from lectern.llm.pages import page_noise, paragraphs
 
