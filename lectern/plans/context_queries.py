@@ -487,3 +487,95 @@ def a_long_rows(spark: SparkSession, d: str) -> DataFrame:
     best = docs.where("source is not null").groupBy("source").agg(F.avg("n_chars").alias("m")).orderBy(F.desc_nulls_last("m"), "source").limit(2)
     return A.long_rows(docs, "guid", "source", "n_chars", best)
 
+
+
+# ---- further scalars and features ----
+@query(r"SELECT doc_id, md5(regexp_replace(text, '(?i)<cit id=(\w+)\s*/>', ' __\1 ', 'g')) AS digest, try_cast(nullif(regexp_extract(text, '[0-9]+', 0), '') AS BIGINT) AS first_number, md5(translate(text, chr(9) || chr(10) || chr(13), '   ')) AS cleared FROM documents")
+def t_citation_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Citation tags as words, the first number, tabs and line ends as blanks."""
+    return table(spark, d, "documents").select("doc_id", F.md5(X.citation_tokens("text").cast("binary")).alias("digest"), X.first_number("text").alias("first_number"), F.md5(X.clear_tabs("text").cast("binary")).alias("cleared"))
+
+
+@query(rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '(?i)<cit id=(\w+)\s*/>', ' __\1 ', 'g')), '{_T}') AS w FROM documents WHERE regexp_matches(text, '(?i)<cit id='))
+SELECT doc_id, array_to_string(list_filter(list_transform(w, lambda t: CASE WHEN t = '__cit1' THEN '__cit' ELSE t END), lambda t: NOT (starts_with(t, '__cit') AND t <> '__cit')), ' ') AS words FROM w""")
+def t_leave_one_citation(spark: SparkSession, d: str) -> DataFrame:
+    """Words in which the first citation is left and the others are gone."""
+    t = table(spark, d, "documents").where(F.col("text").rlike("(?i)<cit id="))
+    return t.select("doc_id", F.array_join(X.leave_one_citation(X.tokens(X.citation_tokens("text")), "__cit1"), " ").alias("words"))
+
+
+@query(r"SELECT scidoc_id, array_to_string(list_distinct_in_order, ' ') AS keywords FROM (SELECT scidoc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_in_order FROM (SELECT scidoc_id, list_filter(regexp_split_to_array(lower(header), '[^a-z0-9_]+'), lambda t: length(t) > 2 AND t <> 'the' AND t <> 'and') AS w FROM scidoc WHERE header IS NOT NULL))")
+def x_manual_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """Headers read as typed lists of keywords."""
+    from lectern.operators.learning import manual_keywords
+
+    return table(spark, d, "scidoc").where("header is not null").select("scidoc_id", F.array_join(manual_keywords("header", ["the", "and"]), " ").alias("keywords"))
+
+
+@query(f"SELECT scidoc_id, least(floor((n - 1) * 2 / n)::INT + 1, 2) AS slice, (floor(n / 3) * 3)::INT AS bucket, array_to_string(list_concat(w, list_transform(range(0, 12), lambda i: '#'))[1:12], ' ') AS padded FROM (SELECT scidoc_id, w, len(w) AS n FROM (SELECT scidoc_id, regexp_extract_all(lower(text), '{_T}') AS w FROM scidoc WHERE text IS NOT NULL)) WHERE n > 0")
+def w_slices(spark: SparkSession, d: str) -> DataFrame:
+    """The half in which a text's last word stands, its length in steps of three, and its first twelve words filled up."""
+    t = table(spark, d, "scidoc").where("text is not null").select("scidoc_id", X.tokens("text").alias("w")).withColumn("n", F.size("w")).where("n > 0")
+    return t.select("scidoc_id", W.slice_of(F.col("n") - 1, F.col("n")).alias("slice"), W.length_bucket(F.col("n")).alias("bucket"), F.array_join(W.pad(F.col("w"), 12, "#"), " ").alias("padded"))
+
+
+@query(f"WITH {_CC} SELECT a, b, round(dice, 6) AS dice FROM (SELECT a, b, dice FROM s UNION ALL SELECT b, a, dice FROM s) WHERE round(dice, 6) >= 0.02")
+def g_related(spark: SparkSession, d: str) -> DataFrame:
+    return G.related(R._similar(spark, d).withColumn("dice", F.round("dice", 6)), 0.02)
+
+
+@query("SELECT doc_id, md5(concat_ws(' ', text, lang, source)) AS text, md5(concat_ws(' ', collection_id, lang, source)) AS collection FROM documents")
+def i_append_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Two fields appended to two others."""
+    t = D.append_fields(table(spark, d, "documents"), ["lang", "source"], ["text", "collection_id"])
+    return t.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"), F.md5(F.col("collection_id").cast("binary")).alias("collection"))
+
+
+@query(f"WITH {_MARKS} SELECT scidoc_id FROM scidoc SEMI JOIN (SELECT guid, parent FROM mk) USING (guid, parent)")
+def f_trim_to_citing(spark: SparkSession, d: str) -> DataFrame:
+    """Elements of the paragraphs that hold a citation mark."""
+    return D.trim_to_citing(table(spark, d, "scidoc"), _marked(spark, d), ["guid", "parent"]).select("scidoc_id")
+
+
+_PERSON = "(SELECT \"GUID\" AS guid, coalesce(json_extract_string(metadata, '$.given'), '') AS given, coalesce(json_extract_string(metadata, '$.middle'), '') AS middle, coalesce(json_extract_string(metadata, '$.family'), '') AS family FROM authors WHERE metadata IS NOT NULL AND \"GUID\" IS NOT NULL)"
+
+
+@query(f"WITH p AS (SELECT DISTINCT * FROM {_PERSON}) SELECT p.guid AS rec_id, min(q.guid) AS author_id FROM p JOIN p q USING (given, middle, family) GROUP BY 1")
+def j_author_match(spark: SparkSession, d: str) -> DataFrame:
+    """Author records by equal given, middle and family names: the least id that bears one of a record's names."""
+    m = F.from_json("metadata", "given string, middle string, family string")
+    p = table(spark, d, "authors").where("metadata is not null and GUID is not null").select(F.col("GUID").alias("author_id"), *[F.coalesce(m[c], F.lit("")).alias(c) for c in ("given", "middle", "family")]).distinct()
+    recs = p.select(F.col("author_id").alias("rec_id"), F.lit(None).cast("string").alias("author_id"), "given", "middle", "family")
+    return J.match_by_author(recs, p)
+
+
+@query(f"""WITH q AS {_QT}, o AS (SELECT query_id, min(pos) AS pos, term FROM (SELECT item_id AS query_id, w[i] AS term, i - 1 AS pos FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT item_id, list_filter(regexp_extract_all(lower(text), '{_T}'), lambda x: NOT regexp_matches(x, '^\\d') AND x NOT IN {_STOP}) AS w FROM benchmark))) GROUP BY 1, 3)
+SELECT query_id, md5(string_agg(f || ':"' || term || '"^' || (b * c)::DOUBLE::VARCHAR, ' OR ' ORDER BY pos, f)) AS digest FROM q JOIN o USING (query_id, term), (VALUES ('head', 2.0), ('text', 1.0)) v(f, b) GROUP BY 1""")
+def i_query_string(spark: SparkSession, d: str) -> DataFrame:
+    q = I.query_string(R._query_terms(spark, d), _FIELDS)
+    return q.select("query_id", F.md5(F.col("query").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {_HITS}, ts AS (SELECT query_id, guid, term, max(qw * fw) AS s FROM hits GROUP BY 1, 2, 3) SELECT query_id, round(sum(s) FILTER (term IN ('is', 'are', 'we', 'this', 'that')) / sum(s), 6) AS share FROM ts GROUP BY 1")
+def k_stopword_share(spark: SparkSession, d: str) -> DataFrame:
+    """What part of each query's score common words make."""
+    s = K.shares(K.term_scores(R._hits(spark, d)), ["is", "are", "we", "this", "that"])
+    return s.select("query_id", F.round(F.nullif("share", F.lit(0.0)), 6).alias("share"))
+
+
+@query(f"""WITH w AS (SELECT DISTINCT g, unnest(regexp_extract_all(lower(norm_title), '{_T}')) AS term FROM {_CURRENT}), i AS (SELECT term, count(*) AS df FROM w GROUP BY 1), n AS (SELECT count(*) AS n FROM {_CURRENT}), e AS {_PAIRS}
+SELECT e.a AS doc, e.b AS other, count(*) AS n_shared, round(sum(ln(n / df)), 5) AS weight FROM e JOIN w x ON x.g = e.a JOIN w y ON y.g = e.b AND y.term = x.term JOIN i ON i.term = x.term, n GROUP BY 1, 2""")
+def j_overlap_by_index(spark: SparkSession, d: str) -> DataFrame:
+    """Words that the titles of a citing and a cited paper share, with what their rarity weighs."""
+    p = J.current(table(spark, d, "papers"))
+    words = p.select(F.col("GUID").alias("doc"), F.explode(X.tokens("norm_title")).alias("term")).distinct()
+    index = words.groupBy("term").agg(F.count("*").alias("df")).withColumn("n", p.agg(F.count("*")).scalar())
+    links = table(spark, d, "links").select(guid_key("GUID_from").alias("doc"), guid_key("GUID_to").alias("other")).where("doc <> '' and other <> ''").distinct()
+    others = links.join(words.select(F.col("doc").alias("other"), "term"), "other")
+    return J.overlap_by_index(words, others, index).withColumn("weight", F.round("weight", 5))
+
+
+@query("SELECT vec_id, CASE WHEN label > 0 THEN (1.0 / (1.0 / label))::INT ELSE -1 END AS rank, (label * label)::DOUBLE AS square FROM embeddings")
+def t_ranks(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", X.rank_of_mrr(F.when(F.col("label") > 0, F.lit(1.0) / F.col("label")).otherwise(F.lit(0.0))).alias("rank"), X.quadratic(F.col("label").cast("double")).alias("square"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import io
 import tempfile
 import uuid
@@ -25,10 +27,30 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or folder
 
 
+#: Tables of this application that are still in the shared folder.
+_made: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _made.discard(path)
+
+
+@atexit.register
+def _clean() -> None:
+    """At the end of the application its tables go, since what reads them ends with it."""
+    spark = SparkSession.getActiveSession()
+    for path in list(_made):
+        with contextlib.suppress(Exception):
+            _delete(spark, path)
+
+
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
@@ -42,14 +64,14 @@ def bucketed(df: DataFrame, key: str, name: str = "stage") -> DataFrame:
     df.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{own}").saveAsTable(own)
     out = spark.table(own)
     out.written_at = f"{shared_dir(spark)}/{own}"
+    _made.add(out.written_at)
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing reads any more, and let the driver forget the shuffles and broadcasts that made them."""
     for df in tables:
-        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.written_at)
     if tables:
         # Spark's cleaner removes what the collector finds unreachable; a loop leaves much of it behind long before the heap is full.
         tables[0].sparkSession.sparkContext._jvm.System.gc()
