@@ -476,7 +476,7 @@ def t_annotated_numbers(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH post AS {_POST}, t AS (SELECT term, count(*) AS df FROM post WHERE field = 'text' GROUP BY 1), m AS (SELECT max(df) AS m FROM t), g AS (SELECT DISTINCT term FROM {_QT}), d AS (SELECT unnest([2.0, 1.7, 1.3, 1.0, 0.7]::DOUBLE[]) AS divisor), x AS (SELECT divisor, df <= m / divisor AS pred, g.term IS NOT NULL AS gold FROM t LEFT JOIN g USING (term) CROSS JOIN m CROSS JOIN d) SELECT divisor, round(2 * count(*) FILTER (pred AND gold) / (count(*) FILTER (pred) + count(*) FILTER (gold)), 6) AS f1 FROM x GROUP BY 1")
 def k_divisor_sweep(spark: SparkSession, d: str) -> DataFrame:
     """How well rare terms agree with those of the items, by the divisor of the greatest frequency."""
-    t = R._index(spark, d).terms.where("field = 'text'")
+    t = R._index(spark, d).stored.terms.where("field = 'text'")
     return K.divisor_sweep(t, R._query_terms(spark, d), [2.0, 1.7, 1.3, 1.0, 0.7]).withColumn("f1", F.round("f1", 6))
 
 

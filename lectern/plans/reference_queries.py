@@ -18,7 +18,7 @@ from lectern.operators import reports as A
 from lectern.operators import retrieval as I  # noqa: E741
 from lectern.operators import sequence as W
 from lectern.operators import similarity as G
-from lectern.plans.session import table, written
+from lectern.plans.session import kept, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -313,8 +313,14 @@ _MATCH = f"match AS (SELECT DISTINCT b.id AS query_id, d.id AS guid FROM {_shing
 
 
 def _index(spark: SparkSession, d: str) -> I.Index:
-    docs = table(spark, d, "documents").select("doc_id", "text", F.regexp_extract("text", "^[^.!?]*", 0).alias("head"))
-    return I.build(docs, "doc_id", ["head", "text"])
+    """The index of the documents, written once in an application: whole texts, and what stands before their first stop."""
+
+    def make() -> tuple:
+        docs = table(spark, d, "documents").select("doc_id", "text", F.regexp_extract("text", "^[^.!?]*", 0).alias("head"))
+        index = I.build(docs, "doc_id", ["head", "text"])
+        return index.stored.postings, index.stored.terms, index
+
+    return kept(spark, ("index", d), make)[-1]
 
 
 def _query_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -343,7 +349,7 @@ def _rounded(scores: DataFrame) -> DataFrame:
 
 @query(f"WITH post AS {_POST} SELECT field, term, count(*) AS df, sum(tf) AS ttf FROM post GROUP BY 1, 2")
 def i_doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d).terms
+    return _index(spark, d).stored.terms
 
 
 @query(f"SELECT query_id, term, c AS count FROM {_QT}")
@@ -389,7 +395,7 @@ def i_within_candidates(spark: SparkSession, d: str) -> DataFrame:
     m = _matches(spark, d)
     there = table(spark, d, "documents").select(F.col("doc_id").alias("guid"))
     cand = m.union(m.select("query_id", F.col("guid") + 1).toDF("query_id", "guid").join(there, "guid", "left_semi").select("query_id", "guid")).distinct()
-    return I.score(I.within_candidates(_index(spark, d), _query_terms(spark, d), cand), _FIELDS).withColumn("score", F.round("score", 4))
+    return I.score(I.within_candidates(_index(spark, d).stored, _query_terms(spark, d), cand), _FIELDS).withColumn("score", F.round("score", 4))
 
 
 # ---- metrics ----
@@ -503,8 +509,13 @@ _KW = f"{_HITS}, {_SCORES}, {_TOP}, {_MATCH}, {_NORM}"
 
 def _explained(spark: SparkSession, d: str) -> tuple[I.Index, DataFrame, DataFrame, DataFrame, DataFrame]:
     """The index, the query terms, the 200 retrieved of each query, its matches, and the leaves of both."""
-    index, q, m = _index(spark, d), written(_query_terms(spark, d), "terms"), written(_matches(spark, d), "matches")
-    top = written(I.top(_rounded(I.score(I.formula_hits(index, q), _FIELDS))).select("query_id", "guid", "rank"), "top")
+    index = _index(spark, d)
+
+    def make() -> tuple:
+        q = written(_query_terms(spark, d), "terms")
+        return q, written(_matches(spark, d), "matches"), written(I.top(_rounded(I.score(I.formula_hits(index, q), _FIELDS))).select("query_id", "guid", "rank"), "top")
+
+    q, m, top = kept(spark, ("retrieved", d), make)
     return index, q, top, m, I.formula_hits(index, q, pairs=top.select("query_id", "guid").union(m))
 
 
@@ -575,7 +586,7 @@ def k_ngrams(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH post AS {_POST}, t AS (SELECT field, term, count(*) AS df FROM post GROUP BY 1, 2) SELECT field, term, df FROM t WHERE df >= 0.4 * (SELECT max(df) FROM t) AND length(term) BETWEEN 2 AND 6")
 def k_corpus_stopwords(spark: SparkSession, d: str) -> DataFrame:
-    return K.corpus_stopwords(_index(spark, d).terms)
+    return K.corpus_stopwords(_index(spark, d).stored.terms)
 
 
 # ---- reports ----
@@ -609,7 +620,7 @@ def a_years(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH post AS {_POST}, t AS (SELECT term, sum(tf) AS c FROM post WHERE field = 'text' GROUP BY 1), s AS (SELECT v.size, right(term, v.size) AS suffix, sum(c) AS n FROM t, (VALUES (2), (3), (4)) v(size) WHERE length(term) > v.size GROUP BY 1, 2) SELECT size, suffix, n FROM (SELECT *, row_number() OVER (PARTITION BY size ORDER BY n DESC, suffix) AS k FROM s) WHERE k <= 50")
 def a_suffixes(spark: SparkSession, d: str) -> DataFrame:
-    return A.suffixes(_index(spark, d).terms.where("field = 'text'"), "term", F.col("ttf"))
+    return A.suffixes(_index(spark, d).stored.terms.where("field = 'text'"), "term", F.col("ttf"))
 
 
 @query("SELECT bucket, count(*) AS n, round(avg(n_chars), 6) AS mean FROM (SELECT n_chars, ntile(50) OVER (ORDER BY doc_id) AS bucket FROM documents) GROUP BY 1")
@@ -687,7 +698,7 @@ def w_bigrams(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH post AS {_POST}, t AS (SELECT term, count(*) AS df FROM post WHERE field = 'text' GROUP BY 1), n AS (SELECT count(*) AS n FROM documents) SELECT guid, round(sum(sqrt(tf) * (1 + ln(n / (df + 1)))), 4) AS weight, count(*) AS n_terms FROM post JOIN t USING (term), n WHERE field = 'text' GROUP BY 1")
 def x_tf_idf(spark: SparkSession, d: str) -> DataFrame:
-    i = _index(spark, d)
+    i = _index(spark, d).stored
     t = i.postings.where("field = 'text'").join(i.terms.where("field = 'text'").select("term", "df"), "term").withColumn("n_docs", i.n_docs.scalar())
     return t.groupBy("guid").agg(F.round(F.sum(L.tf_idf(F.col("tf"), F.col("df"), F.col("n_docs"))), 4).alias("weight"), F.count("*").alias("n_terms"))
 
@@ -760,7 +771,7 @@ def i_document_norm(spark: SparkSession, d: str) -> DataFrame:
 def f_term_filter(spark: SparkSession, d: str) -> DataFrame:
     from lectern.operators.terms import filter_terms
 
-    return filter_terms(_index(spark, d).terms, 3, 200, 4).where(F.col("term").rlike("^[a-z]+$")).select("field", "term", "df")
+    return filter_terms(_index(spark, d).stored.terms, 3, 200, 4).where(F.col("term").rlike("^[a-z]+$")).select("field", "term", "df")
 
 
 @query(f"""WITH w AS (SELECT DISTINCT g AS guid, unnest(regexp_extract_all(lower(norm_title), '{_T}')) AS term FROM {_CURRENT}), e AS {_PAIRS} SELECT e.a AS guid, e.b AS "to", count(*) AS n_shared FROM e JOIN w x ON x.guid = e.a JOIN w y ON y.guid = e.b AND y.term = x.term GROUP BY 1, 2""")

@@ -8,6 +8,7 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +78,23 @@ def discard(*tables: DataFrame) -> None:
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+_kept: dict[tuple, tuple] = {}
+
+
+def kept(spark: SparkSession, name: tuple, make: Callable[[], tuple]) -> tuple:
+    """What ``make`` gives - tables of ``written`` and ``bucketed`` among other things - made once in an application, and again if any of them is gone."""
+    key = (spark.sparkContext.applicationId, *name)
+    if key in _kept and all(_exists(spark, x.written_at) for x in _kept[key] if hasattr(x, "written_at")):
+        return _kept[key]
+    _kept[key] = make()
+    return _kept[key]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def tasks(spark: SparkSession) -> int:
     """Reduce-side tasks to plan for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
