@@ -57,8 +57,8 @@ _CLOSE = {c for c in _OPEN.values()}
 _QUOTES = "“«„「『‹\"‚"
 _WORD_BEFORE = regex.compile(r"(?:[\p{L}\p{M}](?:[\p{L}\p{M}\p{N}]|[./’'-](?=[\p{L}\p{M}]))*|\p{N}+(?:[.,]\p{N}+)*)$")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-#: Words as they stand before a dot, those with dots inside as one.
-_DOTTABLE = regex.compile(r"[\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*")
+#: Words with dots inside, each as one.
+_DOTTABLE = regex.compile(r"[\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)+")
 _ITEM = regex.compile(r"(?:\(?(?:\d{1,3}|[a-zA-Z]|[ivxlc]{1,5})[.)]|[•▪·*–-])\s+(?=\S)")
 _CASELESS = regex.compile(r"[\p{Lo}]")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
@@ -100,8 +100,7 @@ def train(texts: DataFrame, text: str) -> Model:
                     seen["n", "thai" if _UNSPACED.match(o) else "word"] += 1
                 for w, inside in _dotted(t):
                     seen["d" if inside else "e", w] += 1
-                for w in _DOTTABLE.findall(t):
-                    seen["w", w.lower()] += 1
+                seen.update(("w", w.lower()) for w in [*_TOKEN.findall(t), *_DOTTABLE.findall(t)])
             yield pd.DataFrame([(k, w, n) for (k, w), n in seen.items()], columns=["kind", "word", "n"])
 
     counts = texts.select(text).mapInPandas(count, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
