@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -347,6 +347,11 @@ def _rounded(scores: DataFrame) -> DataFrame:
     return scores.withColumn("score", F.round("score", 9))
 
 
+def _product_rounded(name: str, n: int) -> Column:
+    """To n decimals as the SQL has it: the product with 10^n is rounded. ``F.round`` goes by the decimal digits of the value itself, and differs where these end in a half."""
+    return (F.round(F.col(name) * 10.0**n, 0) / 10.0**n).alias(name)
+
+
 @query(f"WITH post AS {_POST} SELECT field, term, count(*) AS df, sum(tf) AS ttf FROM post GROUP BY 1, 2")
 def i_doc_freq(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).stored.terms
@@ -575,7 +580,7 @@ def k_compare_transforms(spark: SparkSession, d: str) -> DataFrame:
 def k_transforms(spark: SparkSession, d: str) -> DataFrame:
     """Every transform but the two random ones, side by side."""
     w = _rounded(_combined(spark, d)[0]).withColumnRenamed("score", "weight")
-    return K.transform_all(w, list(_RAW_TRANSFORMS)).select("query_id", "term", *[F.round(n, 3 if n == "invert" else 6).alias(n) for n in _RAW_TRANSFORMS])
+    return K.transform_all(w, list(_RAW_TRANSFORMS)).select("query_id", "term", *[_product_rounded(n, 3 if n == "invert" else 6) for n in _RAW_TRANSFORMS])
 
 
 @query(f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{_T}') AS w FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM t WHERE len(w) >= 2))

@@ -350,3 +350,14 @@ def test_minimal_set_of_the_query_tries_every_term(spark, tmp_path):
     spark.createDataFrame([("q", " ".join(words))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = QUERIES["k_minimal_set"](spark, str(tmp_path)).collect()
     assert [(x["n_terms"], x["rank"]) for x in got] == [(10, 1.0)]
+
+
+def test_transforms_round_as_their_sql(spark):
+    import duckdb
+
+    from lectern.plans.reference_queries import _product_rounded
+
+    halves = [0.0161822 * 2 + 1e-7, 0.0323645, 0.2752685, 0.0002465, 1.0012035, 1.0005425, -0.0323645, 2.5e-07, 1234.0000005, 0.0]
+    got = [x["x"] for x in spark.createDataFrame(list(enumerate(halves)), "i int, x double").select("i", _product_rounded("x", 6)).orderBy("i").collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in halves]
+    assert [x["x"] for x in spark.createDataFrame([(None,)], "x double").select(_product_rounded("x", 6)).collect()] == [None]
