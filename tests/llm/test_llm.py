@@ -415,3 +415,37 @@ def test_matching_in_a_bucket_of_a_third_of_the_papers(spark, monkeypatch):
 
     whole = found(10**6)
     assert len(whole) >= 70 and found(4) == whole
+
+
+def test_matching_exchanges_few_tables_at_a_time(spark, monkeypatch):
+    from pathlib import Path
+
+    from lectern.llm import matching
+    from lectern.plans import session
+
+    works = _works(120)
+    records = [(i, s.split("; ")[0], t[:6] + t[7:], None, y, None) for i, (_, t, s, y, _) in enumerate(works[::2])]
+    A = spark.createDataFrame(records, "rec_id bigint, author string, title string, venue string, year string, doi string")
+    P = spark.createDataFrame(works, "GUID string, norm_title string, surnames string, year string, DOI string")
+    write, names = session.written, []
+
+    def noted(df, name="stage"):
+        out = write(df, name)
+        names.append((name, out.written_at.removeprefix("file:")))
+        return out
+
+    monkeypatch.setattr(session, "written", noted)
+
+    def found(rows):
+        names.clear()
+        monkeypatch.setattr(matching, "ROUND_ROWS", rows, raising=False)
+        return {tuple(x) for x in matching.match_records(A, P).collect()}
+
+    whole, at_once = found(10**9), [n for n, _ in names]
+    monkeypatch.setattr(matching, "ROUND_PAIRS", 0)
+    parts = found(30)
+    kinds = [n for n, _ in names]
+    assert len(whole) >= 50 and parts == whole
+    assert at_once.count("met") == 1 and kinds.count("met") == -(-sum(n for _, n in matching.tables_of(8)) // matching.ROUND_TABLES) and kinds.count("scored") > 1
+    # What has been used is gone.
+    assert {n for n, p in names if Path(p).exists()} == {"scored"}
