@@ -664,8 +664,9 @@ def g_dice(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_CC}, d AS (SELECT a, b, dice FROM s UNION ALL SELECT b, a, dice FROM s), seeds AS (SELECT DISTINCT l_suppkey AS set_id, l_partkey AS item FROM lineitem), sc AS (SELECT set_id, b AS item, sum(dice) AS score FROM seeds JOIN d ON d.a = seeds.item GROUP BY 1, 2)
 SELECT set_id, item, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY round(score, 9) DESC, item) AS k FROM sc ANTI JOIN seeds USING (set_id, item)) WHERE k <= 5""")
 def g_expand(spark: SparkSession, d: str) -> DataFrame:
-    seeds = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("item")).distinct()
-    return G.expand(_similar(spark, d), seeds, 5).select("set_id", "item", "score").withColumn("score", F.round("score", 6))
+    items = table(spark, d, "lineitem")
+    seeds = items.select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("item")).distinct()
+    return G.expand(G.stored_dice(items, "l_orderkey", "l_partkey"), seeds, 5, stored=True).select("set_id", "item", "score").withColumn("score", F.round("score", 6))
 
 
 # ---- sequences and features ----

@@ -361,3 +361,33 @@ def test_transforms_round_as_their_sql(spark):
     got = [x["x"] for x in spark.createDataFrame(list(enumerate(halves)), "i int, x double").select("i", _product_rounded("x", 6)).orderBy("i").collect()]
     assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in halves]
     assert [x["x"] for x in spark.createDataFrame([(None,)], "x double").select(_product_rounded("x", 6)).collect()] == [None]
+
+
+def test_expansion_in_rounds_equals_the_whole(spark, monkeypatch):
+    import random
+    from pathlib import Path
+
+    from lectern.operators import similarity as G
+    from lectern.plans import session
+
+    r = random.Random(4)
+    cited = {(p, r.randrange(30)) for p in range(40) for _ in range(r.randrange(1, 6))} | {(99, i) for i in range(12)}
+    c = spark.createDataFrame([*cited, (None, 1), (3, None)], "p int, i int")
+    seeds = spark.createDataFrame([(s, i) for s in range(5) for i in r.sample(range(30), 4)], "set_id int, item int")
+    want = sorted(G.expand(G.dice(*G.cocitation(c, "p", "i")), seeds).collect())
+    write, names = session.written, []
+
+    def noted(df, name="stage"):
+        out = write(df, name)
+        names.append((name, out.written_at.removeprefix("file:")))
+        return out
+
+    monkeypatch.setattr(session, "written", noted)
+    monkeypatch.setattr(G, "ROUND_ROWS", 60)
+    monkeypatch.setattr(G, "ROUND_PAIRS", 0.5)
+    monkeypatch.setattr(G, "BLOCK", 5)
+    monkeypatch.setattr(G, "ROUND_HITS", 1)
+    got = G.expand(G.stored_dice(c, "p", "i"), seeds, stored=True)
+    assert sorted(got.collect()) == want and len(want) == 25
+    kinds = [n for n, _ in names]
+    assert kinds.count("dice") > 1 and kinds.count("best") > 1 and {n for n, p in names if Path(p).exists()} == {"dice", "best"}
