@@ -212,8 +212,9 @@ def similar_titles(refs: DataFrame, papers: DataFrame, least: float = 0.9) -> Da
         return marked.select(key, F.explode("blocks").alias("block"), "year").select(key, F.xxhash64("year", "block").alias("block"))
 
     a, b = (df.where("norm_title <> '' and year is not null") for df in (refs, papers))
-    pairs = blocks(a, "ref_id", title_probes).join(blocks(b, "guid", title_segments), "block").select("ref_id", "guid").distinct()
-    whole = pairs.join(a.select("ref_id", "norm_title", "year"), "ref_id").join(b.select("guid", F.col("norm_title").alias("title"), F.col("year").alias("y")), "guid").where("year = y")
+    # Spark takes the exploded marks to be as small as the titles and would broadcast them through the driver.
+    pairs = blocks(a, "ref_id", title_probes).join(blocks(b, "guid", title_segments).hint("merge"), "block").select("ref_id", "guid").distinct()
+    whole = pairs.join(a.select("ref_id", "norm_title", "year").hint("merge"), "ref_id").join(b.select("guid", F.col("norm_title").alias("title"), F.col("year").alias("y")).hint("merge"), "guid").where("year = y")
     sim = 1 - F.levenshtein("norm_title", "title") / F.greatest(F.length("norm_title"), F.length("title"))
     return whole.select("ref_id", "guid", sim.alias("similarity")).distinct().where(F.col("similarity") > least)
 

@@ -391,3 +391,11 @@ def test_expansion_in_rounds_equals_the_whole(spark, monkeypatch):
     assert sorted(got.collect()) == want and len(want) == 25
     kinds = [n for n, _ in names]
     assert kinds.count("dice") > 1 and kinds.count("best") > 1 and {n for n, p in names if Path(p).exists()} == {"dice", "best"}
+
+
+def test_similar_titles_broadcast_nothing(spark, tmp_path):
+    spark.createDataFrame([(1, "plain title of old", 2001)], "ref_id int, norm_title string, year int").write.parquet(f"{tmp_path}/refs")
+    spark.createDataFrame([("g", "plain title of olf", 2001)], "guid string, norm_title string, year int").write.parquet(f"{tmp_path}/papers")
+    got = J.similar_titles(spark.read.parquet(f"{tmp_path}/refs"), spark.read.parquet(f"{tmp_path}/papers"))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(x["ref_id"], x["guid"]) for x in got.collect()] == [(1, "g")]
