@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import sigmoid
 
+if TYPE_CHECKING:
+    from lectern.operators.retrieval import Index
 
-#: Points of running sums that one broadcast holds, and cells of a table of running sums.
-CURVE_POINTS = 1_000_000
-CELLS = 1_000_000
+
+#: Points of running sums that one broadcast holds.
+CURVE_POINTS = 8_000_000
 
 
 def term_scores(hits: DataFrame, how: str = "max") -> DataFrame:
@@ -52,83 +54,122 @@ def best(scores: DataFrame, n: int | None) -> DataFrame:
     return r if n is None else r.where(F.col("rank") <= n)
 
 
-def _curve(n: np.ndarray, s: np.ndarray, last: int) -> np.ndarray:
-    run = np.zeros(last + 1)
-    run[n] = s
-    return np.cumsum(run)
-
-
 def minimal_set(scores: DataFrame, hits: DataFrame, matches: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(query_id, n_terms, rank): the shortest prefix of the terms by score whose matches rank best on average, among all documents.
 
-    A document's score at every prefix is a running sum over its terms. The running sums of the matches are sent to the documents, in blocks of at most
-    CURVE_POINTS points, and each part of the documents counts by how many of its own each match is beaten at each prefix; only these counts are exchanged.
-    Matches without a term of a prefix don't count in its average; queries without any rank are left out.
+    Matches without a term of a prefix don't count in its average; queries without any rank are left out. Running sums that agree in seven decimals tie.
+    """
+    from lectern.operators.retrieval import _weight
+
+    own = hits.groupBy("query_id", "guid", "term").agg(F.coalesce(F.sum(F.col("qw") * F.col("fw") * _weight(weights)), F.lit(0.0)).alias("value"))
+
+    def values(numbers: DataFrame) -> DataFrame:
+        return own.where("guid is not null").join(F.broadcast(numbers), ["query_id", "term"]).select("guid", "slot", "value").repartition("guid").sortWithinPartitions("guid")
+
+    return _minimal(best(scores, None).select("query_id", "term", F.col("rank").alias("n"), F.lit(1.0).alias("by")), matches, values, ["query_id", "term"])
+
+
+def minimal_set_of(index: Index, query: DataFrame, scores: DataFrame, matches: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """``minimal_set`` over all hits of the queries (query_id, term, count), which are not made."""
+    from lectern.operators.retrieval import values
+
+    ranked = best(scores, None).join(query, ["query_id", "term"], "left").select("query_id", "term", F.col("rank").alias("n"), F.coalesce(F.col("count").cast("double"), F.lit(0.0)).alias("by"))
+    return _minimal(ranked, matches, lambda numbers: values(index, numbers, weights), ["term"])
+
+
+def _minimal(ranked: DataFrame, matches: DataFrame, values: Callable[[DataFrame], DataFrame], key: list[str]) -> DataFrame:
+    """``minimal_set`` of terms in their order (query_id, term, n, by) over ``values`` (guid, slot, value) of terms numbered by ``key``, where a value counts ``by`` times.
+
+    The running sums of the matches are sent to the documents in sorted order, in blocks of about CURVE_POINTS points. The ranks of a prefix's matches sum to
+    the number of matches that each document beats there, so only these sums are exchanged.
     """
-    from lectern.operators.retrieval import BLOCK_TERMS, _weight
+    from lectern.operators.retrieval import BLOCK_TERMS, blocks
     from lectern.plans.session import written
 
-    ranked = written(best(scores, None).select("query_id", "term", F.col("rank").alias("n")), "terms")
-    ranked = F.broadcast(ranked) if ranked.count() <= BLOCK_TERMS else ranked
-    parts = hits.groupBy("query_id", "guid", "term").agg(F.coalesce(F.sum(F.col("qw") * F.col("fw") * _weight(weights)), F.lit(0.0)).alias("s")).join(ranked, ["query_id", "term"]).select("query_id", "guid", "n", "s")
-    last = ranked.groupBy("query_id").agg(F.max("n").alias("last"))
-    own = parts.join(matches.select("query_id", "guid").distinct(), ["query_id", "guid"], "left_semi").join(last, "query_id")
-    curves = written(own.groupBy("query_id", "guid", "last").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("points")), "curves")
-    points = curves.agg(F.sum("last")).first()[0] or 0
-    blocks = max(1, -(-points // CURVE_POINTS))
-    kinds = {c: hits.schema[c].dataType.simpleString() for c in ("query_id", "guid")}
-    schema = f"query_id {kinds['query_id']}, guid {kinds['guid']}, n int, beaten bigint"
-    placed = parts.sortWithinPartitions("query_id", "guid")
-    counted = None
-    for k in range(blocks):
-        block = curves if blocks == 1 else curves.where(F.pmod(F.xxhash64("query_id", "guid"), F.lit(blocks)) == k)
-        sent: dict = {}
-        for r in block.collect():
-            n, s = (np.array(x) for x in zip(*r["points"], strict=True))
-            sent.setdefault(r["query_id"], []).append((r["guid"], _curve(n, s, r["last"])))
-        shared = scores.sparkSession.sparkContext.broadcast(sent)
-
-        def count(batches, shared=shared):  # noqa: ANN001, ANN202
-            held = None
-            for b in itertools.chain(batches, [None]):
-                if b is None:
-                    whole, held = held, None
-                else:
-                    b = b if held is None else pd.concat([held, b], ignore_index=True)
-                    tail = (b["query_id"].eq(b["query_id"].iloc[-1]) & b["guid"].eq(b["guid"].iloc[-1])).to_numpy() if len(b) else np.zeros(0, bool)
-                    whole, held = b[~tail], b[tail]
-                if whole is None or not len(whole):
-                    continue
-                for q, g in whole.groupby("query_id", sort=False):
-                    if q in shared.value:
-                        yield from _beaten(q, g, shared.value[q])
-
-        got = placed.mapInPandas(count, schema)
-        counted = got if counted is None else counted.unionByName(got)
-    per = counted.groupBy("query_id", "guid", "n").agg((F.sum("beaten") + 1).alias("rank"))
-    per = per.groupBy("query_id", "n").agg(F.avg("rank").alias("rank"))
-    return per.groupBy("query_id").agg(F.min(F.struct("rank", "n")).alias("b")).select("query_id", F.col("b.n").alias("n_terms"), F.col("b.rank").alias("rank"))
-
-
-def _beaten(query: object, rows: pd.DataFrame, curves: list[tuple[object, np.ndarray]]) -> Iterator[pd.DataFrame]:
-    """For each match of a query and each prefix: how many documents of ``rows`` rank before it."""
-    at, docs = pd.factorize(rows["guid"], sort=True)
-    last = len(curves[0][1]) - 1
-    n, s = rows["n"].to_numpy(), rows["s"].to_numpy()
-    totals = np.zeros((len(curves), last + 1), np.int64)
-    step = max(1, CELLS // (last + 1))
-    for lo in range(0, len(docs), step):
-        part = (at >= lo) & (at < lo + step)
-        table = np.zeros((min(step, len(docs) - lo), last + 1))
-        table[at[part] - lo, n[part]] = s[part]
-        table = np.cumsum(table, axis=1)
-        for i, (guid, curve) in enumerate(curves):
-            before = np.asarray(docs[lo : lo + step] < guid)[:, None]
-            totals[i] += ((table > curve) | ((table == curve) & before)).sum(axis=0)
-    for (guid, curve), total in zip(curves, totals, strict=True):
-        live = np.flatnonzero(curve > 0)
-        if len(live):
-            yield pd.DataFrame({"query_id": [query] * len(live), "guid": [guid] * len(live), "n": live.astype("int32"), "beaten": total[live]})
+    spark = matches.sparkSession
+    m = matches.select("query_id", "guid").distinct()
+    ranked = written(ranked, "terms")
+    size = ranked.groupBy("query_id").agg(F.count("*").alias("terms")).join(m.groupBy("query_id").agg(F.count("*").alias("m")), "query_id")
+    n_points, n_terms = size.agg(F.sum(F.col("terms") * F.col("m")), F.sum("terms")).first()
+    n = max(-(-(n_points or 0) // CURVE_POINTS), -(-(n_terms or 0) // BLOCK_TERMS))
+    kind, counted = ranked.schema["query_id"].dataType.simpleString(), []
+    schema = f"query_id {kind}, n int, beaten bigint, live bigint"
+    for terms, own in zip(blocks(ranked.join(m.select("query_id").distinct(), "query_id", "left_semi"), n), blocks(m, n), strict=True):
+        slots: dict = {}
+        of: dict = {}
+        for r in sorted(terms.collect(), key=lambda r: r["n"]):
+            of.setdefault(r["query_id"], []).append((slots.setdefault(tuple(r[k] for k in key), len(slots)), r["by"]))
+        placed = values(spark.createDataFrame([(*k, i) for k, i in slots.items()], ", ".join(f"{k} {ranked.schema[k].dataType.simpleString()}" for k in key) + ", slot long"))
+        places = spark.createDataFrame([(q, i) for q, ts in of.items() for i, _ in ts], f"query_id {kind}, slot long")
+        points = placed.join(own, "guid").join(F.broadcast(places), ["query_id", "slot"]).groupBy("query_id", "guid", "slot").agg(F.sum("value").alias("value")).toArrow().to_pandas()
+        plan, live = [], []
+        for q, rows in points.groupby("query_id", sort=False):
+            q = q.item() if hasattr(q, "item") else q
+            at, by = np.array([i for i, _ in of[q]]), np.array([x for _, x in of[q]])
+            curves = _Curves(rows, at, by)
+            plan.append((q, at, by, curves))
+            live += [(q, k, 0, int(c)) for k, c in enumerate(np.diff(curves.starts), 1)]
+        shared = spark.sparkContext.broadcast(plan)
+
+        def count(batches, shared=shared, n=len(slots)):  # noqa: ANN001, ANN202
+            from lectern.operators.retrieval import tables
+
+            totals = [np.zeros(len(at), np.int64) for _, at, _, _ in shared.value]
+            for guids, table in tables(batches, n):
+                for (_, at, by, curves), total in zip(shared.value, totals, strict=True):
+                    curves.beaten(guids, np.cumsum(table[at] * by[:, None], axis=0), total)
+            for (q, *_), total in zip(shared.value, totals, strict=True):
+                yield pd.DataFrame({"query_id": [q] * len(total), "n": np.arange(1, len(total) + 1, dtype=np.int32), "beaten": total, "live": np.zeros(len(total), np.int64)})
+
+        counted.append(written(placed.mapInPandas(count, schema).unionByName(spark.createDataFrame(live, schema)), "beaten"))
+        shared.destroy()
+    per = reduce(DataFrame.unionByName, counted).groupBy("query_id", "n").agg(F.sum("beaten").alias("beaten"), F.sum("live").alias("live")).where("live > 0")
+    per = per.withColumn("rank", (F.col("beaten") + F.col("live")) / F.col("live"))
+    return per.groupBy("query_id").agg(F.min(F.struct(F.round("rank", 9), "n", "rank")).alias("b")).select("query_id", F.col("b.n").alias("n_terms"), F.col("b.rank").alias("rank"))
+
+
+class _Curves:
+    """The running sums of a query's matches in sevenths of decimals: those above 0, sorted within each prefix, with their guids' places for ties."""
+
+    def __init__(self, rows: pd.DataFrame, slots: np.ndarray, by: np.ndarray) -> None:
+        at, guids = pd.factorize(rows["guid"], sort=True)
+        self.guids = np.asarray(guids)
+        table = np.zeros((len(slots), len(guids)))
+        order = np.argsort(slots)
+        table[order[np.searchsorted(slots[order], rows["slot"].to_numpy())], at] = rows["value"].to_numpy()
+        sums = self.whole(np.cumsum(table * by[:, None], axis=0))
+        place = np.argsort(sums, axis=1, kind="stable")
+        sums = np.take_along_axis(sums, place, axis=1)
+        live = sums > 0
+        self.step = int(sums.max(initial=0)) + 2
+        self.starts = np.append(0, np.cumsum(live.sum(axis=1)))
+        self.keys = (sums + self.step * np.arange(len(slots))[:, None])[live]
+        self.places = place[live].astype(np.int32)
+        self.low = np.where(live, sums / 1e7 - 1e-7, np.inf).min(axis=1, initial=np.inf)
+
+    @staticmethod
+    def whole(sums: np.ndarray) -> np.ndarray:
+        return np.rint(sums * 1e7).astype(np.int64)
+
+    def beaten(self, guids: np.ndarray, sums: np.ndarray, total: np.ndarray) -> None:
+        """Add to ``total`` how many matches these documents rank before at each prefix, by ``sums`` (prefixes by documents)."""
+        n, doc = np.nonzero(sums > self.low[:, None])
+        if not len(n):
+            return
+        key = n * self.step + np.minimum(self.whole(sums[n, doc]), self.step - 1)
+        lo = np.searchsorted(self.keys, key)
+        got = lo - self.starts[n]
+        tied = np.flatnonzero(self.keys[np.minimum(lo, len(self.keys) - 1)] == key)
+        if len(tied):
+            # Of equal sums, those of greater guids come after the document; places ascend among them.
+            a, hi = lo[tied], np.searchsorted(self.keys, key[tied], "right")
+            z, own = hi.copy(), np.searchsorted(self.guids, guids, "right")[doc[tied]]
+            while (open_ := a < z).any():
+                mid = np.minimum((a + z) // 2, len(self.places) - 1)
+                less = self.places[mid] < own
+                a, z = np.where(open_ & less, mid + 1, a), np.where(open_ & ~less, mid, z)
+            got[tied] += hi - a
+        total += np.bincount(n, got, len(total)).astype(np.int64)
 
 
 def add_and_drop(hits: DataFrame, matches: DataFrame, scores: DataFrame) -> DataFrame:

@@ -518,7 +518,7 @@ def _explained(spark: SparkSession, d: str) -> tuple[I.Index, DataFrame, DataFra
 
     def make() -> tuple:
         q = written(_query_terms(spark, d), "terms")
-        return q, written(_matches(spark, d), "matches"), written(I.top(_rounded(I.score(I.formula_hits(index, q), _FIELDS))).select("query_id", "guid", "rank"), "top")
+        return q, written(_matches(spark, d), "matches"), written(I.retrieved(index, q, _FIELDS).select("query_id", "guid", "rank"), "top")
 
     q, m, top = kept(spark, ("retrieved", d), make)
     return index, q, top, m, I.formula_hits(index, q, pairs=top.select("query_id", "guid").union(m))
@@ -547,8 +547,7 @@ SELECT query_id, arg_min(n, (round(rank, 9), n))::INT AS n_terms, round(min(rank
 def k_minimal_set(spark: SparkSession, d: str) -> DataFrame:
     """The shortest list of a query's best terms, of all their number, that ranks its matches best among all documents."""
     s, index, q, m = _combined(spark, d)
-    few = q.join(m.select("query_id").distinct(), "query_id", "left_semi")
-    return K.minimal_set(_rounded(s), I.formula_hits(index, few), m, _FIELDS).withColumn("rank", F.round("rank", 6))
+    return K.minimal_set_of(index, q, _rounded(s), m, _FIELDS).withColumn("rank", F.round("rank", 6))
 
 
 _Q = "OVER (PARTITION BY query_id)"

@@ -399,3 +399,75 @@ def test_similar_titles_broadcast_nothing(spark, tmp_path):
     got = J.similar_titles(spark.read.parquet(f"{tmp_path}/refs"), spark.read.parquet(f"{tmp_path}/papers"))
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert [(x["ref_id"], x["guid"]) for x in got.collect()] == [(1, "g")]
+
+
+def _ranking_case(spark, seed):
+    """An index of 60 documents, some of them equal, its queries' terms, and matches."""
+    import random
+
+    r = random.Random(seed)
+    words = [f"w{k}" for k in range(25)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(3, 15))) for _ in range(50)]
+    docs = [(i, t, t[: 2 + len(t) // 3].rsplit(" ", 1)[0]) for i, t in enumerate(texts + texts[:10])] + [(90, None, None)]
+    index = R.build(spark.createDataFrame(docs, "doc_id long, text string, head string").repartition(3), "doc_id", ["head", "text"]).stored
+    q = spark.createDataFrame([(k, w, 1 + i % 2) for k in range(5) for i, w in enumerate(r.sample(words, 8))] + [(0, "unseen", 1)], "query_id int, term string, count int")
+    m = spark.createDataFrame([(k, g) for k in range(5) for g in r.sample(range(60), 1 + 3 * k)] + [(4, 90), (7, 1)], "query_id int, guid long")
+    return index, q, m
+
+
+_TWO = {"head": 2.0, "text": 1.0}
+
+
+def _without_all_hits(monkeypatch):
+    made = R.formula_hits
+
+    def some(index, query, norm="field", pairs=None):
+        assert pairs is not None, "every hit of every query is made"
+        return made(index, query, norm, pairs)
+
+    monkeypatch.setattr(R, "formula_hits", some)
+
+
+def test_minimal_set_over_the_index_equals_that_of_its_hits(spark, monkeypatch):
+    index, q, m = _ranking_case(spark, 3)
+    scores = q.select("query_id", "term", F.pmod(F.xxhash64("term", "query_id"), F.lit(9)).cast("double").alias("score"))
+    hits = R.formula_hits(index, q)
+    order = {}
+    for x in sorted(scores.collect(), key=lambda x: (-x["score"], x["term"])):
+        order.setdefault(x["query_id"], []).append(x["term"])
+    leaves, want = [(x["query_id"], x["guid"], x["term"], x["qw"] * x["fw"] * _TWO[x["field"]]) for x in hits.collect()], {}
+    for k, terms in order.items():
+        tried, run = [], {}
+        for n, t in enumerate(terms, 1):
+            for a, g, b, s in leaves:
+                if (a, b) == (k, t):
+                    run[g] = run.get(g, 0.0) + s
+            at = sorted(run, key=lambda g: (-round(run[g], 7), g))
+            own = [at.index(x["guid"]) + 1 for x in m.collect() if x["query_id"] == k and x["guid"] in run]
+            if own:
+                tried.append((round(sum(own) / len(own), 9), n))
+        want[k] = min(tried)
+    monkeypatch.setattr(K, "CURVE_POINTS", 60)
+    monkeypatch.setattr(R, "TABLE_CELLS", 100)
+    got = lambda x: {r["query_id"]: (round(r["rank"], 9), r["n_terms"]) for r in x.collect()}
+    assert got(K.minimal_set_of(index, q, scores, m, _TWO)) == want
+    assert got(K.minimal_set(scores, hits.repartition(7, "term"), m, _TWO)) == want
+
+
+def test_minimal_set_of_the_query_makes_no_hits(spark, tmp_path, monkeypatch):
+    from lectern.plans.reference_queries import QUERIES
+
+    text = "alpha beta gamma delta epsilon zeta eta theta iota"
+    spark.createDataFrame([(1, text), (2, text + " kappa"), (3, "alpha alpha alpha")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    _without_all_hits(monkeypatch)
+    assert [(x["query_id"], x["rank"]) for x in QUERIES["k_minimal_set"](spark, str(tmp_path)).collect()] == [(5, 1.5)]
+
+
+def test_retrieved_equals_the_top_of_all_hits(spark, monkeypatch):
+    index, q, _ = _ranking_case(spark, 4)
+    rows = lambda df: sorted((x["query_id"], x["rank"], x["guid"], round(x["score"], 8)) for x in df.collect())
+    want = rows(R.top(R.score(R.formula_hits(index, q), _TWO).withColumn("score", F.round("score", 9)), 7))
+    monkeypatch.setattr(R, "TABLE_CELLS", 100)
+    monkeypatch.setattr(R, "HELD", 8)
+    assert rows(R.retrieved(index, q, _TWO, 7)) == want and len(want) == 35
