@@ -273,18 +273,25 @@ def transform_all(weights: DataFrame, names: list[str]) -> DataFrame:
     return out.select("query_id", "term", *names)
 
 
-def compare_transforms(hits: DataFrame, weights: DataFrame, matches: DataFrame, fields: dict[str, float], names: list[str]) -> DataFrame:
-    """(transform, n_queries, ndcg): mean NDCG of each transform of the keyword weights. Scores that agree in nine decimals of their logarithm tie."""
+def compare_transforms(index: Index, query: DataFrame, weights: DataFrame, matches: DataFrame, near: DataFrame, fields: dict[str, float], names: list[str]) -> DataFrame:
+    """(transform, n_queries, ndcg): mean NDCG of each transform of the keyword weights over all hits of the queries (query_id, term, count). Scores that agree in nine decimals of their logarithm tie.
+
+    ``near``: query_id, guid of documents that are likely to score high; the TOP-th best of them is where the search for the TOP best of all documents starts.
+    """
     from lectern.operators.metrics import measure
-    from lectern.operators.retrieval import BLOCK_TERMS, _weight, top
+    from lectern.operators.retrieval import TOP, _weight, best_by, formula_hits, top
     from lectern.plans.session import written
 
-    w = written(transform_all(weights, names), "weights")
-    leaf = hits.join(F.broadcast(w) if w.count() <= BLOCK_TERMS else w, ["query_id", "term"]).withColumn("__s", F.col("qw") * F.col("fw") * _weight(fields))
-    sums = leaf.groupBy("query_id", "guid").agg(*[F.sum(F.col("__s") * F.col(f"`{n}`")).alias(n) for n in names]).unpivot(["query_id", "guid"], names, "transform", "score").where("score > 0")
-    key = F.struct("transform", F.col("query_id").alias("q")).alias("query_id")
-    ranked = top(sums.select(key, "guid", F.round(F.ln("score"), 9).alias("score")))
-    of = matches.withColumn("transform", F.explode(F.array(*map(F.lit, names)))).select(key, "guid")
+    w = written(transform_all(weights, names).join(query.select("query_id", "term", "count"), ["query_id", "term"]), "weights")
+    few = w.select("query_id", "term", F.lit(1).alias("count"))
+    leaf = formula_hits(index, few, pairs=near.join(w.select("query_id").distinct(), "query_id", "left_semi")).join(w, ["query_id", "term"])
+    leaf = leaf.withColumn("__s", F.col("qw") * F.col("fw") * F.col("count") * _weight(fields))
+    sums = leaf.groupBy("query_id", "guid").agg(*[F.sum(F.col("__s") * F.col(f"`{n}`")).alias(n) for n in names])
+    floors = {r[0]: list(r[1:]) for r in sums.groupBy("query_id").agg(*[F.get(F.sort_array(F.collect_list(n), asc=False), F.lit(TOP - 1)).alias(n) for n in names]).collect()}
+    ranked = best_by(index, w.select("query_id", "term", *[(F.col("count") * F.col(f"`{n}`")).alias(n) for n in names]), fields, names, log=True, floors=floors)
+    key = F.struct(F.col("kind").alias("transform"), F.col("query_id").alias("q")).alias("query_id")
+    ranked = top(ranked.select(key, "guid", "score"))
+    of = matches.withColumn("transform", F.explode(F.array(*map(F.lit, names)))).select(F.struct("transform", F.col("query_id").alias("q")).alias("query_id"), "guid")
     return measure(ranked, of).groupBy("query_id.transform").agg(F.count("*").alias("n_queries"), F.avg("ndcg").alias("ndcg"))
 
 

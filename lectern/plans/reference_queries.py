@@ -570,8 +570,8 @@ q AS (SELECT transform, query_id, avg(CASE WHEN r IS NULL THEN 0.0 WHEN m > 1 AN
 def k_compare_transforms(spark: SparkSession, d: str) -> DataFrame:
     """Every transform but the two random ones."""
     s, index, q, m = _combined(spark, d)
-    hits = I.formula_hits(index, q.join(m.select("query_id").distinct(), "query_id", "left_semi"))
-    return K.compare_transforms(hits, _rounded(s).withColumnRenamed("score", "weight"), m, _FIELDS, list(_RAW_TRANSFORMS)).withColumn("ndcg", F.round("ndcg", 6))
+    near = _explained(spark, d)[2].select("query_id", "guid")
+    return K.compare_transforms(index, q, _rounded(s).withColumnRenamed("score", "weight"), m, near, _FIELDS, list(_RAW_TRANSFORMS)).withColumn("ndcg", F.round("ndcg", 6))
 
 
 @query(f"WITH {_KW}, c AS (SELECT query_id, term, round(score, 9) AS score, max(round(score, 9)) {_Q} AS mx FROM comb), t AS (SELECT query_id, term, " + ", ".join(f'{x} AS "{n}"' for n, x in _RAW_TRANSFORMS.items()) + " FROM c) SELECT query_id, term, "

@@ -471,3 +471,35 @@ def test_retrieved_equals_the_top_of_all_hits(spark, monkeypatch):
     monkeypatch.setattr(R, "TABLE_CELLS", 100)
     monkeypatch.setattr(R, "HELD", 8)
     assert rows(R.retrieved(index, q, _TWO, 7)) == want and len(want) == 35
+
+
+@pytest.mark.parametrize("deep", [200, 6])
+def test_compare_transforms_over_the_index_equals_that_of_its_hits(spark, monkeypatch, deep):
+    index, q, m = _ranking_case(spark, 5)
+    names = ["multiply", "constant", "invert", "top", "quadratic"]
+    w = q.select("query_id", "term", (1 + F.pmod(F.xxhash64("term", "query_id"), F.lit(9))).cast("double").alias("weight")).where("term <> 'w3'")
+    leaf = R.formula_hits(index, q).join(K.transform_all(w, names), ["query_id", "term"])
+    scores = {}
+    for x in leaf.collect():
+        for n in names:
+            at = scores.setdefault((n, x["query_id"]), {})
+            at[x["guid"]] = at.get(x["guid"], 0.0) + x["qw"] * x["fw"] * _TWO[x["field"]] * x[n]
+    matched = {}
+    for x in m.collect():
+        matched.setdefault(x["query_id"], []).append(x["guid"])
+    want = {n: [] for n in names}
+    for (n, k), s in scores.items():
+        place = {g: i for i, g in enumerate(sorted(s, key=lambda g: (-round(math.log(s[g]), 9), g))[:deep], 1)}
+        own = matched[k]
+        gain = [0.0 if g not in place else 1.0 if len(own) > 1 and place[g] <= len(own) else math.log(2) / math.log(1 + place[g]) for g in own]
+        want[n].append(sum(gain) / len(own))
+    near = R.retrieved(index, q, _TWO, deep).select("query_id", "guid")
+    monkeypatch.setattr(R, "TOP", deep)
+    monkeypatch.setattr(R.top, "__defaults__", (deep,))
+    monkeypatch.setattr(R.best_by, "__defaults__", (deep, False, None))
+    monkeypatch.setattr(R, "TABLE_CELLS", 100)
+    monkeypatch.setattr(R, "HELD", 8)
+    _without_all_hits(monkeypatch)
+    got = {x["transform"]: (x["n_queries"], x["ndcg"]) for x in K.compare_transforms(index, q, w, m, near, _TWO, names).collect()}
+    assert {n: c for n, (c, _) in got.items()} == {n: 5 for n in names}
+    assert {n: x for n, (_, x) in got.items()} == pytest.approx({n: sum(v) / len(v) for n, v in want.items()})
