@@ -18,7 +18,7 @@ if TYPE_CHECKING:
 
 
 #: Points of running sums that one broadcast holds.
-CURVE_POINTS = 8_000_000
+CURVE_POINTS = 3_000_000
 
 
 def term_scores(hits: DataFrame, how: str = "max") -> DataFrame:
@@ -102,7 +102,7 @@ def _minimal(ranked: DataFrame, matches: DataFrame, values: Callable[[DataFrame]
         placed = values(spark.createDataFrame([(*k, i) for k, i in slots.items()], ", ".join(f"{k} {ranked.schema[k].dataType.simpleString()}" for k in key) + ", slot long"))
         places = spark.createDataFrame([(q, i) for q, ts in of.items() for i, _ in ts], f"query_id {kind}, slot long")
         points = placed.join(own, "guid").join(F.broadcast(places), ["query_id", "slot"]).groupBy("query_id", "guid", "slot").agg(F.sum("value").alias("value")).toArrow().to_pandas()
-        plan, live = [], []
+        plan, live, curves, rows = [], [], None, None
         for q, rows in points.groupby("query_id", sort=False):
             q = q.item() if hasattr(q, "item") else q
             at, by = np.array([i for i, _ in of[q]]), np.array([x for _, x in of[q]])
@@ -110,6 +110,7 @@ def _minimal(ranked: DataFrame, matches: DataFrame, values: Callable[[DataFrame]
             plan.append((q, at, by, curves))
             live += [(q, k, 0, int(c)) for k, c in enumerate(np.diff(curves.starts), 1)]
         shared = spark.sparkContext.broadcast(plan)
+        del plan, points, curves, rows  # the driver holds one block at a time
 
         def count(batches, shared=shared, n=len(slots)):  # noqa: ANN001, ANN202
             from lectern.operators.retrieval import tables
