@@ -327,6 +327,41 @@ def test_levenshtein_is_exact():
     del distance
 
 
+def test_distances_of_many_pairs_equal_those_of_each():
+    from lectern.llm.matching import distances, levenshtein, similarities
+
+    r = random.Random(8)
+    word = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    pairs = [(word(r.randrange(0, most), "abcd"), word(r.randrange(0, most), "abcde")) for most in (3, 12, 70, 140, 300) for _ in range(60)]
+    pairs += [(word(n, "ab"), word(m, "ab")) for n in (63, 64, 65, 128, 129) for m in (1, 64, 200)] + [(a, a[1:] + "z") for a, _ in pairs if a]
+    pairs += [("".join(chr(0x4E00 + r.randrange(3000)) for _ in range(30)), "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(40))) for _ in range(50)]
+    one, two = map(list, zip(*pairs, strict=True))
+    assert distances(one, two).tolist() == [levenshtein(a, b) for a, b in pairs] and len(distances([], [])) == 0
+    title, cut = similarities(["abcdefgh", "abcdefgh", "", "abcdefghij"], ["abcdefghijklmnop", "xxxxxxxxabcdefgh", "abc", "abcdefghij"])
+    assert title.tolist() == [0.5, 0.5, 0.0, 1.0] and cut.tolist() == pytest.approx([0.9, 0.9, 0.0, 1.0])
+
+
+def test_nodes_met_before_sum_to_the_same_vectors(monkeypatch):
+    from lectern.llm import matching as M
+
+    rng = np.random.default_rng(3)
+    space = M.Space(rng.standard_normal((M.NODES, M.DIMENSIONS)).astype(np.float32), rng.random(M.NODES).astype(np.float32), np.zeros(M.DIMENSIONS, np.float32), 9)
+    records = [(t, s, y, d) for _, t, s, y, d in _works(40)] + [(None, None, None, None), ("a b c", "", "1999", None)]
+    read = [M.prepare(*x) for x in records]
+    marked = [M._marked(x["words"].split(), x["people"].split(), x["year"], x["doi"]) for x in read]
+    monkeypatch.setattr(M, "WORDS_HELD", 30)
+    nodes = M.Nodes(space)
+    for lo in range(0, len(marked), 7):
+        part = nodes.by_part(marked[lo : lo + 7])
+        for k in part:
+            sums, some = space.sums([M.tokens(*x)[k] for x in records[lo : lo + 7]])
+            assert np.allclose(part[k][0], sums, atol=1e-4) and (part[k][1] == some).all()
+    want = np.zeros(M.NODES, np.int64)
+    for x in records:
+        want[list({n for own in M.tokens(*x).values() for n, _ in own})] += 1
+    assert (M.Nodes().frequencies(marked) == want).all()
+
+
 def _works(n):
     r = random.Random(9)
     syllables = "ba ce di fo gu ha ke li mo nu pa re si to vu".split()
