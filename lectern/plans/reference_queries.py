@@ -665,7 +665,7 @@ SELECT set_id, item, round(score, 6) AS score FROM (SELECT *, row_number() OVER
 def g_expand(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "lineitem")
     seeds = items.select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("item")).distinct()
-    return G.expand(G.stored_dice(items, "l_orderkey", "l_partkey"), seeds, 5, stored=True).select("set_id", "item", "score").withColumn("score", F.round("score", 6))
+    return G.expand(G.stored_dice(items, "l_orderkey", "l_partkey"), seeds, 5, stored=True).select("set_id", "item", _product_rounded("score", 6))
 
 
 # ---- sequences and features ----

@@ -393,6 +393,37 @@ def test_expansion_in_rounds_equals_the_whole(spark, monkeypatch):
     assert kinds.count("dice") > 1 and kinds.count("best") > 1 and {n for n, p in names if Path(p).exists()} == {"dice", "best"}
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "sparse"])
+def test_expand_over_blocks_of_seeds_equals_the_sums_of_all_hits(spark, monkeypatch, kind):
+    import random
+
+    r = random.Random(6)
+    name = {"long": int, "string": lambda x: f"i{x}", "sparse": lambda x: x * 10**9}[kind]
+    typ = "string" if kind == "string" else "long"
+    similar = [(name(a), name(b), r.choice([0.1, 0.2, 0.25, 1 / 3])) for a in range(40) for b in range(a + 1, 40) if r.random() < 0.3]
+    seeds = [(s, name(i)) for s in [*range(12), None] for i in r.sample(range(45), 5)] + [(3, None)]
+    near, sums = {}, {}
+    for a, b, x in similar:
+        near.setdefault(a, []).append((b, x))
+        near.setdefault(b, []).append((a, x))
+    for s, i in seeds:
+        for b, x in near.get(i, []):
+            if s is None or (s, b) not in seeds:
+                sums[s, b] = sums.get((s, b), 0.0) + x
+    want = {(s, b, round(x, 9)) for q in [*range(12), None] for (s, b), x in sorted(((k, x) for k, x in sums.items() if k[0] == q), key=lambda t: (-round(t[1], 9), t[0][1]))[:4]}
+    monkeypatch.setattr(G, "SEEDS_SENT", 20)
+    monkeypatch.setattr(G, "SLICE_HITS", 30)
+    for dense in (0, 8):
+        monkeypatch.setattr(G, "DENSE", dense)
+        got = G.expand(spark.createDataFrame(similar, f"a {typ}, b {typ}, dice double"), spark.createDataFrame(seeds, f"set_id int, item {typ}"), 4)
+        assert {(x["set_id"], x["item"], round(x["score"], 9)) for x in got.collect()} == want
+
+
+def test_expand_rounds_scores_once(spark):
+    got = G.expand(spark.createDataFrame([(1, 2, 0.1234564996)], "a int, b int, dice double"), spark.createDataFrame([(1, 1)], "set_id int, item int")).collect()
+    assert [x["score"] for x in got] == [0.1234564996]
+
+
 def test_similar_titles_broadcast_nothing(spark, tmp_path):
     spark.createDataFrame([(1, "plain title of old", 2001)], "ref_id int, norm_title string, year int").write.parquet(f"{tmp_path}/refs")
     spark.createDataFrame([("g", "plain title of olf", 2001)], "guid string, norm_title string, year int").write.parquet(f"{tmp_path}/papers")
