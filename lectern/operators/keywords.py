@@ -31,10 +31,11 @@ def normalised(scores: DataFrame, matches: DataFrame, retrieved: DataFrame | Non
     """(query_id, guid, term, score) for matching documents: share of the document's score, over (1 + the term's sum over the retrieved)^2, shared out to sum 1.
 
     ``scores`` has the term scores of the matching and of the retrieved documents; ``retrieved``: query_id, guid, all of ``scores`` without it.
+    Matches grow with the documents, so they aren't broadcast, whatever the session's threshold.
     """
-    listed = scores if retrieved is None else scores.join(retrieved.select("query_id", "guid").distinct(), ["query_id", "guid"], "left_semi")
+    listed = scores if retrieved is None else scores.join(retrieved.select("query_id", "guid").distinct().hint("merge"), ["query_id", "guid"], "left_semi")
     sums = listed.groupBy("query_id", "term").agg(F.sum("score").alias("raw"))
-    own = scores.join(matches.select("query_id", "guid").distinct(), ["query_id", "guid"], "left_semi").join(sums, ["query_id", "term"], "left")
+    own = scores.join(matches.select("query_id", "guid").distinct().hint("merge"), ["query_id", "guid"], "left_semi").join(sums, ["query_id", "term"], "left")
     doc = Window.partitionBy("query_id", "guid")
     own = own.withColumn("s", F.col("score") / F.sum("score").over(doc) / F.pow(1 + F.coalesce("raw", F.lit(0.0)), F.lit(2.0)))
     return own.select("query_id", "guid", "term", (F.col("s") / F.sum("s").over(doc)).alias("score"))

@@ -459,6 +459,24 @@ def _without_all_hits(monkeypatch):
     monkeypatch.setattr(R, "formula_hits", some)
 
 
+def test_matches_and_ranks_are_not_broadcast(spark, tmp_path):
+    from lectern.operators.metrics import measure
+
+    def stored(rows, schema, name):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    s = stored([(1, 5, "a", 2.0), (1, 6, "a", 1.0)], "query_id int, guid long, term string, score double", "scores")
+    m = stored([(1, 5)], "query_id int, guid long", "matches")
+    ranked = stored([(1, 6, 1), (1, 5, 2)], "query_id int, guid long, rank int", "ranked")
+    merges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+    own, per = K.normalised(s, m, ranked), measure(ranked, m)
+    assert merges(own) == 2 and merges(per) >= 1
+    assert [tuple(x) for x in own.collect()] == [(1, 5, "a", 1.0)] and [x["rank"] for x in per.collect()] == [2]
+    index, q, m = _ranking_case(spark, 3)
+    assert merges(R.formula_hits(index, q, pairs=m)) == 1
+
+
 def test_minimal_set_over_the_index_equals_that_of_its_hits(spark, monkeypatch):
     index, q, m = _ranking_case(spark, 3)
     scores = q.select("query_id", "term", F.pmod(F.xxhash64("term", "query_id"), F.lit(9)).cast("double").alias("score"))
