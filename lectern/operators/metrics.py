@@ -20,7 +20,8 @@ def measure(ranked: DataFrame, matches: DataFrame, far: int = FAR) -> DataFrame:
     m = matches.select("query_id", "guid").distinct()
     size = m.groupBy("query_id").agg(F.count("*").alias("m"))
     length = first.groupBy("query_id").agg(F.max("rank").alias("n"))
-    base = m.join(size, "query_id").join(length, "query_id").join(first.hint("merge"), ["query_id", "guid"], "left")
+    # Matches may be many: while sizes aren't known yet, the adaptive planner would build them as a broadcast in the driver.
+    base = m.join(size.hint("merge"), "query_id").join(length.hint("merge"), "query_id").join(first.hint("merge"), ["query_id", "guid"], "left")
     r, many = F.col("rank"), F.col("m") > 1
     full = many & (r <= F.col("m"))
     ndcg = F.when(r.isNull(), 0.0).when(full, 1.0).otherwise(F.ln(F.lit(2.0)) / F.ln(1.0 + r))
